@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import line_dedup
+from foliospark.llm import chat_format, decontaminate, line_dedup, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_chat_format": chat_format.op4_chat_format,
+        "op6_secret_scan": secret_scan.op6_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
+        "op3_decontaminate": decontaminate.OP3_SQL,
+        "op4_chat_format": chat_format.OP4_SQL,
+        "op6_secret_scan": secret_scan.OP6_SQL,
     }
