@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat_format, decontaminate, line_dedup, secret_scan
+from foliospark.llm import chat_format, decontaminate, line_dedup, packing, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_packing": packing.op2_packing,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_chat_format": chat_format.op4_chat_format,
         "op6_secret_scan": secret_scan.op6_secret_scan,
