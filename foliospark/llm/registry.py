@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat_format, decontaminate, line_dedup, packing, secret_scan
+from foliospark.llm import chat_format, decontaminate, line_dedup, packing, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_chat_format": chat_format.op4_chat_format,
+        "op5_simhash": simhash.op5_simhash,
         "op6_secret_scan": secret_scan.op6_secret_scan,
     }
 
