@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat_format, decontaminate, line_dedup, packing, secret_scan, simhash
+from foliospark.llm import chat_format, decontaminate, language_id, line_dedup, packing, quality, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_simhash": simhash.op5_simhash,
         "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_language_id": language_id.op7_language_id,
+        "op8_quality": quality.op8_quality,
     }
 
 
