@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat_format, decontaminate, iso_media, language_id, line_dedup, packing, quality, secret_scan, simhash
+from foliospark.llm import chat_format, decontaminate, iso_media, language_id, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": language_id.op7_language_id,
         "op8_quality": quality.op8_quality,
         "op9_media": iso_media.op9_media,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
