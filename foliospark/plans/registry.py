@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from foliospark.plans import expression_queries, relational_queries
 
-def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.lower("text")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.contains(text, F.lit("the")))
-    hits = ((F.length(text) - F.length(F.replace(text, F.lit("the"), F.lit("")))) / 3).cast("long")
-    return docs.select("doc_id", hits.alias("n_matches"))
+
+MODULES = (expression_queries, relational_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"search_pages": search_pages}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"search_pages": "SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS BIGINT) AS n_matches FROM documents WHERE contains(lower(text), 'the')"}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
