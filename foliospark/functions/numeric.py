@@ -157,7 +157,7 @@ def calculator(source: str, inputs: list[Column], domain: list[float], out_range
     stack = _run(parse_calculator(source), stack)
     n_out = len(out_range) // 2
     found = stack[-n_out:] if len(stack) >= n_out else [F.lit(0.0)] * (n_out - len(stack)) + stack
-    return [clamp(value, out_range[2 * j], out_range[2 * j + 1]) for j, value in enumerate(found)]
+    return [clamp(num(value), out_range[2 * j], out_range[2 * j + 1]) for j, value in enumerate(found)]
 
 
 def _run(program: list, stack: list) -> list:
