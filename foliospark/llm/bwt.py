@@ -8,65 +8,82 @@ import numpy as np
 def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, bwt) of a circular text of bytes: its rotations in order, and the byte before each. Ranks double in length."""
     n = len(text)
-    at = np.arange(n)
-    packed = np.zeros(n, np.uint64)
+    packed, twice = np.zeros(n, np.uint64), np.concatenate([text, text[:8] if n >= 8 else np.resize(text, 8)]).astype(np.uint64)
     for i in range(8):
-        packed = (packed << np.uint64(8)) | text[(at + i) % n]
-    rank, span = np.unique(packed, return_inverse=True)[1], 8
+        packed = (packed << np.uint64(8)) | twice[i : i + n]
+    rank, span = dense(packed), 8
     while span < n and rank.max() < n - 1:
-        rank = np.unique(rank.astype(np.int64) * n + rank[(at + span) % n], return_inverse=True)[1]
+        rank = dense(rank * n + np.roll(rank, -span))
         span *= 2
     order = np.argsort(rank, kind="stable")
     return order, text[order - 1]
 
 
+def dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks of keys without gaps, equal keys alike."""
+    order = np.argsort(keys)
+    held = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]]))
+    return out
+
+
 def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleaves the transforms of shards until their rotations are in order by `depth` symbols.
+    """Interleaves the transforms of shards until their rotations are in order by `depth` symbols, an even number.
 
-    Returns (source, block). source[i] says which shard the i-th rotation of the merge comes from (each shard's own keep their
-    order), block[i] numbers the runs of rotations that have their first `depth` symbols in common: a new block begins just
-    where the common prefix with the rotation before is shorter. No rotation is compared or sorted again: each round
-    only deals the last one's interleave out by the symbol before.
+    Returns (rank, block). rank[i] is the place of the i-th rotation of the merge among the shards' own, laid end to end; each
+    shard's rotations keep their order. block[i] numbers the runs of rotations that have their first `depth` symbols in
+    common: a new block begins just where the common prefix with the rotation before is shorter. No rotation is compared
+    or sorted again: each round only deals the last interleave out by the two symbols before.
     """
-    symbols = np.concatenate(shards)
-    kind = np.uint8 if len(shards) <= 256 else np.uint16
-    source = np.repeat(np.arange(len(shards), dtype=kind), [len(s) for s in shards])
+    if depth % 2:
+        raise ValueError("depth has to be even")
+    sizes = np.array([len(s) for s in shards])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    # where the rotation that begins one symbol earlier stands in the same shard
+    back = np.concatenate([np.argsort(np.argsort(s, kind="stable"), kind="stable") + b for s, b in zip(shards, begin)])
+    symbols = np.concatenate(shards).astype(np.uint16)
+    pair = (symbols[back] << np.uint16(8)) | symbols
+    back = back[back].astype(np.int32)
+    rank = np.arange(len(symbols), dtype=np.int32)
     block = np.zeros(len(symbols), np.int32)
-    column = np.empty_like(symbols)
-    for _ in range(depth):
-        column[np.argsort(source, kind="stable")] = symbols
+    new = np.ones(len(symbols), bool)
+    for _ in range(depth // 2):
+        column = pair[rank]
         dealt = np.argsort(column, kind="stable")
-        source, column_, block = source[dealt], column[dealt], block[dealt]
-        new = np.ones(len(block), bool)
-        new[1:] = (column_[1:] != column_[:-1]) | (block[1:] != block[:-1])
+        column, block, rank = column[dealt], block[dealt], back[rank[dealt]]
+        np.logical_or(column[1:] != column[:-1], block[1:] != block[:-1], out=new[1:])
         block = np.cumsum(new, dtype=np.int32)
-    return source, block
-
+    return rank, block
 
-def repeats(strings: list[bytes], owners: np.ndarray, length: int, shard_bytes: int = 1 << 18) -> list[np.ndarray]:
-    """For each string, and each place where a window of `length` bytes begins: the least owner of a string that holds that window.
 
-    The strings are cut into shards, each shard is transformed, and the transforms are merged.
-    """
-    shards: list[list[int]] = [[]]
-    held = 0
+def shard_lists(strings: list[bytes], most: int) -> list[list[int]]:
+    """Numbers of the strings of each shard, of about `most` bytes."""
+    shards, held = [[]], 0
     for i, s in enumerate(strings):
-        if held and held + len(s) + 1 > shard_bytes:
+        if held and held + len(s) + 1 > most:
             shards.append([])
             held = 0
         shards[-1].append(i)
         held += len(s) + 1
+    return shards
+
+
+def repeats(strings: list[bytes], owners: np.ndarray, length: int, shard_bytes: int = 1 << 15) -> list[np.ndarray]:
+    """For each string, and each place where a window of `length` bytes begins: the least owner of a string that holds that window.
+
+    The strings are cut into shards, each shard is transformed, and the transforms are merged.
+    """
     transforms, places, offset = [], [], 0
-    for shard in shards:
+    for shard in shard_lists(strings, shard_bytes):
         # a separator of 0 after each string; bytes move up by one (UTF-8 has no byte 255)
         text = np.frombuffer(b"\xff".join([*(strings[i] for i in shard), b""]), np.uint8) + np.uint8(1)
         order, symbols = transform(text)
         transforms.append(symbols)
         places.append(order + offset)
         offset += len(text)
-    source, block = merge(transforms, length)
-    place = np.empty(offset, np.int64)
-    place[np.argsort(source, kind="stable")] = np.concatenate(places)
+    rank, block = merge(transforms, length)
+    place = np.concatenate(places)[rank]
     sizes = np.array([len(s) for s in strings])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     string = np.repeat(np.arange(len(strings)), sizes + 1)[place]

@@ -235,12 +235,9 @@ def test_merged_transforms_are_in_order():
     draw = random.Random(2)
     texts = [np.frombuffer(bytes(draw.choice(b"ab") for _ in range(n)) + b"\0", np.uint8) for n in (40, 60, 25)]
     orders, symbols = zip(*map(bwt.transform, texts))
-    source, block = bwt.merge(list(symbols), 12)
-    ranks = [iter(o) for o in orders]
-    heads = []
-    for s in source:
-        at = int(next(ranks[s]))
-        heads.append(bytes(np.roll(texts[s], -at)[:12]))
+    rank, block = bwt.merge(list(symbols), 12)
+    rotations = [bytes(np.roll(t, -int(at))[:12]) for t, order in zip(texts, orders) for at in order]
+    heads = [rotations[r] for r in rank]
     assert heads == sorted(heads)
     assert [int(b) for b in np.diff(block)] == [int(a != b) for a, b in zip(heads, heads[1:])]
 
