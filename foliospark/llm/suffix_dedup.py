@@ -22,47 +22,43 @@ from foliospark.llm.bwt import repeats
 from foliospark.llm.common import read, staged
 
 GRAM = 20
-NEVER = (1 << 63) - 1
-_A, _B, _C, _D, _E = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x165667B19E3779F9, 0xE7037ED1A0B428DB))
+_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def mix(x: np.ndarray, more: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _C
-    return (x ^ (x >> np.uint64(29))) + more * _B
-
-
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash of its gram, hash of its context) of each anchor that a window of raw chooses."""
+def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash of its gram) of each anchor that a window of raw chooses."""
     n, reach = len(raw), length - GRAM
     if n < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    eight = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    for step in (1, 2, 4):
-        eight = eight[:-step] | (eight[step:] << np.uint64(8 * step))
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    eight = np.array(np.ndarray(n - 7, "<u8", raw, 0, (1,)))  # the eight bytes at each place
     grams = n - GRAM + 1
-    hashed = mix(mix(eight[:grams] * _A, eight[8 : 8 + grams]), eight[GRAM - 8 : GRAM - 8 + grams]) * _E
-    hashed ^= hashed >> np.uint64(30)
+    hashed = eight[:grams] * _A
+    hashed += eight[8 : 8 + grams] * _B
+    hashed += eight[GRAM - 8 : GRAM - 8 + grams] * _C
+    hashed ^= hashed >> np.uint64(32)
+    hashed *= _D
+    hashed ^= hashed >> np.uint64(29)
     # the least 40 bits of hash, then the first place; places of equal grams are interchangeable
-    least = (hashed & ~_LOW) | (np.arange(grams, dtype=np.uint64) & _LOW)
+    least = hashed & ~_LOW
+    least |= np.arange(grams, dtype=np.uint64) & _LOW if n > _LOW else np.arange(grams, dtype=np.uint64)
     span = 1
     while span * 2 <= reach + 1:
         least, span = np.minimum(least[:-span], least[span:]), span * 2
     if span < reach + 1:
         least = np.minimum(least[: len(least) - (reach + 1 - span)], least[reach + 1 - span :])
-    start = np.arange(len(least), dtype=np.int64)
-    place = start + ((least & _LOW).astype(np.int64) - start) % (1 << 24)
+    place = (least & _LOW).view(np.int64)
+    if n > _LOW:
+        start = np.arange(len(place))
+        place = start + (place - start) % (1 << 24)
     place = place[np.concatenate([[True], place[1:] != place[:-1]])]
-    context = np.zeros(len(place), np.uint64)
-    inside = (place >= reach) & (place + length <= n)
-    at = place[inside] - reach
-    for i in [*range(0, length + reach - 8, 8), length + reach - 8]:
-        context[inside] = mix(context[inside] + _A, eight[at + i])
-    for i in np.flatnonzero(~inside):
-        p = int(place[i])
-        low = max(0, p - reach)
-        context[i] = xxhash.xxh64_intdigest(raw[low : p + length], p - low)
-    return place, hashed[place].view(np.int64), context.view(np.int64)
+    return place, hashed[place].view(np.int64)
+
+
+def context_hashes(raw: bytes, place: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each anchor's context: the bytes that windows which hold the anchor can have, and where the anchor lies in them."""
+    reach, digest = length - GRAM, xxhash.xxh64_intdigest
+    return np.array([digest(raw[p - reach : p + length]) if p >= reach else digest(raw[: p + length], reach - p) for p in place.tolist()], np.uint64).view(np.int64)
 
 
 def encoded(text) -> bytes:
@@ -78,10 +74,11 @@ def anchor_rows(docs: DataFrame, length: int, places: bool) -> DataFrame:
             parts: list[list[np.ndarray]] = [[] for _ in names]
             total = 0
             for doc_id, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                place, h, c = anchors(encoded(text), length)
-                new = {"h": h, "c": c, "doc_id": np.full(len(h), doc_id), "at": place + (tag << 32)}
-                for name, part in zip(names, parts):
-                    part.append(new[name])
+                raw = encoded(text)
+                place, h = anchors(raw, length)
+                own = np.full(len(h), doc_id)
+                for part, new in zip(parts, (h, context_hashes(raw, place, length), own, place + (tag << 32)) if places else (h, own)):
+                    part.append(new)
                 total += len(h)
                 if total > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int64()) for p in parts], names=names)
@@ -97,9 +94,10 @@ def place_of(at: Column) -> Column:
 
 
 def context_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h, c, owner, left, context) of wanted (h, c, owner, doc_id, at): left counts the bytes before the anchor."""
+    """(h, c, owner, count, left, context) of wanted (h, c, owner, count, doc_id, at): left counts the bytes before the anchor."""
     reach = length - GRAM
-    per_doc = wanted.groupBy(F.col("doc_id").alias("of"), F.shiftright("at", 32).alias("of_tag")).agg(F.collect_list(F.struct("h", "c", "owner", place_of(F.col("at")).alias("place"))).alias("wanted"))
+    asked = F.struct("h", "c", "owner", "count", place_of(F.col("at")).alias("place"))
+    per_doc = wanted.groupBy(F.col("doc_id").alias("of"), F.shiftright("at", 32).alias("of_tag")).agg(F.collect_list(asked).alias("wanted"))
     joined = docs.join(per_doc, (F.col("doc_id") == F.col("of")) & (F.col("tag") == F.col("of_tag"))).select("text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,71 +105,94 @@ def context_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for text, ask in zip(batch.column(0), batch.column(1)):
                 raw, w = encoded(text), ask.values
                 place = w.field("place").to_pylist()
-                cut = [raw[max(0, p - reach) : p + length] for p in place]
-                yield pa.RecordBatch.from_arrays([w.field("h"), w.field("c"), w.field("owner"), pa.array([min(p, reach) for p in place], pa.int32()), pa.array(cut, pa.binary())], names=["h", "c", "owner", "left", "context"])
+                cut = pa.array([raw[max(0, p - reach) : p + length] for p in place], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(w.field(x) for x in ("h", "c", "owner", "count")), pa.array([min(p, reach) for p in place], pa.int32()), cut], names=["h", "c", "owner", "count", "left", "context"])
 
-    return joined.mapInArrow(run, "h long, c long, owner long, left int, context binary")
+    return joined.mapInArrow(run, "h long, c long, owner long, count long, left int, context binary")
 
 
-def merged_owners(contexts: DataFrame, length: int, tasks: int) -> DataFrame:
-    """(h, c, firsts): for each of the windows that hold an anchor, the first document with it, by merged transforms."""
-    reach = length - GRAM
+def meets(h: np.ndarray, sides: list[bytes]) -> np.ndarray:
+    """Whether another context of the same anchor has the same side."""
+    keys = np.array([hash((a, b)) for a, b in zip(h.tolist(), sides)])
+    _, where, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[where] > 1
+
+
+def chunk_masks(strings: list[bytes], left: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """Bit j of a context's mask: the window that begins j - reach from its anchor is in a string with a smaller owner."""
+    reach, masks = length - GRAM, np.zeros(len(strings), np.int64)
+    for i, first in enumerate(repeats(strings, owner, length)):
+        j = np.flatnonzero(first < owner[i]) + reach - left[i]
+        masks[i] = (1 << j[j <= reach]).sum()
+    return masks
+
+
+def merged_masks(contexts: DataFrame, length: int, tasks: int, chunk: int = 1000) -> DataFrame:
+    """(h, c, owner, mask) of contexts, dealt out by anchor to tasks and in these to chunks whose transforms are merged.
+
+    A window that holds the anchor has half the bytes it can reach to one side at least, so contexts that share neither side
+    with another of their anchor have no window in common with any and stay out of the transforms.
+    """
+    half = (length - GRAM) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches, schema=SHARE)
-        if not whole.num_rows:
+        share = pa.Table.from_batches(batches, schema=SHARE).sort_by("h")
+        h, owner, left = (share.column(x).to_numpy() for x in ("h", "owner", "left"))
+        strings = share.column("context").to_pylist()
+        if not strings:
             return
-        share = whole.combine_chunks().to_batches()[0]
-        strings, left = share.column(4).to_pylist(), share.column(3).to_pylist()
-        found = repeats(strings, share.column(2).to_numpy(), length)
-        firsts = np.full((len(strings), reach + 1), NEVER)
-        for row, off, first in zip(firsts, left, found):
-            row[reach - off : reach - off + len(first)] = first[: reach + 1 - (reach - off)]
-        values = pa.ListArray.from_arrays(pa.array(np.arange(len(strings) + 1) * (reach + 1), pa.int32()), pa.array(firsts.ravel()))
-        for i in range(0, len(strings), 4000):
-            yield pa.RecordBatch.from_arrays([share.column(0).slice(i, 4000), share.column(1).slice(i, 4000), values.slice(i, 4000)], names=["h", "c", "firsts"])
-
-    return contexts.repartition(tasks, "h").mapInArrow(run, "h long, c long, firsts array<long>")
+        before = [s[a - half : a] if a >= half else s[:a] + bytes([1]) for s, a in zip(strings, left.tolist())]
+        after = [s[a + GRAM : a + GRAM + half] for s, a in zip(strings, left.tolist())]
+        kept = np.flatnonzero(meets(h, before) | meets(h, after))
+        masks = np.zeros(len(strings), np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], h[kept][1:] != h[kept][:-1], [True]])) if len(kept) else np.zeros(1, np.int64)
+        begin = 0
+        for end in edges[1:].tolist():  # whole anchors only
+            if end - begin >= chunk or end == len(kept):
+                part = kept[begin:end]
+                masks[part] = chunk_masks([strings[i] for i in part], left[part], owner[part], length)
+                begin = end
+        yield from pa.table({"h": share.column("h"), "c": share.column("c"), "owner": share.column("owner"), "mask": pa.array(masks)}).to_batches()
+
+    return contexts.select("h", "c", "owner", "left", "context").repartition(tasks, "h").mapInArrow(run, "h long, c long, owner long, mask long")
 
 
 SHARE = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("owner", pa.int64()), ("left", pa.int32()), ("context", pa.binary())])
 
 
-def grouped_owners(contexts: DataFrame, length: int) -> DataFrame:
+def grouped_masks(contexts: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many contexts: windows are grouped by two hashes of their bytes, with partial aggregates."""
     reach = length - GRAM
-    starts = F.sequence(F.greatest(F.lit(0), reach - F.col("left")), F.least(F.lit(reach), reach - F.col("left") + F.octet_length("context") - length))
-    windows = contexts.where(F.octet_length("context") >= length).select("h", "c", "owner", "left", "context", F.explode(starts).alias("j"))
+    starts = F.sequence(reach - F.col("left"), F.least(F.lit(reach), reach - F.col("left") + F.octet_length("context") - length))
+    windows = contexts.select("h", "c", "owner", "left", "context", F.explode(F.when(F.octet_length("context") >= length, starts)).alias("j"))
     window = F.substring("context", F.col("j") - reach + F.col("left") + 1, F.lit(length))
     windows = windows.select("h", "c", "owner", "j", F.xxhash64(window).alias("w1"), F.xxhash64(F.lit("second"), window).alias("w2"))
     least = windows.groupBy("w1", "w2").agg(F.min("owner").alias("first"))
-    per = windows.join(least, ["w1", "w2"]).groupBy("h", "c").agg(F.map_from_entries(F.collect_set(F.struct("j", "first"))).alias("by_j"))
-    return per.select("h", "c", F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda j: F.coalesce(F.try_element_at("by_j", j), F.lit(NEVER))).alias("firsts"))
+    bit = F.element_at(F.array(*(F.lit(1 << i).cast("long") for i in range(reach + 1))), F.col("j") + 1)
+    return windows.join(least, ["w1", "w2"]).groupBy("h", "c", "owner").agg(F.bit_or(F.when(F.col("first") < F.col("owner"), bit).otherwise(F.lit(0).cast("long"))).alias("mask"))
 
 
 def repeated_windows(docs: DataFrame, length: int, crowd: int, share: int) -> DataFrame:
-    """(doc_id, tag, place, mask): bit j of mask says that the window that begins j - (length - GRAM) from place is in an earlier document."""
-    reach = length - GRAM
+    """(doc_id, tag, place, mask): bit j of mask says that the window that begins j - (length - GRAM) from place is in an earlier document.
+
+    The first document with a context (its owner) needs its windows compared; in later ones all windows of the context repeat.
+    """
     owners = anchor_rows(docs, length, False).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     owners = staged(owners.select(F.col("h").alias("k"), "lo"), "repeated-anchors")
     met = staged(anchor_rows(docs, length, True).join(owners, F.col("h") == F.col("k")).select("h", "c", "doc_id", "at", "lo"), "anchor-places")
-    contexts = staged(met.groupBy("h", "c").agg(F.min("doc_id").alias("owner"), F.min(F.struct("doc_id", "at")).alias("first")), "contexts")
+    contexts = staged(met.groupBy("h", "c").agg(F.min(F.struct("doc_id", "at")).alias("first")), "contexts")
     counts = contexts.groupBy(F.col("h").alias("k")).count().where("count > 1")
-    differ = contexts.join(counts, F.col("h") == F.col("k")).select("h", "c", "owner", "first.doc_id", "first.at", "count")
-    few, many = (context_bytes(docs, differ.where(x), length) for x in (f"count <= {crowd}", f"count > {crowd}"))
-    few = staged(few, "context-bytes")
-    firsts = merged_owners(few, length, max(1, -(-few.count() // share)))
-    firsts = staged(firsts.unionAll(grouped_owners(many, length)), "window-owners").withColumnsRenamed({"h": "k", "c": "kc"})
-    judged = met.join(firsts, (F.col("h") == F.col("k")) & (F.col("c") == F.col("kc")), "left")
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(reach)), F.lit(0).cast("long"), lambda a, j: a.bitwiseOR(F.when(F.get(F.col("firsts"), j) < F.col("doc_id"), bit(j)).otherwise(F.lit(0).cast("long"))))
-    mask = F.when(F.col("firsts").isNotNull(), bits).when(F.col("lo") < F.col("doc_id"), F.lit((1 << (reach + 1)) - 1)).otherwise(F.lit(0))
+    differ = contexts.join(counts, F.col("h") == F.col("k")).select("h", "c", F.col("first.doc_id").alias("owner"), "count", "first.doc_id", "first.at")
+    differ = staged(context_bytes(docs, differ, length), "context-bytes")
+    tasks = max(1, -(-differ.count() // share))
+    masks = merged_masks(differ.where(f"count <= {crowd}"), length, tasks).unionByName(grouped_masks(differ.where(f"count > {crowd}"), length))
+    masks = staged(masks, "context-masks").withColumnsRenamed({"h": "k", "c": "kc"})
+    judged = met.join(masks, (F.col("h") == F.col("k")) & (F.col("c") == F.col("kc")), "left")
+    every = F.lit((1 << (length - GRAM + 1)) - 1)
+    mask = F.when(F.col("doc_id") > F.coalesce("owner", "lo"), every).otherwise(F.coalesce("mask", F.lit(0)))
     return judged.select("doc_id", F.shiftright("at", 32).alias("tag"), place_of(F.col("at")).alias("place"), mask.alias("mask")).where("mask != 0")
 
 
-def bit(j: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(1 << i).cast("long") for i in range(63))), j + 1)
-
-
 def dedup_passages(docs: DataFrame, length: int = 50, crowd: int = 5000, share: int = 20_000) -> DataFrame:
     """(doc_id, n_bytes, kept binary, spans array of (start, end) of bytes), a row per row of docs.
 
