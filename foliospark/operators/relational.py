@@ -86,6 +86,7 @@ def flatten_tree(nodes: DataFrame, inherited: list[str], sep: str = ".", depth:
     Levels below depth are cut off; a node that is its own ancestor is never reached from a root.
     """
     spark, view = nodes.sparkSession, f"nodes_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # trees of all files together have no bound on rows
     nodes.createOrReplaceTempView(view)
     try:
         own = "".join(f", n.{c}" for c in inherited)
