@@ -2,50 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.storage import staged
+
+__all__ = ["WHITE", "ascii_lower", "hex_sha256", "read", "staged"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\f\r"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_folio_dir", None)
-    if not found:
-        found = spark._folio_dir = "file://" + tempfile.mkdtemp(prefix="foliospark-")
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read back: cuts lineage, and survives lost executors.
-
-    Shuffle files of the job that writes it go when it ends, the written table when the program does.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a staged table; silent when the session has already ended."""
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM is gone
-        pass
 
 
 def ascii_lower(text: Column) -> Column:
