@@ -5,8 +5,8 @@ byte, so that scanning for objects, dictionaries and tokens are Spark expression
 a file whose cross-reference table is rebuilt. Only stream filters run in Python (Arrow UDF). Every relation is keyed by
 doc_id, so all joins and windows are within a file and spread over files. Damaged input gives fewer rows, not errors.
 
-Limits: dictionaries are matched by key, not by nesting; strings hold one level of inner brackets; encrypted files are
-reported, not decrypted; text of form XObjects is not followed.
+Limits: dictionaries are matched by key, not by nesting; strings hold one level of inner brackets; revisions
+5 and 6 of encryption are reported, not opened; text of form XObjects is not followed.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.codecs import decode_stream
 from foliospark.functions.text import is_allowed_uri, page_label, pdf_date, permission_flags
 from foliospark.operators.relational import asof, flatten_tree, newest_wins
+from foliospark.sources.security import decrypt, decrypt_strings, file_keys
 from foliospark.storage import staged
 
 LATIN = "ISO-8859-1"
@@ -88,8 +89,12 @@ def string(d: Column, key: str) -> Column:
     return F.when(F.regexp_like(d, F.lit(rf"/{key}\s*\(")), text_string(literal(found))).when(F.regexp_like(d, F.lit(rf"/{key}\s*<[0-9A-Fa-f]")), text_string(unhex_latin(hexed)))
 
 
-def objects(files: DataFrame) -> DataFrame:
-    """(doc_id, num, gen, dict, stream): the last definition of each object; stream is decoded. Objects packed in object streams are listed too, but override none."""
+def objects(files: DataFrame, password: str | None = None, decrypting: bool = False) -> DataFrame:
+    """(doc_id, num, gen, dict, stream): the last definition of each object; stream is decoded. Objects packed in object streams are listed too, but override none.
+
+    With decrypting, encrypted files are opened with the password (or the empty one), and those that it does not open have no
+    objects; without, their strings and streams stay as they are.
+    """
     text = F.decode("content", LATIN)
     each = files.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)\d+\s+\d+\s+obj\b.*?\bendobj"), F.lit(0))).alias("ord", "o"))
     head = r"^(\d+)\s+(\d+)\s+obj"
@@ -98,6 +103,8 @@ def objects(files: DataFrame) -> DataFrame:
     d = F.regexp_extract("body", r"(?s)^(.*?)(?:\bstream\r?\n|$(?![\s\S]))", 1)
     raw = F.when(F.regexp_like("body", F.lit(r"\bstream\r?\n")), F.encode(F.regexp_extract("body", r"(?s)\bstream\r?\n(.*?)\r?\n?endstream", 1), LATIN))
     last = last.select("doc_id", "num", "gen", d.alias("dict"), raw.alias("raw"))
+    if decrypting:
+        last = _opened(files, last, password)
     names = F.regexp_extract_all(F.regexp_extract("dict", r"/Filter\s*(\[[^\]]*\]|/[^\s/<>\[\]()]+)", 1), F.lit(r"/([^\s/<>\[\]()]+)"), F.lit(1))
     plain = last.where("raw is null").select("doc_id", "num", "gen", "dict", F.lit(None).cast("binary").alias("stream"))
     coded = last.where("raw is not null").select("doc_id", "num", "gen", "dict", decode_stream(F.col("raw"), names, number(F.col("dict"), "Predictor"), number(F.col("dict"), "Columns")).alias("stream"))
@@ -111,6 +118,23 @@ def objects(files: DataFrame) -> DataFrame:
     return scanned.unionByName(newest_wins(inner, ["doc_id", "num"], "gen").join(scanned.select("doc_id", "num"), ["doc_id", "num"], "left_anti"))
 
 
+def encryption(files: DataFrame, objs: DataFrame, password: str | None = None) -> DataFrame:
+    """(doc_id, status, key, cipher) of encrypted files: ok, need_password, bad_password or unsupported."""
+    at = F.try_element_at(F.regexp_extract_all(F.decode("content", LATIN), F.lit(r"/Encrypt\s+(\d+)\s+\d+\s+R"), F.lit(1)), F.lit(-1)).cast("long")
+    return file_keys(files, files.select("doc_id", at.alias("num")).where("num is not null").join(objs.select("doc_id", "num", "dict"), ["doc_id", "num"]).select("doc_id", "num", "dict"), password)
+
+
+def _opened(files: DataFrame, raw: DataFrame, password: str | None) -> DataFrame:
+    keys = encryption(files, raw, password).withColumn("locked", F.lit(True))
+    n = [F.col(x) for x in ("key", "num", "gen", "cipher")]
+    both = raw.join(keys, "doc_id", "left").where("locked is null or status = 'ok'")
+    plain, coded = both.where("key is null"), both.where("key is not null")
+    whole = F.regexp_like("dict", F.lit(r"/Filter\s*/Standard")) | F.coalesce(name(F.col("dict"), "Type") == "XRef", F.lit(False))
+    dict_ = F.when(whole, F.col("dict")).otherwise(decrypt_strings(F.col("dict"), *n))
+    opened = coded.select("doc_id", "num", "gen", dict_.alias("dict"), F.when(whole, F.col("raw")).otherwise(decrypt(F.col("raw"), *n)).alias("raw"))
+    return plain.select("doc_id", "num", "gen", "dict", "raw").unionByName(opened)
+
+
 def trailers(files: DataFrame) -> DataFrame:
     """(doc_id, version, encrypted, info, root, n_bytes) of each file."""
     text = F.decode("content", LATIN)

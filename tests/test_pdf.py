@@ -110,3 +110,52 @@ def test_codecs():
     damaged = zlib.compress(b"x" * 5000 + os.urandom(3000))[:-1500]
     assert codecs.inflate(damaged).startswith(b"x" * 5000)
     assert codecs.ascii_hex(b"4 1zz4>ff") == b"A@" and codecs.ascii85(base64.a85encode(bytes(4)) + b"~>") == bytes(4)
+
+
+def locked(password: bytes, owner: bytes, revision: int, aes: bool = False) -> bytes:
+    """A one-page file encrypted as the handler's revisions 2 to 4 say."""
+    import hashlib
+    import os
+
+    from foliospark.sources import security as sec
+
+    n, file_id, p = 5 if revision == 2 else 16, b"0123456789abcdef", -44
+    own = hashlib.md5((owner + sec.PAD)[:32]).digest()
+    for _ in range(50 if revision >= 3 else 0):
+        own = hashlib.md5(own).digest()
+    o = (password + sec.PAD)[:32]
+    for i in range(20 if revision >= 3 else 1):
+        o = sec.rc4(bytes(k ^ i for k in own[:n]), o)
+    key = sec.user_key(password, o, p, file_id, revision, n, True)
+    u = sec.user_check(key, file_id, revision).ljust(32, b"\0")
+
+    def seal(data: bytes, num: int) -> bytes:
+        k = hashlib.md5(key + num.to_bytes(3, "little") + b"\0\0" + (b"sAlT" if aes else b"")).digest()[: min(n + 5, 16)]
+        if not aes:
+            return sec.rc4(k, data)
+        from pyspark.sql import SparkSession
+        from pyspark.sql import functions as F
+
+        session = SparkSession.getActiveSession()
+        return bytes(session.range(1).select(F.aes_encrypt(F.lit(bytearray(data)), F.lit(bytearray(k)), F.lit("CBC"), F.lit("PKCS"), F.lit(bytearray(os.urandom(16))))).first()[0])
+
+    kind = "/V 4 /CF << /StdCF << /CFM /AESV2 >> >> /StmF /StdCF /StrF /StdCF" if aes else f"/V {1 if revision == 2 else 2} /Length {n * 8}"
+    content = seal(TEXT, 4)
+    bodies = [
+        "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", "<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>", stream(content), "<< /Type /Font /Subtype /Type1 >>",
+        f"<< /Filter /Standard {kind} /R {revision} /P {p} /O <{o.hex()}> /U <{u.hex()}> >>", f"<< /Title <{seal(b'Secret', 7).hex()}> >>",
+    ]
+    return build(bodies, 1, f"/Info 7 0 R /Encrypt 6 0 R /ID [<{file_id.hex()}> <{file_id.hex()}>]")
+
+
+def test_encrypted_files(load):
+    files = load(locked(b"", b"own", 2), locked(b"", b"own", 3), locked(b"pw", b"own", 3), locked(b"", b"own", 4, aes=True), one_page(TEXT)).cache()
+    raw = pdf.objects(files).cache()
+    assert {r.doc_id: r.status for r in pdf.encryption(files, raw).collect()} == {0: "ok", 1: "ok", 2: "need_password", 3: "ok"}
+    assert {r.doc_id: r.status for r in pdf.encryption(files, raw, "pw").collect()}[2] == "ok" and {r.doc_id: r.status for r in pdf.encryption(files, raw, "own").collect()}[2] == "ok"
+    assert {r.doc_id: r.status for r in pdf.encryption(files, raw, "no").collect()} == {0: "bad_password", 1: "bad_password", 2: "bad_password", 3: "bad_password"}
+    objs = pdf.objects(files, decrypting=True).cache()
+    text = {r.doc_id: r.text for r in pdf.extract_text(files, objs).collect()}
+    assert text == {0: "\nHello", 1: "\nHello", 3: "\nHello", 4: "\nHello"}
+    titles = {r.doc_id: r.title for r in pdf.metadata(files, objs).collect()}
+    assert titles[0] == titles[1] == "Secret" and titles[2] is None
