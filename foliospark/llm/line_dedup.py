@@ -90,7 +90,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     spark = docs.sparkSession
     keys = staged(line_keys(docs.select("doc_id", "text"), min_chars), "line-keys")
     index = index_in_batches(spark, keys, batches, min_docs, fanout)
-    repeated = index.table().where(F.col("n_docs") >= min_docs)
+    repeated = staged(index.table().where(F.col("n_docs") >= min_docs), "repeated-lines")
     lost = keys.join(repeated, KEY).where(F.col("doc_id") < F.col("last_doc"))
     lost = lost.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("__lost"))
     lost = lost.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__of"), "__lost")

@@ -167,7 +167,7 @@ def grouped_masks(contexts: DataFrame, length: int) -> DataFrame:
     windows = contexts.select("h", "c", "owner", "left", "context", F.explode(F.when(F.octet_length("context") >= length, starts)).alias("j"))
     window = F.substring("context", F.col("j") - reach + F.col("left") + 1, F.lit(length))
     windows = windows.select("h", "c", "owner", "j", F.xxhash64(window).alias("w1"), F.xxhash64(F.lit("second"), window).alias("w2"))
-    least = windows.groupBy("w1", "w2").agg(F.min("owner").alias("first"))
+    least = staged(windows.groupBy("w1", "w2").agg(F.min("owner").alias("first")), "window-owners")
     bit = F.element_at(F.array(*(F.lit(1 << i).cast("long") for i in range(reach + 1))), F.col("j") + 1)
     return windows.join(least, ["w1", "w2"]).groupBy("h", "c", "owner").agg(F.bit_or(F.when(F.col("first") < F.col("owner"), bit).otherwise(F.lit(0).cast("long"))).alias("mask"))
 
