@@ -19,6 +19,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 #: Rows of (hash, count, array of at most 10 short strings) that may be broadcast; larger tables are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Stands behind the last shingle of a document; a shingle with this hash is told apart by its place.
+END = 2**62 + 1
 
 
 def words(text: Column) -> Column:
@@ -44,14 +46,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, row, n, pos, sh): where documents hold any shingle of any window. One pass over all texts."""
-    found = []
+    """(doc_id, row, n, pos, sh): where documents hold any shingle of any window, and a row a document with pos null, for its n words.
+
+    One pass over all texts: the shingles of all sizes and a mark for the end are exploded together.
+    """
+    known = [windows.where(F.col("k") == k).select(F.explode(F.slice(shingles("window", k), F.lit(1), F.size("window") - k + 1)).alias("known")) for k in sizes]
+    wanted = reduce(DataFrame.unionAll, known).unionAll(docs.sparkSession.range(1).select(F.lit(END).alias("known"))).distinct()
     cut = docs.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w"))
-    for k in sizes:
-        known = windows.where(F.col("k") == k).select(F.explode(F.slice(shingles("window", k), F.lit(1), F.size("window") - k + 1)).alias("known")).distinct()
-        at = cut.select("doc_id", "row", F.size("w").alias("n"), F.posexplode(shingles("w", k)).alias("pos", "sh"))
-        found.append(at.join(small(known, known.count()), F.col("sh") == F.col("known"), "left_semi"))
-    return reduce(DataFrame.unionAll, found)
+    each = F.concat(*(shingles("w", k) for k in sizes), F.array(F.lit(END)))
+    at = cut.select("doc_id", "row", F.size("w").alias("n"), F.posexplode(each).alias("place", "sh"))
+    found = at.join(small(wanted, wanted.count()), F.col("sh") == F.col("known"), "left_semi")
+    pos = F.when(F.col("place") < F.col("n") * len(sizes), F.pmod("place", F.greatest("n", F.lit(1))))
+    return found.select("doc_id", "row", "n", pos.alias("pos"), "sh")
 
 
 def prefixes(windows: DataFrame, found: DataFrame, sizes: list[int]) -> DataFrame:
@@ -75,23 +81,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     own = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
     kept = [c for c in docs.columns if c not in own]
     rows = docs.select(*kept, F.xxhash64("text").alias("__row"))
+    no_ids = F.array().cast("array<string>")
     if sizes:
-        found = staged(occurrences(docs, windows, sizes), "occurrences")
-        prefix = staged(prefixes(windows, found, sizes), "prefixes")
-        placed = found.join(small(prefix, prefix.count()), F.col("sh") == F.col("key")).withColumn("start", F.col("pos") - F.col("off"))
+        found = staged(occurrences(docs.select("doc_id", "text"), windows, sizes), "occurrences")
+        at = found.where("pos is not null")
+        prefix = staged(prefixes(windows, at, sizes), "prefixes")
+        placed = at.join(small(prefix, prefix.count()), F.col("sh") == F.col("key")).withColumn("start", F.col("pos") - F.col("off"))
         placed = placed.where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n")))
-        maybe = placed.groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__of")).agg(F.collect_set(F.struct("start", "window", "items")).alias("__maybe"))
-        rows = rows.join(maybe, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__of")), "left")
+        maybe = staged(placed.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "window", "items")).alias("maybe")), "candidates")
+        ends = found.where("pos is null").select("doc_id", "row", "n", F.lit(0).alias("hit"), no_ids.alias("ids"))
+        marks = ends.unionAll(verified(docs, maybe)).groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__of"))
+        marks = marks.agg(F.max("n").alias("__n"), F.max("hit").alias("__hit"), F.max("ids").alias("__ids"))
+        rows = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__of")), "left")
     else:
-        rows = rows.withColumn("__maybe", F.lit(None).cast("array<struct<start:int,window:array<string>,items:array<bigint>>>"))
-    rows = rows.withColumn("__w", words(F.col("text")))
-    same = F.filter("__maybe", lambda c: F.slice(F.col("__w"), c["start"] + 1, F.size(c["window"])) == c["window"])
-    rows = rows.withColumn("n_words", F.size("__w").cast("long")).withColumn("__hits", F.when(F.col("__maybe").isNotNull(), same))
-    covered = F.array_distinct(F.flatten(F.transform("__hits", lambda c: F.sequence(c["start"], c["start"] + F.size(c["window"]) - 1))))
-    ids = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform("__hits", lambda c: F.transform(c["items"], lambda i: i.cast("string")))))))
-    rows = rows.withColumn("n_hit", F.coalesce(F.size(covered), F.lit(0)).cast("long")).withColumn("item_ids", F.coalesce(ids, F.array().cast("array<string>")))
-    rows = rows.withColumn("n_items", F.size("item_ids").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
-    return rows.select(*kept, *own)
+        rows = rows.withColumn("__n", F.size(words(F.col("text")))).withColumn("__hit", F.lit(0)).withColumn("__ids", no_ids)
+    own_values = [F.col("__n").cast("long"), F.col("__hit").cast("long"), F.size("__ids").cast("long"), F.col("__ids"), F.col("__hit") > 0]
+    return rows.select(*kept, *(x.alias(name) for x, name in zip(own_values, own)))
+
+
+def verified(docs: DataFrame, maybe: DataFrame) -> DataFrame:
+    """(doc_id, row, n, hit, ids) of documents with candidates (doc_id, row, maybe): words hit and ids of items, exactly."""
+    texts = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("of_row"), "text")
+    both = texts.join(maybe, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("of_row") == F.col("row"))).select("doc_id", "row", words(F.col("text")).alias("w"), "maybe")
+    same = F.filter("maybe", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["window"])) == c["window"])
+    hits = both.select("doc_id", "row", F.size("w").alias("n"), same.alias("hits"))
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + F.size(c["window"]) - 1))))
+    ids = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform("hits", lambda c: F.transform(c["items"], lambda i: i.cast("string")))))))
+    return hits.select("doc_id", "row", "n", F.size(covered).alias("hit"), ids.alias("ids"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
