@@ -103,7 +103,9 @@ def verified(docs: DataFrame, maybe: DataFrame) -> DataFrame:
     """(doc_id, row, n, hit, ids) of documents with candidates (doc_id, row, maybe): words hit and ids of items, exactly."""
     texts = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("of_row"), "text")
     both = texts.join(maybe, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("of_row") == F.col("row"))).select("doc_id", "row", words(F.col("text")).alias("w"), "maybe")
-    same = F.filter("maybe", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["window"])) == c["window"])
+    # w is a lambda's variable, so that the optimizer can't put the cutting of words inside the filter, once a candidate
+    held = lambda w: F.filter("maybe", lambda c: F.slice(w, c["start"] + 1, F.size(c["window"])) == c["window"])
+    same = F.get(F.transform(F.array("w"), held), F.lit(0))
     hits = both.select("doc_id", "row", F.size("w").alias("n"), same.alias("hits"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + F.size(c["window"]) - 1))))
     ids = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform("hits", lambda c: F.transform(c["items"], lambda i: i.cast("string")))))))
