@@ -34,7 +34,7 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     Returns (rank, block). rank[i] is the place of the i-th rotation of the merge among the shards' own, laid end to end; each
     shard's rotations keep their order. block[i] numbers the runs of rotations that have their first `depth` symbols in
     common: a new block begins just where the common prefix with the rotation before is shorter. No rotation is compared
-    or sorted again: each round only deals the last interleave out by the two symbols before.
+    or sorted again: each round only deals the last interleave out by the symbols before.
     """
     if depth % 2:
         raise ValueError("depth has to be even")
@@ -48,15 +48,41 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     rank = np.arange(len(symbols), dtype=np.int32)
     block = np.zeros(len(symbols), np.int32)
     new = np.ones(len(symbols), bool)
-    for _ in range(depth // 2):
-        column = pair[rank]
-        dealt = np.argsort(column, kind="stable")
-        column, block, rank = column[dealt], block[dealt], back[rank[dealt]]
-        np.logical_or(column[1:] != column[:-1], block[1:] != block[:-1], out=new[1:])
-        block = np.cumsum(new, dtype=np.int32)
+    for column, back, rounds in dealing(pair, back, depth):
+        for _ in range(rounds):
+            letters = column[rank]
+            dealt = np.argsort(letters, kind="stable")
+            letters, block, rank = letters[dealt], block[dealt], back[rank[dealt]]
+            np.logical_or(letters[1:] != letters[:-1], block[1:] != block[:-1], out=new[1:])
+            block = np.cumsum(new, dtype=np.int32)
     return rank, block
 
 
+def dealing(pair: np.ndarray, back: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(letters, where the rotation that begins before them stands, rounds): the rounds of `depth` symbols.
+
+    Eight or four symbols a round where the shards hold few enough of them to number in 16 bits, and two for the rest.
+    """
+    known = [(pair, back, 2)]
+    while known[-1][2] < 8:
+        letters, back, n = known[-1]
+        before = letters[back]
+        order = np.argsort(letters, kind="stable")
+        order = order[np.argsort(before[order], kind="stable")]
+        first, second = before[order], letters[order]
+        number = np.cumsum(np.concatenate([[0], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
+        if number[-1] >= 1 << 16:
+            break
+        wider = np.empty(len(pair), np.uint16)
+        wider[order] = number
+        known.append((wider, back[back], 2 * n))
+    rounds = []
+    for letters, back, n in reversed(known):
+        rounds.append((letters, back, depth // n))
+        depth %= n
+    return rounds
+
+
 def shard_lists(strings: list[bytes], most: int) -> list[list[int]]:
     """Numbers of the strings of each shard, of about `most` bytes."""
     shards, held = [[]], 0

@@ -121,9 +121,12 @@ def meets(h: np.ndarray, sides: list[bytes]) -> np.ndarray:
 def chunk_masks(strings: list[bytes], left: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """Bit j of a context's mask: the window that begins j - reach from its anchor is in a string with a smaller owner."""
     reach, masks = length - GRAM, np.zeros(len(strings), np.int64)
-    for i, first in enumerate(repeats(strings, owner, length)):
-        j = np.flatnonzero(first < owner[i]) + reach - left[i]
-        masks[i] = (1 << j[j <= reach]).sum()
+    found = repeats(strings, owner, length)
+    windows = np.array([len(x) for x in found])
+    string = np.repeat(np.arange(len(found)), windows)
+    j = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows - reach + left, windows)
+    held = (np.concatenate(found) < owner[string]) & (j <= reach)
+    np.bitwise_or.at(masks, string[held], np.left_shift(1, j[held]))
     return masks
 
 
