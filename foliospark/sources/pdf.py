@@ -184,15 +184,22 @@ def contents(pages_: DataFrame, objs: DataFrame) -> DataFrame:
 
 
 def operations(contents_: DataFrame) -> DataFrame:
-    """(doc_id, page_no, op_no, op, operands): postfix operations; at most the last 64 operands count. Inline images become INLINE_IMAGE."""
+    """(doc_id, page_no, op_no, op, operands): postfix operations with the tokens of at most the last 64 operands; an array or dictionary is one operand, kept whole. Inline images become INLINE_IMAGE."""
     clean = F.regexp_replace("content", r"(?s)(?<![^\s])BI\s.*?\sEI(?![^\s])", " INLINE_IMAGE ")
     tokens = contents_.select("doc_id", "page_no", F.posexplode(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     is_op = F.regexp_like("token", F.lit(r"^[A-Za-z'\"][A-Za-z0-9_*]*$")) & ~F.col("token").isin("true", "false", "null")
     w = Window.partitionBy("doc_id", "page_no").orderBy("pos")
     numbered = tokens.withColumn("is_op", is_op).withColumn("op_no", F.sum(F.col("is_op").cast("int")).over(w) - F.col("is_op").cast("int"))
-    part = F.struct("pos", "token")
-    out = numbered.groupBy("doc_id", "page_no", "op_no").agg(F.max(F.when(F.col("is_op"), F.col("token"))).alias("op"), F.array_sort(F.collect_list(F.when(~F.col("is_op"), part))).alias("parts"))
-    return out.where("op is not null").select("doc_id", "page_no", "op_no", "op", F.transform(F.slice("parts", F.greatest(F.lit(1), F.size("parts") - 63), 64), lambda p: p["token"]).alias("operands"))
+    mine = Window.partitionBy("doc_id", "page_no", "op_no").orderBy("pos")
+    opens, closes = F.col("token").isin("[", "<<"), F.col("token").isin("]", ">>")
+    level = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(mine)
+    numbered = numbered.withColumn("level", level)
+    numbered = numbered.withColumn("level", F.col("level") - F.least(F.lit(0), F.min("level").over(mine)))  # brackets that close nothing count for nothing
+    begins = (F.coalesce(F.lag("level").over(mine), F.lit(0)) == 0) & ~closes & ~F.col("is_op")
+    part = F.struct("pos", "token", "nth")
+    out = numbered.withColumn("nth", F.sum(begins.cast("int")).over(mine)).groupBy("doc_id", "page_no", "op_no").agg(F.max(F.when(F.col("is_op"), F.col("token"))).alias("op"), F.array_sort(F.collect_list(F.when(~F.col("is_op"), part))).alias("parts"))
+    first = F.try_element_at("parts", F.lit(-1))["nth"] - 64
+    return out.where("op is not null").select("doc_id", "page_no", "op_no", "op", F.transform(F.filter("parts", lambda p: p["nth"] > first), lambda p: p["token"]).alias("operands"))
 
 
 def fonts(pages_: DataFrame, objs: DataFrame) -> DataFrame:

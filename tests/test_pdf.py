@@ -32,6 +32,14 @@ def test_text_rules(load):
     assert texts(files) == {(0, 1): "\nHello", (1, 1): "Foo\nBar", (2, 1): "a(b)\\A\n x(y)z\nAB", (3, 1): "AB C\nD", (4, 1): "“q”", (5, 1): "\nHello", (6, 1): "ok"}
 
 
+def test_long_arrays_are_one_operand(load):
+    kerned = b" ".join(b"(%d) -20" % i for i in range(400))
+    files = load(one_page(b"BT /F1 9 Tf [" + kerned + b"] TJ ET"), one_page(b"BT /F1 9 Tf (a) Tj ] ] /P << /K [" + b"1 " * 200 + b"] >> BDC " + b"7 " * 100 + b"[(b) [1] (c)] TJ ET"))
+    assert texts(files) == {(0, 1): "".join(map(str, range(400))), (1, 1): "abc"}
+    ops = {r.op: r.operands for r in pdf.operations(pdf.contents(pdf.pages(pdf.objects(files)), pdf.objects(files))).where("doc_id = 1").collect()}
+    assert ops["TJ"] == ["7"] * 63 + ["[", "(b)", "[", "1", "]", "(c)", "]"] and ops["BDC"][-206:] == ["/P", "<<", "/K", "[", *["1"] * 200, "]", ">>"][-207:]
+
+
 def test_unicode_maps(load):
     cmap = b"begincmap 2 beginbfchar <0001> <0041> <0002> <D83DDE00> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<005A> <0059>] endbfrange endcmap"
     font = "<< /Type /Font /Subtype /Type0 /ToUnicode 6 0 R >>"
