@@ -29,17 +29,37 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(vocabulary: str, end_of_text: int = 50256):
-    """Byte-level BPE from a rank file. Gives the ids that the tokenizer file of the same vocabulary gives, several times faster."""
+    """A function from a text to its ids: byte-level BPE from a rank file, several times faster than the tokenizer file of the same vocabulary, and with the same ids.
+
+    The rank file's regular expressions give up on very long stretches of white space; such a text goes through the tokenizer file.
+    """
     if vocabulary not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(vocabulary), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[vocabulary] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": end_of_text})
+        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": end_of_text})
+
+        def encode(text: str) -> list[int]:
+            try:
+                return fast.encode(text, allowed_special="all", disallowed_special=())
+            except ValueError:  # the stack of the regular expression ran out
+                return whole_file_encoder(vocabulary.rsplit(".", 1)[0] + ".json").encode(text, add_special_tokens=False).ids
+
+        _encoders[vocabulary] = encode
     return _encoders[vocabulary]
 
 
+def whole_file_encoder(name: str):
+    if name not in _encoders:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        _encoders[name] = Tokenizer.from_file(public_tokenizers.path(name))
+    return _encoders[name]
+
+
 class Pool:
     """Pieces of one tier by length; takes the longest that fits."""
 
@@ -189,7 +209,7 @@ def pack_batches(batches: Iterator[pa.RecordBatch], tiers: tuple[int, ...], voca
     tokens = 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = np.array(encode.encode(text.as_py() or "", allowed_special="all", disallowed_special=()) + [end], "<u4")
+            ids = np.array(encode(text.as_py() or "") + [end], "<u4")
             held[number], names[number] = ids, doc_id
             packer.document(number, len(ids))
             number += 1

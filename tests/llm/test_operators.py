@@ -254,3 +254,17 @@ def test_copied_secrets_are_told_from_live_ones(spark):
     data = [(i, f"see {key} here", f"o{i}") for i in range(4)] + [(9, "mine ghp_ZzYyXxWwVvUuTtSsRrQq9z8y7x6w5v4u", "o9")] + [(i, "token = 'example-example'", f"o{i}") for i in range(20, 24)]
     got = {r.doc_id: r.found for r in secret_scan.scan_secrets(spark.createDataFrame(data, DOCS + ", owner string"), F.col("owner"), F.col("owner")).collect()}
     assert got[0] == [] and got[9][0].verdict == "live" and got[20][0].verdict == "example" and got[20][0].owners == 4
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "\n \t" * 300_000, "a" * 1_000_000, "x " * 10 + " " * 700_000 + "<|endoftext|>  end"])
+def test_ids_of_very_long_runs(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder("byte_bpe_50k.tiktoken")(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_a_million_blanks(spark):
+    pieces = packing.pack(spark.createDataFrame([(1, " " * 1_000_000), (2, "b")], DOCS)).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 1) == next(r.doc_tokens for r in pieces if r.doc_id == 1) > 1
