@@ -4,36 +4,68 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writers: dict[int, list] = {}  # by session: how many write, and the setting before the first of them
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder, as in tests.
+
+    On a cluster an unset folder is an error: executors would write to disks of their own, and the rows that the driver can't see be lost.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_folio_dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that driver and executors share (master is {master!r})")
         found = spark._folio_dir = "file://" + tempfile.mkdtemp(prefix="foliospark-")
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
+def _cleaning(spark: SparkSession, on: bool) -> None:
+    """Shuffle files go with the job while any thread writes; the last one restores the setting."""
+    with _lock:
+        held = _writers.setdefault(id(spark), [0, None])
+        if on and held[0] == 0:
+            held[1] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        held[0] += 1 if on else -1
+        if not on and held[0] == 0:
+            spark.conf.set(CLEANUP, held[1])
+
+
+def staged(df: DataFrame, what: str, instead_of: tuple[DataFrame, ...] | list[DataFrame] = ()) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: cuts lineage, and survives lost executors.
 
-    Shuffle files of the job that writes it go when it ends, the written table when the program does.
+    Shuffle files of the job that writes it go when it ends. instead_of: staged tables that nothing reads any more once df is
+    written; they are deleted then. What is left goes when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    atexit.register(remove, spark, path)
+    _cleaning(spark, True)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
-    atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+        _cleaning(spark, False)
+    discard(*instead_of)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables; other DataFrames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_folio_path", None):
+            remove(t.sparkSession, path)
+            t._folio_path = None
 
 
 def remove(spark: SparkSession, path: str) -> None:
