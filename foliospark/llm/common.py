@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.storage import staged
+from foliospark.storage import discard, staged
 
-__all__ = ["WHITE", "ascii_lower", "hex_sha256", "read", "staged"]
+__all__ = ["WHITE", "ascii_lower", "discard", "hex_sha256", "read", "staged"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\f\r"

@@ -20,11 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("at")).agg(F.least(F.min("v"), F.col("at")).alias("m"))
         large = both.join(least, F.col("u") == F.col("at")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = staged(large, "large-star")
+        large = staged(large, "large-star", [edges])
         least = large.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
         joined = large.join(least, F.col("u") == F.col("at"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionAll(least.select(F.col("at").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = staged(small, "small-star")
+        edges = staged(small, "small-star", [large])
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
