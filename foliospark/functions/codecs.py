@@ -171,14 +171,15 @@ def png_predictor(data: bytes, columns: int = 1, colors: int = 1, bits: int = 8)
     return bytes(out)
 
 
-def png_encode(data: bytes, columns: int = 1) -> bytes:
-    """Rows of one byte a pixel, filtered by each of the five kinds in turn; a last row is filled with zeros."""
-    out, above = bytearray(), [0] * columns
-    for n, at in enumerate(range(0, len(data), columns)):
-        line, kind = list(data[at : at + columns].ljust(columns, b"\0")), n % 5
+def png_encode(data: bytes, columns: int = 1, colors: int = 1) -> bytes:
+    """Rows of 8-bit pixels, filtered by each of the five kinds in turn; a last row is filled with zeros."""
+    row = columns * colors
+    out, above = bytearray(), [0] * row
+    for n, at in enumerate(range(0, len(data), row)):
+        line, kind = list(data[at : at + row].ljust(row, b"\0")), n % 5
         coded = []
         for i, v in enumerate(line):
-            a, b, c = (line[i - 1] if i else 0), above[i], (above[i - 1] if i else 0)
+            a, b, c = (line[i - colors] if i >= colors else 0), above[i], (above[i - colors] if i >= colors else 0)
             p = a + b - c
             guess = (0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2])[kind]
             coded.append((v - guess) & 255)
@@ -223,26 +224,32 @@ FILTERS: dict[str, Callable[[bytes], bytes]] = {
 }
 
 
-def decode_chain(data: bytes | None, names, predictor: int | None = None, columns: int | None = None, colors: int | None = None) -> bytes | None:
+def decode_chain(data: bytes | None, names, parms=None) -> bytes | None:
+    """data through its filters; parms has the decoding parameters (predictor, columns, colors, bits, early) of each, or null."""
     if data is None:
         return None
-    for name in names if names is not None else ():
-        data = FILTERS.get(name, bytes)(data)
-        if name in ("FlateDecode", "Fl", "LZWDecode", "LZW") and predictor and predictor > 1:
+    for i, name in enumerate(names if names is not None else ()):
+        p = parms[i] if parms is not None and i < len(parms) and parms[i] is not None else {}
+        value = lambda key, default, p=p: default if p.get(key) is None else int(p[key])
+        if name in ("LZWDecode", "LZW"):
+            data = lzw(data, value("early", 1))
+        else:
+            data = FILTERS.get(name, bytes)(data)
+        predictor = value("predictor", 1)
+        if name in ("FlateDecode", "Fl", "LZWDecode", "LZW") and predictor > 1:
             undo = tiff_predictor if predictor == 2 else png_predictor
-            data = undo(data, columns or 1, colors or 1)
+            data = undo(data, max(1, value("columns", 1)), max(1, value("colors", 1)), max(1, value("bits", 8)))
     return data
 
 
-def decode_stream(data, names, predictor, columns):
-    """Column of streams decoded through their filters (an array of names), a batch of rows at a time."""
+def decode_stream(data, names, parms):
+    """Column of streams decoded through their filters (an array of names) with an array of parameters, a batch of rows at a time."""
 
     @F.pandas_udf("binary")
-    def run(data: pd.Series, names: pd.Series, predictor: pd.Series, columns: pd.Series) -> pd.Series:
-        whole = lambda v: None if v is None or v != v else int(v)
-        return pd.Series([decode_chain(d, n, whole(p), whole(c)) for d, n, p, c in zip(data, names, predictor, columns)])
+    def run(data: pd.Series, names: pd.Series, parms: pd.Series) -> pd.Series:
+        return pd.Series([decode_chain(*row) for row in zip(data, names, parms)])
 
-    return run(data, names, predictor, columns)
+    return run(data, names, parms)
 
 
 def codec(f: Callable[[bytes], bytes]):

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.storage import staged
+
 
 def newest_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The row of each key with the largest order; an aggregate, so hot keys shrink before the shuffle."""
@@ -79,33 +81,41 @@ def coalesce_lines(runs: DataFrame, by: list[str], order: str = "ord") -> DataFr
     return pages.select(*by, F.posexplode(lines).alias("line_no", "line")).select(*by, "line_no", "line.baseline", "line.height", "line.text")
 
 
-def flatten_tree(nodes: DataFrame, inherited: list[str], sep: str = ".", depth: int = 64) -> DataFrame:
-    """Walks (id, parent, name, inherited columns) from the roots (null parent) by a recursive query.
+def flatten_tree(nodes: DataFrame, inherited: list[str], sep: str = ".") -> DataFrame:
+    """Walks (id, parent, name, inherited columns) from the roots (null parent) by a recursive query, however deep it goes.
 
     Gives id, parent, name, level, path (names joined by sep) and each inherited column from the nearest ancestor that has it.
-    Levels below depth are cut off; a node that is its own ancestor is never reached from a root.
+    Ids have to be unique; then a node that is its own ancestor is never reached from a root. Nodes are written out first, since
+    each level reads them, and so is the result, as the limits of recursion are lifted only while it is made.
     """
     spark, view = nodes.sparkSession, f"nodes_{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # trees of all files together have no bound on rows
-    nodes.createOrReplaceTempView(view)
+    held = staged(nodes, "tree-nodes")
+    limits = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": "-1"}
+    before = {k: spark.conf.get(k) for k in limits}
+    held.createOrReplaceTempView(view)
     try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
         own = "".join(f", n.{c}" for c in inherited)
         down = "".join(f", coalesce(n.{c}, t.{c})" for c in inherited)
         names = "".join(f", {c}" for c in inherited)
-        return spark.sql(f"""
+        tree = spark.sql(f"""
             WITH RECURSIVE t(id, parent, name, level, path{names}) AS (
               SELECT n.id, n.parent, n.name, 0, n.name{own} FROM {view} n WHERE n.parent IS NULL
               UNION ALL
               SELECT n.id, n.parent, n.name, t.level + 1, concat(t.path, '{sep}', n.name){down}
-              FROM {view} n JOIN t ON n.parent = t.id WHERE t.level < {depth}
+              FROM {view} n JOIN t ON n.parent = t.id
             ) SELECT * FROM t""")
+        return staged(tree, "tree", [held])
     finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
         spark.catalog.dropTempView(view)
 
 
-def tile_grid(cells: DataFrame, nx: Column, ny: Column, most: int = 4000) -> DataFrame:
-    """A row per tile (ix, iy) of each cell pattern; patterns of over `most` tiles are left out, as a viewer does."""
-    grid = cells.where(nx * ny <= most).withColumn("ix", F.explode(F.sequence(F.lit(0), nx - 1)))
+def tile_grid(cells: DataFrame, nx: Column, ny: Column, most: int | None = None) -> DataFrame:
+    """A row per tile (ix, iy) of each cell pattern; with most, patterns of more tiles are left out, as a viewer does."""
+    grid = (cells if most is None else cells.where(nx * ny <= most)).withColumn("ix", F.explode(F.sequence(F.lit(0), nx - 1)))
     return grid.withColumn("iy", F.explode(F.sequence(F.lit(0), ny - 1)))
 
 

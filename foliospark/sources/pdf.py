@@ -1,31 +1,44 @@
 """PDF files as relations.
 
 Files come from Spark's binaryFile source (or any table with doc_id and content). Bytes are read as ISO-8859-1 text, one character a
-byte, so that scanning for objects, dictionaries and tokens are Spark expressions; later definitions of an object win, as in
-a file whose cross-reference table is rebuilt. Only stream filters run in Python (Arrow UDF). Every relation is keyed by
-doc_id, so all joins and windows are within a file and spread over files. Damaged input gives fewer rows, not errors.
+byte, so that scanning for objects, dictionaries and tokens are Spark expressions (see syntax). Only stream filters and RC4
+run in Python (Arrow UDFs). Every relation is keyed by doc_id, so all joins and windows are within a file and spread over
+files. Damaged input gives fewer rows and a row in warnings, not errors.
 
-Limits: dictionaries are matched by key, not by nesting; strings hold one level of inner brackets; revisions
-5 and 6 of encryption are reported, not opened; text of form XObjects is not followed.
+An object's definitions are ranked by their place in the file, those in object streams by the place of their stream; an entry
+of a later cross-reference section that frees an object removes it. Where startxref leads nowhere the file is read as a
+rebuilt one: objects of streams override none, and nothing is free.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions import document as doc
 from foliospark.functions.codecs import decode_stream
+from foliospark.functions.encodings import base_encoding, by_table, glyph_text
 from foliospark.functions.text import is_allowed_uri, page_label, pdf_date, permission_flags
 from foliospark.operators.relational import asof, flatten_tree, newest_wins
+from foliospark.sources import syntax as sx
 from foliospark.sources.security import decrypt, decrypt_strings, file_keys
+from foliospark.sources.syntax import LATIN, as_bytes, as_int, as_name, as_number, as_ref, as_text, entries, every, get, items, numbers, refs, resolved
 from foliospark.storage import staged
 
-LATIN = "ISO-8859-1"
-STRING = r"\(((?:[^\\()]++|\\[\s\S]|\((?:[^\\()]++|\\[\s\S])*+\))*+)\)"
-#: A token of a content stream: string, hex string, name, number or operator, bracket.
-TOKEN = r"\((?:[^\\()]++|\\[\s\S]|\((?:[^\\()]++|\\[\s\S])*+\))*+\)|<<|>>|<[0-9A-Fa-f\s]*>|/[^\s/<>\[\]()]*|\[|\]|[^\s/<>\[\]()]+"
-#: Characters of the codes 0x80 to 0x9F in the Windows encoding; undefined codes give a bullet.
-WINDOWS = "€•‚ƒ„…†‡ˆ‰Š‹Œ•Ž••‘’“”•–—˜™š›œ•žŸ"
+#: What a file is made of: objects (up to endobj; a stream's data may hold that word), tables, trailers and the offset at the end.
+ITEM = (
+    r"\d++\s++\d++\s++obj\b(?:(?!endobj|>>\s*+stream\r?\n)[\s\S])*+(?:endobj|>>\s*+stream\r?\n[\s\S]*?endstream\s*+(?:endobj|(?=\d+\s+\d+\s+obj\b)|$))"
+    r"|\bxref\s++(?:\d++\s++\d++\s++(?:\d{10}\s\d{5}\s[nf]\s*+)*+)++"
+    rf"|\btrailer\s*+{sx.GROUP}"
+)
+E = "entries"
+#: An operation of a content stream: its operands, then the operator. Brackets that close nothing are skipped.
+OPERATOR = r"[A-Za-z'\"][A-Za-z0-9_*'\"]*+"
+OPERAND = rf"{sx.SPACE}++|{sx.COMMENT}|{sx.STRING}|{sx.GROUP}|{sx.HEX}|{sx.NAME}|(?:true|false|null)(?!{sx.REGULAR})|(?![A-Za-z'\"]){sx.REGULAR}++|[\]>){{}}\[<(]"
+OPERATION = rf"((?:{OPERAND})*+)({OPERATOR})"
+TRAILER = -1  # the number of the row that holds a file's trailer
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -33,187 +46,279 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
 
 
-def number(d: Column, key: str) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(d, rf"/{key}\s+(-?\d+)", 1), F.lit("")), F.lit("S999999999999")).cast("long")
-
-
-def ref(d: Column, key: str) -> Column:
-    return F.nullif(F.regexp_extract(d, rf"/{key}\s+(\d+)\s+\d+\s+R", 1), F.lit("")).cast("long")
-
-
-def name(d: Column, key: str) -> Column:
-    return F.nullif(F.regexp_extract(d, rf"/{key}\s*/([^\s/<>\[\]()]+)", 1), F.lit(""))
-
-
-def array(d: Column, key: str) -> Column:
-    return F.nullif(F.regexp_extract(d, rf"/{key}\s*\[([^\]]*)\]", 1), F.lit(""))
-
-
-def refs(value: Column) -> Column:
-    return F.transform(F.regexp_extract_all(value, F.lit(r"(\d+)\s+\d+\s+R"), F.lit(1)), lambda r: r.cast("long"))
-
+def header_offset(text: Column) -> Column:
+    return doc.header_offset(text)
 
-def numbers(value: Column) -> Column:
-    return F.transform(F.regexp_extract_all(value, F.lit(r"-?\d*\.?\d+"), F.lit(0)), lambda n: n.cast("double"))
 
+def is_sound(text: Column) -> Column:
+    """Whether the last startxref leads to a table or an object, counted from the file's or the header's begin."""
+    at = F.try_element_at(every(text, r"startxref\s+(\d{1,10})", 1), F.lit(-1)).cast("long")
+    there = lambda place: F.regexp_like(F.substring(text, (place + 1).cast("int"), F.lit(40)), F.lit(r"^\s*(?:xref\b|\d+\s+\d+\s+obj\b)"))
+    return F.coalesce(at.isNotNull() & (there(at) | there(at + header_offset(text))), F.lit(False))
 
-def literal(raw: Column) -> Column:
-    """The characters of a literal string: escapes, octal codes and continued lines undone."""
-    tokens = F.regexp_extract_all(raw, F.lit(r"\\[0-7]{1,3}|\\\r?\n|\\[\s\S]|[^\\]+"), F.lit(0))
-    special = F.create_map(*(F.lit(x) for x in ("n", "\n", "r", "\r", "t", "\t", "b", "\b", "f", "\f")))
 
-    def value(t: Column) -> Column:
-        rest = F.substring(t, 2, 1 << 30)
-        return (
-            F.when(~F.startswith(t, F.lit("\\")), t).when(F.regexp_like(rest, F.lit("^[0-7]")), F.char(F.conv(rest, 8, 10).cast("int") % 256))
-            .when(F.regexp_like(rest, F.lit("^\r?\n")), F.lit("")).otherwise(F.coalesce(F.try_element_at(special, rest), rest))
-        )
+def _stream_data(body: Column, length: Column) -> Column:
+    """A stream's bytes: as many as its length says if endstream follows these, else up to the last endstream."""
+    data = F.regexp_extract(body, r"(?s)>>\s*+stream\r?\n(.*)$", 1)
+    n = length.cast("int")
+    exact = F.regexp_like(F.substring(data, n + 1, F.lit(14)), F.lit(r"^\s*endstream"))
+    scanned = F.regexp_extract(data, r"(?s)^(.*?)\r?\n?endstream(?![\s\S]*endstream)", 1)
+    return F.encode(F.when((n >= 0) & exact, F.substring(data, F.lit(1), n)).otherwise(scanned), LATIN)
 
-    return F.array_join(F.transform(tokens, value), "")
 
-
-def unhex_latin(digits: Column) -> Column:
-    clean = F.regexp_replace(digits, "[^0-9A-Fa-f]", "")
-    return F.decode(F.unhex(F.when(F.length(clean) % 2 == 1, F.concat(clean, F.lit("0"))).otherwise(clean)), LATIN)
-
-
-def text_string(raw: Column) -> Column:
-    """A text string outside content: UTF-16 with a byte order mark, else one character a byte."""
-    wide = F.decode(F.encode(F.substring(raw, 3, 1 << 30), LATIN), "UTF-16BE")
-    return F.when(F.startswith(raw, F.lit("þÿ")), wide).otherwise(raw)
-
-
-def string(d: Column, key: str) -> Column:
-    """A dictionary's text string, literal or hex; null where the key is missing."""
-    found, hexed = F.regexp_extract(d, rf"/{key}\s*{STRING}", 1), F.regexp_extract(d, rf"/{key}\s*<([0-9A-Fa-f\s]*)>", 1)
-    return F.when(F.regexp_like(d, F.lit(rf"/{key}\s*\(")), text_string(literal(found))).when(F.regexp_like(d, F.lit(rf"/{key}\s*<[0-9A-Fa-f]")), text_string(unhex_latin(hexed)))
+def _parms(e: Column) -> tuple[Column, Column]:
+    """Filter names of a stream, and the decoding parameters of each (null without)."""
+    listed = lambda v: F.when(F.startswith(v, F.lit("[")), items(v)).otherwise(F.array(v))
+    filters, parms = get(e, "Filter", "F"), get(e, "DecodeParms", "DP")
+    names = F.transform(F.when(filters.isNotNull(), listed(filters)), as_name)
+    one = lambda p: F.struct(*(as_int(get(entries(p), key)).alias(name) for key, name in (("Predictor", "predictor"), ("Columns", "columns"), ("Colors", "colors"), ("BitsPerComponent", "bits"), ("EarlyChange", "early"))))
+    return names, F.when(parms.isNotNull(), F.transform(listed(parms), one))
 
 
 def objects(files: DataFrame, password: str | None = None, decrypting: bool = False) -> DataFrame:
-    """(doc_id, num, gen, dict, stream): the last definition of each object; stream is decoded. Objects packed in object streams are listed too, but override none.
+    """(doc_id, num, gen, dict, stream, entries): the definition of each object that counts; stream is decoded, entries are those of a dictionary.
 
-    With decrypting, encrypted files are opened with the password (or the empty one), and those that it does not open have no
-    objects; without, their strings and streams stay as they are.
+    A row with num -1 holds the file's trailer, its keys merged over all sections, newest first. With decrypting, encrypted files
+    are opened with the password (or the empty one), and those that it does not open have no objects; without, their
+    strings and streams stay as they are. Items of the files and the definitions that count are written out on the way, since
+    trailers, tables, streams and keys each read them.
     """
     text = F.decode("content", LATIN)
-    each = files.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)\d+\s+\d+\s+obj\b.*?\bendobj"), F.lit(0))).alias("ord", "o"))
+    each = staged(files.select("doc_id", is_sound(text).alias("sound"), F.posexplode(every(text, ITEM)).alias("ord", "o")), "pdf-items")
     head = r"^(\d+)\s+(\d+)\s+obj"
-    each = each.select("doc_id", "ord", F.regexp_extract("o", head, 1).cast("long").alias("num"), F.regexp_extract("o", head, 2).cast("long").alias("gen"), F.regexp_replace("o", r"(?s)^\d+\s+\d+\s+obj\s*|\s*endobj$", "").alias("body"))
-    last = newest_wins(each, ["doc_id", "num"], "ord")
-    d = F.regexp_extract("body", r"(?s)^(.*?)(?:\bstream\r?\n|$(?![\s\S]))", 1)
-    raw = F.when(F.regexp_like("body", F.lit(r"\bstream\r?\n")), F.encode(F.regexp_extract("body", r"(?s)\bstream\r?\n(.*?)\r?\n?endstream", 1), LATIN))
-    last = last.select("doc_id", "num", "gen", d.alias("dict"), raw.alias("raw"))
+    found = each.where(F.regexp_like("o", F.lit(r"^\d"))).select(
+        "doc_id", "sound", "ord", F.regexp_extract("o", head, 1).cast("long").alias("num"), F.regexp_extract("o", head, 2).cast("long").alias("gen"), F.regexp_replace("o", r"^\d+\s+\d+\s+obj\s*|\s*endobj$", "").alias("body"),
+    )
+    last = newest_wins(found, ["doc_id", "num"], "ord")
+    has_stream = F.regexp_like("body", F.lit(r">>\s*+stream\r?\n"))
+    d = F.when(has_stream, F.regexp_extract("body", r"(?s)^(.*?>>)\s*+stream\r?\n", 1)).otherwise(F.col("body"))
+    last = last.select("doc_id", "num", "gen", "ord", "sound", d.alias("dict"), F.when(has_stream, F.col("body")).alias("body"))
+    last = staged(last.withColumn("entries", entries(F.col("dict"))), "pdf-definitions")
+    coded = resolved(last.where("body is not null"), last.withColumn("stream", F.when(F.col("body").isNotNull(), F.lit(b""))), "Length", "Filter", "DecodeParms")
+    coded = coded.select("doc_id", "num", "gen", "ord", "sound", "dict", "entries", _stream_data(F.col("body"), as_int(get(E, "Length"))).alias("raw"))
+    trailers_ = staged(_trailers(each, coded), "pdf-trailers")
     if decrypting:
-        last = _opened(files, last, password)
-    names = F.regexp_extract_all(F.regexp_extract("dict", r"/Filter\s*(\[[^\]]*\]|/[^\s/<>\[\]()]+)", 1), F.lit(r"/([^\s/<>\[\]()]+)"), F.lit(1))
-    plain = last.where("raw is null").select("doc_id", "num", "gen", "dict", F.lit(None).cast("binary").alias("stream"))
-    coded = last.where("raw is not null").select("doc_id", "num", "gen", "dict", decode_stream(F.col("raw"), names, number(F.col("dict"), "Predictor"), number(F.col("dict"), "Columns")).alias("stream"))
+        plain, coded = (_opened(files, part, last, trailers_, password) for part in (last.where("body is null").withColumn("raw", F.lit(None).cast("binary")), coded))
+    else:
+        plain = last.where("body is null")
+    names, parms = _parms(E)
+    coded = coded.select("doc_id", "num", "gen", "ord", "sound", "dict", "entries", decode_stream(F.col("raw"), names, parms).alias("stream"))
+    coded = staged(coded, "pdf-streams")
+    plain = plain.select("doc_id", "num", "gen", "ord", "sound", "dict", "entries", F.lit(None).cast("binary").alias("stream"))
     scanned = plain.unionByName(coded)
-    packed = coded.where(name(F.col("dict"), "Type") == "ObjStm").select("doc_id", number(F.col("dict"), "First").alias("first"), F.decode("stream", LATIN).alias("t"))
-    heads = numbers(F.substring("t", F.lit(1), F.col("first").cast("int")))
-    packed = packed.withColumn("heads", F.transform(heads, lambda n: n.cast("long")))
-    packed = packed.select("doc_id", "first", "t", "heads", F.explode(F.sequence(F.lit(0), F.floor(F.size("heads") / 2).cast("int") - 1)).alias("i")).where("size(heads) >= 2")
-    begin, end = F.get("heads", 2 * F.col("i") + 1), F.coalesce(F.get("heads", 2 * F.col("i") + 3), F.length("t") - F.col("first"))
-    inner = packed.select("doc_id", F.get("heads", 2 * F.col("i")).alias("num"), F.lit(0).cast("long").alias("gen"), F.substring("t", (F.col("first") + begin + 1).cast("int"), (end - begin).cast("int")).alias("dict"), F.lit(None).cast("binary").alias("stream"))
-    return scanned.unionByName(newest_wins(inner, ["doc_id", "num"], "gen").join(scanned.select("doc_id", "num"), ["doc_id", "num"], "left_anti"))
+    inner = _packed(coded).withColumn("entries", entries(F.col("dict")))
+    first = F.when(~F.col("sound") & (F.col("place") < 0), 1).otherwise(0)
+    both = scanned.withColumn("place", F.lit(-1)).unionByName(inner).withColumn("rank", F.struct(first.alias("plain"), "ord", "place"))
+    frees = staged(_freed(each, coded), "pdf-freed", [each])
+    best = newest_wins(both, ["doc_id", "num"], "rank").join(frees, ["doc_id", "num"], "left")
+    best = best.where(~F.col("sound") | F.col("freed").isNull() | (F.col("freed") < F.col("ord")))
+    return best.select("doc_id", "num", "gen", "dict", "stream", "entries").unionByName(trailers_)
+
+
+def _packed(coded: DataFrame) -> DataFrame:
+    """Objects of object streams, at the place of their stream."""
+    packed = coded.where(as_name(get(E, "Type")) == "ObjStm").select("doc_id", "ord", "sound", as_int(get(E, "First")).cast("int").alias("first"), F.decode("stream", LATIN).alias("t"))
+    heads = F.transform(every(F.substring("t", F.lit(1), F.col("first")), r"\d+"), lambda n: n.cast("long"))
+    packed = packed.withColumn("heads", heads).where("size(heads) >= 2")
+    packed = packed.select("doc_id", "ord", "sound", "first", "t", "heads", F.explode(F.sequence(F.lit(0), F.floor(F.size("heads") / 2).cast("int") - 1)).alias("place"))
+    begin, end = F.get("heads", 2 * F.col("place") + 1), F.coalesce(F.get("heads", 2 * F.col("place") + 3), F.length("t") - F.col("first"))
+    cut = F.substring("t", (F.col("first") + begin + 1).cast("int"), (end - begin).cast("int"))
+    return packed.select("doc_id", F.get("heads", 2 * F.col("place")).alias("num"), F.lit(0).cast("long").alias("gen"), "ord", "sound", cut.alias("dict"), F.lit(None).cast("binary").alias("stream"), "place")
+
+
+def _trailers(each: DataFrame, coded: DataFrame) -> DataFrame:
+    """A row per file for objects(): the entries of its trailers in order of place, so that the newest count."""
+    tables = each.where(F.startswith("o", F.lit("trailer"))).select("doc_id", "ord", entries(F.regexp_replace("o", r"^trailer", "")).alias("e"))
+    streams = coded.where(as_name(get(E, "Type")) == "XRef").select("doc_id", "ord", F.col(E).alias("e"))
+    merged = tables.unionByName(streams).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "e"))), lambda x: x["e"])).alias("entries"))
+    text = F.concat(F.lit("<<"), F.array_join(F.transform("entries", lambda x: F.concat(F.lit(" /"), x["k"], F.lit(" "), x["v"])), ""), F.lit(" >>"))
+    return merged.select("doc_id", F.lit(TRAILER).cast("long").alias("num"), F.lit(0).cast("long").alias("gen"), text.alias("dict"), F.lit(None).cast("binary").alias("stream"), "entries")
+
+
+def _freed(each: DataFrame, coded: DataFrame) -> DataFrame:
+    """(doc_id, num, freed): the last place whose table or cross-reference stream says that the object is free."""
+    sub = F.explode(every(F.col("o"), r"\d+\s+\d+\s+(?:\d{10}\s\d{5}\s[nf]\s*)+")).alias("sub")
+    start = F.regexp_extract("sub", r"^(\d+)", 1).cast("long")
+    flags = every(F.col("sub"), r"\d{10}\s\d{5}\s([nf])", 1)
+    free = lambda kinds, first, zero: F.filter(F.transform(kinds, lambda k, i: F.when(k == zero, first + i)), lambda n: n.isNotNull() & (n > 0))
+    tables = each.where(F.startswith("o", F.lit("xref")) & F.col("sound")).select("doc_id", "ord", sub).select("doc_id", "ord", F.explode(free(flags, start, "f")).alias("num"))
+    xref = coded.where((as_name(get(E, "Type")) == "XRef") & F.col("sound")).select("doc_id", "ord", F.hex("stream").alias("h"), numbers(get(E, "W")).alias("w"), F.coalesce(numbers(get(E, "Index")), F.array(F.lit(0.0), as_number(get(E, "Size")))).alias("index"))
+    width = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(0.0)).cast("int")
+    xref = xref.where((width(0) > 0) & (width(0) + width(1) + width(2) > 0)).withColumn("size", width(0) + width(1) + width(2))
+    nums = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size("index") / 2).cast("int") - 1), lambda i: F.when(F.get("index", 2 * i + 1) > 0, F.transform(F.sequence(F.lit(0), F.get("index", 2 * i + 1).cast("int") - 1), lambda j: (F.get("index", 2 * i) + j).cast("long"))).otherwise(F.array().cast("array<long>"))))
+    kind = lambda i: F.conv(F.substring("h", (2 * i * F.col("size") + 1).cast("int"), 2 * width(0)), 16, 10)
+    streams = xref.withColumn("nums", nums).select("doc_id", "ord", F.explode(F.filter(F.transform("nums", lambda n, i: F.when(kind(i) == "0", n)), lambda n: n.isNotNull() & (n > 0))).alias("num"))
+    return tables.unionByName(streams).groupBy("doc_id", "num").agg(F.max("ord").alias("freed"))
+
+
+def trailer(objs: DataFrame) -> DataFrame:
+    """(doc_id, entries) of the files' merged trailers."""
+    return objs.where(F.col("num") == TRAILER).select("doc_id", "entries")
 
 
 def encryption(files: DataFrame, objs: DataFrame, password: str | None = None) -> DataFrame:
     """(doc_id, status, key, cipher) of encrypted files: ok, need_password, bad_password or unsupported."""
-    at = F.try_element_at(F.regexp_extract_all(F.decode("content", LATIN), F.lit(r"/Encrypt\s+(\d+)\s+\d+\s+R"), F.lit(1)), F.lit(-1)).cast("long")
-    return file_keys(files, files.select("doc_id", at.alias("num")).where("num is not null").join(objs.select("doc_id", "num", "dict"), ["doc_id", "num"]).select("doc_id", "num", "dict"), password)
+    return _keys(files, objs, trailer(objs), password)
+
 
+def _keys(files: DataFrame, objs: DataFrame, trailers_: DataFrame, password: str | None) -> DataFrame:
+    at = trailers_.select("doc_id", get(E, "Encrypt").alias("v")).where("v is not null").select("doc_id", as_ref(F.col("v")).alias("num"), "v")
+    there = at.join(objs.select("doc_id", "num", "dict"), ["doc_id", "num"], "left")
+    return file_keys(files, there.select("doc_id", "num", F.coalesce("dict", "v").alias("dict")), password)
 
-def _opened(files: DataFrame, raw: DataFrame, password: str | None) -> DataFrame:
-    keys = encryption(files, raw, password).withColumn("locked", F.lit(True))
+
+def _opened(files: DataFrame, part: DataFrame, objs: DataFrame, trailers_: DataFrame, password: str | None) -> DataFrame:
+    """part (doc_id, num, gen, dict, entries, raw and more) with strings and streams decrypted; objects of files that do not open go."""
+    keys = _keys(files, objs, trailers_, password).withColumn("locked", F.lit(True))
     n = [F.col(x) for x in ("key", "num", "gen", "cipher")]
-    both = raw.join(keys, "doc_id", "left").where("locked is null or status = 'ok'")
-    plain, coded = both.where("key is null"), both.where("key is not null")
-    whole = F.regexp_like("dict", F.lit(r"/Filter\s*/Standard")) | F.coalesce(name(F.col("dict"), "Type") == "XRef", F.lit(False))
-    dict_ = F.when(whole, F.col("dict")).otherwise(decrypt_strings(F.col("dict"), *n))
-    opened = coded.select("doc_id", "num", "gen", dict_.alias("dict"), F.when(whole, F.col("raw")).otherwise(decrypt(F.col("raw"), *n)).alias("raw"))
-    return plain.select("doc_id", "num", "gen", "dict", "raw").unionByName(opened)
+    both = part.join(keys, "doc_id", "left").where("locked is null or status = 'ok'")
+    whole = (as_name(get(E, "Filter")) == "Standard") | F.coalesce(as_name(get(E, "Type")) == "XRef", F.lit(False))
+    coded = both.where("key is not null").withColumn("own", F.coalesce(whole, F.lit(False)))
+    dict_ = F.when(F.col("own"), F.col("dict")).otherwise(decrypt_strings(F.col("dict"), *n))
+    coded = coded.withColumn("dict", dict_).withColumn("raw", F.when(F.col("own") | F.col("raw").isNull(), F.col("raw")).otherwise(decrypt(F.col("raw"), *n))).withColumn("entries", entries(F.col("dict")))
+    return both.where("key is null").select(*part.columns).unionByName(coded.select(*part.columns))
 
 
-def trailers(files: DataFrame) -> DataFrame:
-    """(doc_id, version, encrypted, info, root, n_bytes) of each file."""
+def trailers(files: DataFrame, objs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, version, encrypted, info, root, n_bytes) of each file; with objs, a later version in the catalog counts."""
+    objs = objects(files) if objs is None else objs
     text = F.decode("content", LATIN)
-    version = F.nullif(F.regexp_extract(F.substring(text, 1, 1024), r"%PDF-([^\r\n ]*)", 1), F.lit(""))
-    latest = lambda key: F.try_element_at(F.regexp_extract_all(text, F.lit(rf"/{key}\s+(\d+)\s+\d+\s+R"), F.lit(1)), F.lit(-1)).cast("long")
-    return files.select("doc_id", version.alias("version"), F.regexp_like(text, F.lit(r"/Encrypt\s")).alias("encrypted"), latest("Info").alias("info"), latest("Root").alias("root"), F.octet_length("content").alias("n_bytes"))
+    own = trailer(objs).select("doc_id", get(E, "Encrypt").isNotNull().alias("encrypted"), as_ref(get(E, "Info")).alias("info"), as_ref(get(E, "Root")).alias("root"))
+    catalog = objs.select("doc_id", F.col("num").alias("root"), as_name(get(E, "Version")).alias("newer")).where("newer is not null")
+    both = files.select("doc_id", doc.header_version(text).alias("header"), F.octet_length("content").alias("n_bytes")).join(own, "doc_id", "left").join(catalog, ["doc_id", "root"], "left")
+    return both.select("doc_id", doc.effective_version(F.col("header"), F.col("newer")).alias("version"), F.coalesce("encrypted", F.lit(False)).alias("encrypted"), "info", "root", "n_bytes")
+
+
+def warnings(files: DataFrame, objs: DataFrame) -> DataFrame:
+    """(doc_id, message): what had to be worked around in a file."""
+    text = F.decode("content", LATIN)
+    no_offset = ~F.regexp_like(text, F.lit(r"startxref\s+\d"))
+    own = files.select("doc_id", F.explode(F.array_compact(F.array(
+        F.when(no_offset, "startxref is missing"), F.when(~is_sound(text), "tables are damaged, objects were found by scanning"), F.when(doc.header_version(text).isNull(), "header is missing"),
+    ))).alias("message"))
+    catalogs = _catalogs(objs).select("doc_id", F.lit(True).alias("has"), "named")
+    state = files.select("doc_id").join(catalogs, "doc_id", "left")
+    roots = state.select("doc_id", F.when(F.col("has").isNull(), "there is no catalog").when(~F.col("named"), "the catalog was found by its type").alias("message")).where("message is not null")
+    tree = objs.where((as_name(get(E, "Type")) == "Pages") & get(E, "Kids").isNull()).select("doc_id", F.concat(F.lit("page tree node without kids: "), F.col("num")).alias("message"))
+    return own.unionByName(roots).unionByName(tree)
+
+
+def _catalogs(objs: DataFrame) -> DataFrame:
+    """(doc_id, num, entries, named): a file's catalog, that which the trailer names if it is one, else the one of the largest number."""
+    root = trailer(objs).select("doc_id", as_ref(get(E, "Root")).alias("root"))
+    found = objs.where((F.col("num") != TRAILER) & (as_name(get(E, "Type")) == "Catalog")).select("doc_id", "num", "entries").join(root, "doc_id", "left")
+    named = F.coalesce(F.col("num") == F.col("root"), F.lit(False)).alias("named")
+    return newest_wins(found.select("doc_id", "num", "entries", named), ["doc_id"], "named", "num")
 
 
 def pages(objs: DataFrame) -> DataFrame:
-    """(doc_id, page_no, num, media_box, crop_box, rotate, resources, contents, dict): pages in order, with attributes of the nearest ancestor."""
-    d = F.col("dict")
-    kind = objs.select("doc_id", "num", "dict", name(d, "Type").alias("type"))
-    kids = kind.where("type = 'Pages'").select("doc_id", F.col("num").alias("up"), F.posexplode(refs(array(d, "Kids"))).alias("place", "num"))
-    kids = kids.groupBy("doc_id", "num").agg(F.min_by("up", F.struct("up", "place")).alias("up"), F.min_by("place", F.struct("up", "place")).alias("place"))
-    root = kind.where("type = 'Catalog'").select("doc_id", ref(d, "Pages").alias("num")).where("num is not null").distinct().select("doc_id", "num", F.lit(None).cast("long").alias("up"), F.lit(0).alias("place"))
-    key = lambda n: F.concat_ws(":", "doc_id", n)
-    resources = F.coalesce(F.concat(F.lit("@"), ref(d, "Resources").cast("string")), F.nullif(F.regexp_extract(d, r"(?s)/Resources\s*<<(.*)>>", 1), F.lit("")))
-    nodes = kids.unionByName(root).join(kind.where("type in ('Page', 'Pages')"), ["doc_id", "num"]).select(
-        key("num").alias("id"), F.when(F.col("up").isNotNull(), key("up")).alias("parent"), F.lpad(F.col("place").cast("string"), 7, "0").alias("name"), array(d, "MediaBox").alias("media_box"),
-        array(d, "CropBox").alias("crop_box"), number(d, "Rotate").alias("rotate"), resources.alias("resources"),
+    """(doc_id, page_no, num, media_box, crop_box, bleed_box, trim_box, art_box, rotate, resources, contents, annots, dict): pages in order, with attributes of the nearest ancestor."""
+    kind = objs.where(F.col("num") != TRAILER).select("doc_id", "num", "dict", "entries", as_name(get(E, "Type")).alias("type"))
+    kind = kind.where(F.coalesce("type", F.lit("Pages")).isin("Pages", "Page") & (F.col("type").isNotNull() | get(E, "Kids").isNotNull() | get(E, "Contents").isNotNull()))
+    kind = resolved(kind, objs, "Kids", "MediaBox", "CropBox", "Rotate", "Resources", "Contents", "Annots", "BleedBox", "TrimBox", "ArtBox")
+    kind = staged(kind.withColumn("inner", get(E, "Kids").isNotNull() & F.coalesce(F.col("type") == "Pages", F.lit(True))), "pdf-page-objects")
+    root = _catalogs(objs).select("doc_id", as_ref(get(E, "Pages")).alias("num")).where("num is not null")
+    kids = kind.where("inner").select("doc_id", F.col("num").alias("up"), F.posexplode(refs(get(E, "Kids"))).alias("place", "num")).join(root, ["doc_id", "num"], "left_anti")
+    kids = kids.groupBy("doc_id", "num").agg(F.min_by(F.struct("up", "place"), F.struct("up", "place")).alias("at")).select("doc_id", "num", "at.up", "at.place")
+    root = root.select("doc_id", "num", F.lit(None).cast("long").alias("up"), F.lit(0).alias("place"))
+    key = lambda n: F.struct("doc_id", F.col(n).alias("num"))
+    inherited = {"media_box": "MediaBox", "crop_box": "CropBox", "rotate": "Rotate", "resources": "Resources"}
+    nodes = kids.unionByName(root).join(kind, ["doc_id", "num"]).select(
+        key("num").alias("id"), F.when(F.col("up").isNotNull(), key("up")).alias("parent"), F.lpad(F.col("place").cast("string"), 7, "0").alias("name"), *(get(E, k).alias(c) for c, k in inherited.items()), (F.col("inner")).alias("inner"),
     )
-    tree = flatten_tree(nodes, ["media_box", "crop_box", "rotate", "resources"])
-    tree = tree.select(F.regexp_extract("id", r"^(.*):\d+$", 1).alias("key"), F.regexp_extract("id", r":(\d+)$", 1).cast("long").alias("num"), "path", "media_box", "crop_box", "rotate", "resources")
-    leaves = kind.where("type = 'Page'").withColumn("key", F.col("doc_id").cast("string")).join(tree, ["key", "num"])
+    tree = flatten_tree(nodes, list(inherited)).select("id.doc_id", "id.num", "path", *inherited)
+    leaves = kind.where("not inner and coalesce(type, 'Page') = 'Page'").select("doc_id", "num", "dict", "entries").join(tree, ["doc_id", "num"])
     page_no = F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))
-    contents = F.coalesce(refs(array(d, "Contents")), F.when(ref(d, "Contents").isNotNull(), F.array(ref(d, "Contents"))))
-    return leaves.select("doc_id", page_no.alias("page_no"), "num", numbers(F.col("media_box")).alias("media_box"), numbers(F.col("crop_box")).alias("crop_box"), F.pmod(F.coalesce("rotate", F.lit(0)), F.lit(360)).alias("rotate"), "resources", contents.alias("contents"), "dict")
+    c = get(E, "Contents")
+    own = [numbers(get(E, k)).alias(n) for n, k in (("bleed_box", "BleedBox"), ("trim_box", "TrimBox"), ("art_box", "ArtBox"))]
+    return leaves.select(
+        "doc_id", page_no.alias("page_no"), "num", numbers(F.col("media_box")).alias("media_box"), numbers(F.col("crop_box")).alias("crop_box"), *own, F.pmod(F.coalesce(as_int(F.col("rotate")), F.lit(0)), F.lit(360)).alias("rotate"),
+        "resources", F.coalesce(refs(c), F.when(as_ref(c).isNotNull(), F.array(as_ref(c)))).alias("contents"), get(E, "Annots").alias("annots"), "dict",
+    )
+
+
+def rectangle(box: Column) -> Column:
+    """(x0, y0, x1, y1) in order, null unless the first four values are numbers."""
+    v = [F.get(box, F.lit(i)) for i in range(4)]
+    ok = reduce(lambda a, b: a & b, (x.isNotNull() for x in v))
+    return F.when(ok, F.array(F.least(v[0], v[2]), F.least(v[1], v[3]), F.greatest(v[0], v[2]), F.greatest(v[1], v[3])))
 
 
 def boxes(pages_: DataFrame) -> DataFrame:
-    """(doc_id, page_no, width, height, crop): size from the media box, sides swapped on quarter turns; the crop box normalised and cut to the media box."""
-    m = F.when(F.size("media_box") >= 4, F.col("media_box")).otherwise(F.array(*map(F.lit, (0.0, 0.0, 612.0, 792.0))))
-    out = pages_.withColumn("m", m).withColumn("c", F.when(F.size("crop_box") >= 4, F.col("crop_box")).otherwise(F.col("m")))
-    low = lambda b, i: F.least(F.get(b, F.lit(i)), F.get(b, F.lit(i + 2)))
-    high = lambda b, i: F.greatest(F.get(b, F.lit(i)), F.get(b, F.lit(i + 2)))
-    w, h = high("m", 0) - low("m", 0), high("m", 1) - low("m", 1)
-    crop = F.array(F.greatest(low("m", 0), low("c", 0)), F.greatest(low("m", 1), low("c", 1)), F.least(high("m", 0), high("c", 0)), F.least(high("m", 1), high("c", 1)))
+    """(doc_id, page_no, width, height, crop, bleed, trim, art): size from the media box, sides swapped on quarter turns; the crop box cut to the media box, the others default to it."""
+    out = pages_.withColumn("m", F.coalesce(rectangle(F.col("media_box")), F.array(*map(F.lit, (0.0, 0.0, 612.0, 792.0)))))
+    at = lambda b, i: F.get(b, F.lit(i))
+    c = F.coalesce(rectangle(F.col("crop_box")), F.col("m"))
+    crop = F.array(F.greatest(at(c, 0), at("m", 0)), F.greatest(at(c, 1), at("m", 1)), F.least(at(c, 2), at("m", 2)), F.least(at(c, 3), at("m", 3)))
+    out = out.withColumn("crop", crop).withColumn("w", at("m", 2) - at("m", 0)).withColumn("h", at("m", 3) - at("m", 1))
     turned = F.col("rotate").isin(90, 270)
-    return out.select("doc_id", "page_no", F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"), crop.alias("crop"))
+    others = [F.coalesce(rectangle(F.col(f"{x}_box")), F.col("crop")).alias(x) for x in ("bleed", "trim", "art")]
+    return out.select("doc_id", "page_no", F.when(turned, F.col("h")).otherwise(F.col("w")).alias("width"), F.when(turned, F.col("w")).otherwise(F.col("h")).alias("height"), "crop", *others)
 
 
 def contents(pages_: DataFrame, objs: DataFrame) -> DataFrame:
-    """(doc_id, page_no, content): a page's content streams in order; each ends in a line end if there are several."""
-    parts = pages_.select("doc_id", "page_no", F.size("contents").alias("n"), F.posexplode("contents").alias("place", "num")).join(objs.where("stream is not null").select("doc_id", "num", "stream"), ["doc_id", "num"])
+    """(doc_id, page_no, path, content, resources): a page's content streams in order; each ends in a line end if there are several. path is empty (see with_forms)."""
+    parts = pages_.select("doc_id", "page_no", "resources", F.size("contents").alias("n"), F.posexplode("contents").alias("place", "num")).join(objs.where("stream is not null").select("doc_id", "num", "stream"), ["doc_id", "num"])
     text = F.concat(F.decode("stream", LATIN), F.when(F.col("n") > 1, "\n").otherwise(""))
-    return parts.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda p: p["t"]), "").alias("content"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda p: p["t"]), "")
+    return parts.groupBy("doc_id", "page_no").agg(F.array().cast("array<int>").alias("path"), joined.alias("content"), F.first("resources").alias("resources"))
 
 
 def operations(contents_: DataFrame) -> DataFrame:
-    """(doc_id, page_no, op_no, op, operands): postfix operations with the tokens of at most the last 64 operands; an array or dictionary is one operand, kept whole. Inline images become INLINE_IMAGE."""
+    """(doc_id, page_no, path, resources, op_no, op, operands): postfix operations with the tokens of at most the last 64 operands; an array or dictionary is one operand, kept whole. Inline images become INLINE_IMAGE. Nothing is shuffled."""
     clean = F.regexp_replace("content", r"(?s)(?<![^\s])BI\s.*?\sEI(?![^\s])", " INLINE_IMAGE ")
-    tokens = contents_.select("doc_id", "page_no", F.posexplode(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
-    is_op = F.regexp_like("token", F.lit(r"^[A-Za-z'\"][A-Za-z0-9_*]*$")) & ~F.col("token").isin("true", "false", "null")
-    w = Window.partitionBy("doc_id", "page_no").orderBy("pos")
-    numbered = tokens.withColumn("is_op", is_op).withColumn("op_no", F.sum(F.col("is_op").cast("int")).over(w) - F.col("is_op").cast("int"))
-    mine = Window.partitionBy("doc_id", "page_no", "op_no").orderBy("pos")
-    opens, closes = F.col("token").isin("[", "<<"), F.col("token").isin("]", ">>")
-    level = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(mine)
-    numbered = numbered.withColumn("level", level)
-    numbered = numbered.withColumn("level", F.col("level") - F.least(F.lit(0), F.min("level").over(mine)))  # brackets that close nothing count for nothing
-    begins = (F.coalesce(F.lag("level").over(mine), F.lit(0)) == 0) & ~closes & ~F.col("is_op")
-    part = F.struct("pos", "token", "nth")
-    out = numbered.withColumn("nth", F.sum(begins.cast("int")).over(mine)).groupBy("doc_id", "page_no", "op_no").agg(F.max(F.when(F.col("is_op"), F.col("token"))).alias("op"), F.array_sort(F.collect_list(F.when(~F.col("is_op"), part))).alias("parts"))
-    first = F.try_element_at("parts", F.lit(-1))["nth"] - 64
-    return out.where("op is not null").select("doc_id", "page_no", "op_no", "op", F.transform(F.filter("parts", lambda p: p["nth"] > first), lambda p: p["token"]).alias("operands"))
-
-
-def fonts(pages_: DataFrame, objs: DataFrame) -> DataFrame:
-    """(doc_id, page_no, font, wide, ranges): a page's fonts by name; wide fonts have two-byte codes, ranges map codes to UTF-16."""
-    by_num = objs.select("doc_id", F.col("num").alias("at"), F.col("dict").alias("there"))
-    held = pages_.select("doc_id", "page_no", "resources", F.regexp_extract("resources", r"^@(\d+)$", 1).alias("at")).withColumn("at", F.nullif("at", F.lit("")).cast("long"))
-    held = held.join(by_num, ["doc_id", "at"], "left").withColumn("res", F.coalesce("there", "resources")).drop("there", "at")
-    held = held.withColumn("at", ref(F.col("res"), "Font")).join(by_num, ["doc_id", "at"], "left")
-    listed = F.coalesce("there", F.regexp_extract("res", r"(?s)/Font\s*<<(.*?)>>", 1))
-    entry = held.select("doc_id", "page_no", F.explode(F.regexp_extract_all(listed, F.lit(r"/[^\s/<>\[\]()]+\s+\d+\s+\d+\s+R"), F.lit(0))).alias("e"))
-    entry = entry.select("doc_id", "page_no", F.regexp_extract("e", r"/(\S+)", 1).alias("font"), F.regexp_extract("e", r"\s(\d+)\s", 1).cast("long").alias("at")).join(by_num, ["doc_id", "at"])
-    d = F.col("there")
-    maps = objs.where("stream is not null").select("doc_id", F.col("num").alias("map"), unicode_ranges(F.decode("stream", LATIN)).alias("ranges"))
-    return entry.select("doc_id", "page_no", "font", (name(d, "Subtype") == "Type0").alias("wide"), ref(d, "ToUnicode").alias("map")).join(maps, ["doc_id", "map"], "left").drop("map")
+    found = contents_.select("doc_id", "page_no", "path", "resources", F.posexplode(every(clean, OPERATION)).alias("op_no", "o"))
+    values = F.filter(every(F.regexp_extract("o", rf"^((?:{OPERAND})*+)", 1), rf"{sx.COMMENT}|{sx.VALUE}"), lambda v: ~F.startswith(v, F.lit("%")))
+    last = F.slice(values, F.greatest(F.size(values) - 63, F.lit(1)), 64)
+    flat = lambda v: F.when(F.startswith(v, F.lit("[")) | F.startswith(v, F.lit("<<")), F.filter(every(v, sx.TOKEN), lambda t: ~F.startswith(t, F.lit("%")))).otherwise(F.array(v))
+    return found.select("doc_id", "page_no", "path", "resources", "op_no", F.regexp_extract("o", rf"^(?:{OPERAND})*+({OPERATOR})", 1).alias("op"), F.flatten(F.transform(last, flat)).alias("operands"))
+
+
+def with_forms(contents_: DataFrame, objs: DataFrame, depth: int = 8) -> DataFrame:
+    """contents_ plus the forms that Do paints in them, and in those, up to depth (forms may paint themselves): a form's path ends in the operation's number.
+
+    A form without resources has those of what paints it.
+    """
+    level = staged(contents_, "pdf-contents")
+    levels = [level]
+    forms = objs.where("stream is not null").select("doc_id", "num", "stream", "entries").where(as_name(get(E, "Subtype")) == "Form")
+    for _ in range(depth):
+        level = level.where(F.regexp_like("content", F.lit(r"\bDo\b")))
+        if not level.take(1):
+            break
+        uses = operations(level).where("op = 'Do'").select("doc_id", "page_no", F.concat("path", F.array("op_no")).alias("path"), "resources", F.substring(F.get("operands", F.lit(0)), 2, 1 << 30).alias("name"))
+        uses = uses.withColumn("x", get(entries(F.col("resources")), "XObject"))
+        there = objs.where("stream is null").select("doc_id", F.col("num").alias("at"), F.col("dict").alias("body"))
+        uses = uses.withColumn("at", as_ref(F.col("x"))).join(there, ["doc_id", "at"], "left").withColumn("x", entries(F.coalesce("body", "x")))
+        uses = uses.withColumn("num", as_ref(F.try_element_at(F.filter("x", lambda e: e["k"] == F.col("name")), F.lit(-1))["v"])).drop("at", "body", "x")
+        made = resolved(uses.join(forms, ["doc_id", "num"]), objs, "Resources")
+        level = staged(made.select("doc_id", "page_no", "path", F.decode("stream", LATIN).alias("content"), F.coalesce(get(E, "Resources"), "resources").alias("resources")), "pdf-forms")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def font_details(objs: DataFrame) -> DataFrame:
+    """(doc_id, num, subtype, base_font, wide, ranges, differences, encoding): wide fonts have two-byte codes, ranges map codes to UTF-16, differences list codes with characters of their own."""
+    held = resolved(objs.where(as_name(get(E, "Type")) == "Font").select("doc_id", "num", "entries"), objs, "Encoding", "BaseFont", "Subtype")
+    enc = get(E, "Encoding")
+    runs = every(get(entries(enc), "Differences"), rf"\d++(?:{sx.GAP}{sx.NAME})++")
+    names = lambda run: F.filter(F.transform(every(run, rf"{sx.COMMENT}|{sx.NAME}"), as_name), lambda n: n.isNotNull())
+    differences = F.flatten(F.transform(runs, lambda run: F.transform(names(run), lambda n, i: F.struct((F.regexp_extract(run, r"^(\d+)", 1).cast("int") + i).alias("code"), glyph_text(n).alias("text")))))
+    base = as_name(get(E, "BaseFont"))
+    named = F.coalesce(as_name(enc), as_name(get(entries(enc), "BaseEncoding")))
+    maps = objs.where("stream is not null").select("doc_id", F.col("num").alias("map"), F.decode("stream", LATIN).alias("cmap"))
+    out = held.select("doc_id", "num", as_name(get(E, "Subtype")).alias("subtype"), base.alias("base_font"), differences.alias("differences"), base_encoding(named, base).alias("encoding"), as_ref(get(E, "ToUnicode")).alias("map"))
+    out = out.join(maps, ["doc_id", "map"], "left").withColumn("ranges", unicode_ranges(F.col("cmap"))).withColumn("wide", F.coalesce(F.col("subtype") == "Type0", F.lit(False)))
+    return out.select("doc_id", "num", "subtype", "base_font", "wide", "ranges", "differences", "encoding")
+
+
+def fonts(contents_: DataFrame, objs: DataFrame) -> DataFrame:
+    """(doc_id, page_no, path, font and its details): the fonts of pages (or of contents and forms) by name."""
+    by_num = objs.where("stream is null").select("doc_id", F.col("num").alias("at"), F.col("dict").alias("there"))
+    path = F.col("path") if "path" in contents_.columns else F.array().cast("array<int>")
+    held = contents_.select("doc_id", "page_no", path.alias("path"), get(entries(F.col("resources")), "Font").alias("v")).withColumn("at", as_ref(F.col("v"))).join(by_num, ["doc_id", "at"], "left")
+    entry = held.select("doc_id", "page_no", "path", F.explode(entries(F.coalesce("there", "v"))).alias("e")).select("doc_id", "page_no", "path", F.col("e.k").alias("font"), as_ref(F.col("e.v")).alias("num"))
+    return entry.where("num is not null").join(font_details(objs), ["doc_id", "num"]).drop("num")
 
 
 def unicode_ranges(cmap: Column) -> Column:
@@ -223,66 +328,108 @@ def unicode_ranges(cmap: Column) -> Column:
     def entry(lo: Column, hi: Column, dst: Column) -> Column:
         return F.struct(code(lo).alias("lo"), code(hi).alias("hi"), F.substring(dst, F.lit(1), F.greatest(F.length(dst) - 4, F.lit(0))).alias("head"), code(F.right(dst, F.lit(4))).alias("last"))
 
-    inside = lambda kind: F.array_join(F.regexp_extract_all(cmap, F.lit(rf"(?s)begin{kind}(.*?)end{kind}"), F.lit(1)), " ")
-    hexes = lambda t: F.regexp_extract_all(t, F.lit(r"<\s*([0-9A-Fa-f]+)\s*>"), F.lit(1))
-    chars = F.transform(F.regexp_extract_all(inside("bfchar"), F.lit(r"<[^>]*>\s*<[^>]*>"), F.lit(0)), lambda t: entry(F.get(hexes(t), F.lit(0)), F.get(hexes(t), F.lit(0)), F.get(hexes(t), F.lit(1))))
-    spans = F.transform(F.regexp_extract_all(inside("bfrange"), F.lit(r"<[^>]*>\s*<[^>]*>\s*<[^>]*>"), F.lit(0)), lambda t: entry(F.get(hexes(t), F.lit(0)), F.get(hexes(t), F.lit(1)), F.get(hexes(t), F.lit(2))))
-    lists = F.flatten(F.transform(F.regexp_extract_all(inside("bfrange"), F.lit(r"<[^>]*>\s*<[^>]*>\s*\[[^\]]*\]"), F.lit(0)), lambda t: F.transform(
+    inside = lambda kind: F.array_join(every(cmap, rf"(?s)begin{kind}(.*?)end{kind}", 1), " ")
+    hexes = lambda t: every(t, r"<\s*([0-9A-Fa-f]+)\s*>", 1)
+    chars = F.transform(every(inside("bfchar"), r"<[^>]*>\s*<[^>]*>"), lambda t: entry(F.get(hexes(t), F.lit(0)), F.get(hexes(t), F.lit(0)), F.get(hexes(t), F.lit(1))))
+    spans = F.transform(every(inside("bfrange"), r"<[^>]*>\s*<[^>]*>\s*<[^>]*>"), lambda t: entry(F.get(hexes(t), F.lit(0)), F.get(hexes(t), F.lit(1)), F.get(hexes(t), F.lit(2))))
+    lists = F.flatten(F.transform(every(inside("bfrange"), r"<[^>]*>\s*<[^>]*>\s*\[[^\]]*\]"), lambda t: F.transform(
         F.slice(hexes(t), 3, 1 << 30), lambda dst, i: F.struct((code(F.get(hexes(t), F.lit(0))) + i).alias("lo"), (code(F.get(hexes(t), F.lit(0))) + i).alias("hi"), F.substring(dst, F.lit(1), F.greatest(F.length(dst) - 4, F.lit(0))).alias("head"), code(F.right(dst, F.lit(4))).alias("last")))))
     return F.concat(chars, lists, spans)
 
 
-def shown(raw: Column, wide: Column, ranges: Column) -> Column:
-    """Unicode text of a shown string: by the font's map where it has one, else by the Windows encoding; wide fonts without a map show nothing."""
+def shown(raw: Column, wide: Column, ranges: Column, differences: Column, encoding: Column) -> Column:
+    """Unicode text of a shown string: each code by the font's map, else by its differences, else by its encoding; wide fonts show nothing that the map lacks."""
     digits = F.hex(F.encode(raw, LATIN))
-    units = F.when(F.coalesce(wide, F.lit(False)), F.regexp_extract_all(digits, F.lit(".{4}"), F.lit(0))).otherwise(F.regexp_extract_all(digits, F.lit(".{2}"), F.lit(0)))
-    codes = F.transform(units, lambda u: F.conv(u, 16, 10).cast("long"))
+    wide = F.coalesce(wide, F.lit(False))
+    codes = F.transform(F.when(wide, every(digits, ".{4}")).otherwise(every(digits, ".{2}")), lambda u: F.conv(u, 16, 10).cast("int"))
 
     def unit(c: Column) -> Column:
         r = F.get(F.filter(ranges, lambda r: (r["lo"] <= c) & (c <= r["hi"])), F.lit(0))
-        return F.coalesce(F.concat(r["head"], F.lpad(F.hex(r["last"] + c - r["lo"]), 4, "0")), F.lit(""))
+        mapped = F.nullif(F.decode(F.unhex(F.concat(r["head"], F.lpad(F.hex(r["last"] + c - r["lo"]), 4, "0"))), "UTF-16BE"), F.lit(""))
+        own = F.nullif(F.try_element_at(F.filter(differences, lambda d: d["code"] == c), F.lit(-1))["text"], F.lit(""))
+        return F.coalesce(mapped, F.when(wide, "").otherwise(F.coalesce(own, by_table(F.char(c), encoding))))
 
-    mapped = F.decode(F.unhex(F.array_join(F.transform(codes, unit), "")), "UTF-16BE")
-    plain = F.translate(raw, "".join(map(chr, range(0x80, 0xA0))), WINDOWS)
-    return F.when(F.size(ranges) > 0, mapped).when(F.coalesce(wide, F.lit(False)), F.lit("")).otherwise(plain)
+    plain = F.coalesce(F.size(ranges), F.lit(0)) + F.coalesce(F.size(differences), F.lit(0)) <= 0
+    return F.when(plain & wide, "").when(plain, by_table(raw, F.coalesce(encoding, F.lit("WinAnsiEncoding")))).otherwise(F.array_join(F.transform(codes, unit), ""))
 
 
 def page_text(ops: DataFrame, fonts_: DataFrame) -> DataFrame:
-    """(doc_id, page_no, text). Moves down or up begin a line, moves right give a space; in an array a shift below -100 is a space."""
+    """(doc_id, page_no, text). Moves down or up begin a line, moves right give a space; in an array a shift below -100 is a space. Text of forms stands where they are painted."""
     token = lambda i: F.try_element_at("operands", F.lit(i))
-    w = Window.partitionBy("doc_id", "page_no").orderBy("op_no")
-    font = F.last(F.when(F.col("op") == "Tf", F.substring(token(-2), 2, 200)), ignorenulls=True).over(w)
-    used = ops.where(F.col("op").isin("Tf", "Tj", "TJ", "'", '"', "Td", "TD", "T*")).withColumn("font", font).join(fonts_, ["doc_id", "page_no", "font"], "left")
-
-    def say(t: Column) -> Column:
-        raw = F.when(F.startswith(t, F.lit("(")), literal(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(unhex_latin(t))
-        return shown(raw, F.col("wide"), F.col("ranges"))
-
-    number_ = lambda t: F.coalesce(t.try_cast("double"), F.lit(0.0))
+    w = Window.partitionBy("doc_id", "page_no", "path").orderBy("op_no")
+    font = F.last(F.when(F.col("op") == "Tf", sx.name_text(token(-2))), ignorenulls=True).over(w)
+    used = ops.where(F.col("op").isin("Tf", "Tj", "TJ", "'", '"', "Td", "TD", "T*")).drop("resources").withColumn("font", font)
+    used = used.where("op != 'Tf'").join(fonts_, ["doc_id", "page_no", "path", "font"], "left")
+    say = lambda t: shown(as_bytes(t), *map(F.col, ("wide", "ranges", "differences", "encoding")))
+    number_ = lambda t: F.coalesce(as_number(t), F.lit(0.0))
     item = lambda t: F.when(F.regexp_like(t, F.lit(r"^[(<]")), say(t)).when(number_(t) < -100, " ").otherwise("")
     listed = F.array_join(F.transform("operands", item), "")
     move = F.when(F.abs(number_(token(-1))) > 0.01, "\n").when(number_(token(-2)) > 0, " ").otherwise("")
     op = F.col("op")
     piece = F.when(op == "Tj", say(token(-1))).when(op == "TJ", listed).when(op.isin("'", '"'), F.concat(F.lit("\n"), say(token(-1)))).when(op.isin("Td", "TD"), move).when(op == "T*", "\n").otherwise("")
-    parts = used.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("op_no", piece.alias("t")))).alias("parts"))
+    parts = used.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct(F.concat("path", F.array("op_no")).alias("at"), F.coalesce(piece, F.lit("")).alias("t")))).alias("parts"))
     return parts.select("doc_id", "page_no", F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("text"))
 
 
+INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")
+
+
 def metadata(files: DataFrame, objs: DataFrame) -> DataFrame:
-    """(doc_id, title, author, subject, keywords, creator, producer, created, modified) of each file; missing ones are null."""
-    info = trailers(files).select("doc_id", F.col("info").alias("num")).join(objs.select("doc_id", "num", "dict"), ["doc_id", "num"], "left")
-    fields = [string(F.col("dict"), k).alias(k.lower()) for k in ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")]
-    return info.select("doc_id", *fields, pdf_date(string(F.col("dict"), "CreationDate")).alias("created"), pdf_date(string(F.col("dict"), "ModDate")).alias("modified"))
+    """(doc_id, title, author, subject, keywords, creator, producer, created, modified, custom, xmp) of each file; missing ones are null. custom maps keys of their own to texts."""
+    at = trailer(objs).select("doc_id", get(E, "Info").alias("v")).withColumn("num", as_ref(F.col("v")))
+    info = at.join(objs.select("doc_id", "num", "dict"), ["doc_id", "num"], "left").select("doc_id", entries(F.coalesce("dict", "v")).alias("i"))
+    catalog = _catalogs(objs).select("doc_id", as_ref(get(E, "Metadata")).alias("num")).join(objs.select("doc_id", "num", "stream"), ["doc_id", "num"]).select("doc_id", F.decode("stream", "UTF-8").alias("xmp"))
+    said = lambda v: F.coalesce(as_text(v), as_name(v))
+    fields = [said(get(F.col("i"), k)).alias(k.lower()) for k in INFO]
+    own = F.filter("i", lambda x: ~x["k"].isin(*INFO, "CreationDate", "ModDate", "Trapped") & said(x["v"]).isNotNull())
+    keys = F.array_distinct(F.transform(own, lambda x: x["k"]))
+    custom = F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("k"), said(F.try_element_at(F.filter("i", lambda x: x["k"] == k), F.lit(-1))["v"]).alias("v"))))
+    dates = [pdf_date(as_text(get(F.col("i"), k))).alias(n) for k, n in (("CreationDate", "created"), ("ModDate", "modified"))]
+    return files.select("doc_id").join(info, "doc_id", "left").join(catalog, "doc_id", "left").select("doc_id", *fields, *dates, custom.alias("custom"), "xmp")
+
+
+def descend(objs: DataFrame, tops: DataFrame, depth: int = 32) -> DataFrame:
+    """(doc_id, entries): tops, and all that their /Kids lead to, up to depth: name and number trees."""
+    level = staged(tops.select("doc_id", "entries"), "pdf-tree-level")
+    levels = [level]
+    for _ in range(depth):
+        kids = level.select("doc_id", F.explode(refs(get(E, "Kids"))).alias("num"))
+        level = staged(kids.distinct().join(objs, ["doc_id", "num"]).select("doc_id", "entries"), "pdf-tree-level")
+        if not level.take(1):
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _below(objs: DataFrame, key: str, *more: str) -> DataFrame:
+    """(doc_id, entries) of the dictionary that the catalog's key leads to, then more keys of it."""
+    out = _catalogs(objs).select("doc_id", "entries")
+    for k in (key, *more):
+        at = out.select("doc_id", get(E, k).alias("v")).where("v is not null").withColumn("num", as_ref(F.col("v")))
+        out = at.join(objs.where("stream is null").select("doc_id", "num", "dict"), ["doc_id", "num"], "left").select("doc_id", entries(F.coalesce("dict", "v")).alias("entries"))
+    return out
+
+
+def _pairs(tree: DataFrame, key: str) -> DataFrame:
+    """(doc_id, place, k, v) of the arrays of pairs of a tree's nodes."""
+    both = tree.select("doc_id", items(get(E, key)).alias("i")).where("size(i) >= 2")
+    each = both.select("doc_id", "i", F.explode(F.sequence(F.lit(0), F.floor(F.size("i") / 2).cast("int") - 1)).alias("place"))
+    return each.select("doc_id", "place", F.get("i", 2 * F.col("place")).alias("k"), F.get("i", 2 * F.col("place") + 1).alias("v"))
+
+
+def _followed(df: DataFrame, objs: DataFrame, value: str = "v") -> DataFrame:
+    """df with value replaced by the body of what it points at."""
+    there = objs.where("stream is null").select(F.col("doc_id").alias("in_doc"), F.col("num").alias("of"), F.regexp_replace("dict", rf"^{sx.GAP}|{sx.SPACE}+$", "").alias("body"))
+    out = df.join(there, (F.col("doc_id") == F.col("in_doc")) & (as_ref(F.col(value)) == F.col("of")), "left")
+    return out.withColumn(value, F.when(as_ref(F.col(value)).isNotNull(), F.col("body")).otherwise(F.col(value))).drop("in_doc", "of", "body")
 
 
 def labels(pages_: DataFrame, objs: DataFrame) -> DataFrame:
-    """(doc_id, page_no, label) from the ranges of the number tree; a page before any range, or without one, has its number."""
-    tree = objs.where(F.regexp_like("dict", F.lit(r"/Nums\s*\["))).select("doc_id", F.regexp_extract("dict", r"(?s)/Nums\s*\[(.*)\]", 1).alias("nums"))
-    entry = tree.select("doc_id", F.posexplode(F.regexp_extract_all("nums", F.lit(r"(?s)\d+\s*<<.*?>>"), F.lit(0))).alias("place", "e"))
+    """(doc_id, page_no, label) from the ranges of the number tree; a page before any range, or without one, has its number. Of ranges that begin at one page the last counts."""
+    entry = _followed(_pairs(descend(objs, _below(objs, "PageLabels")), "Nums"), objs).withColumn("e", entries(F.col("v")))
     e = F.col("e")
-    style = name(e, "S")
-    ranges = entry.select("doc_id", "place", F.regexp_extract(e, r"^(\d+)", 1).cast("long").alias("from_page"), F.struct(style.alias("style"), F.coalesce(string(e, "P"), F.lit("")).alias("prefix"), F.coalesce(number(e, "St"), F.lit(1)).alias("first")).alias("spec"))
-    ranges = newest_wins(ranges, ["doc_id", "from_page"], "place").drop("place")
+    spec = F.struct(as_name(get(e, "S")).alias("style"), F.coalesce(as_text(get(e, "P")), F.lit("")).alias("prefix"), F.coalesce(as_int(get(e, "St")), F.lit(1)).alias("first"))
+    ranges = newest_wins(entry.select("doc_id", "place", as_int(F.col("k")).alias("from_page"), spec.alias("spec")).where("from_page is not null"), ["doc_id", "from_page"], "place").drop("place")
     out = asof(pages_.select("doc_id", "page_no", (F.col("page_no") - 1).cast("long").alias("i")), ranges, ["doc_id"], "i", "from_page", ["spec"])
     n = (F.col("spec.first") + F.col("i") - F.col("from_page")).cast("int")
     return out.select("doc_id", "page_no", F.coalesce(page_label(F.col("spec.style"), F.col("spec.prefix"), n), F.col("page_no").cast("string")).alias("label"))
@@ -290,61 +437,125 @@ def labels(pages_: DataFrame, objs: DataFrame) -> DataFrame:
 
 def _named_tree(objs: DataFrame, label: Column, parent: Column, inherited: dict[str, Column], where: Column) -> DataFrame:
     """Objects with a name and a parent reference as a tree; parents outside the selection make roots."""
-    key = lambda n: F.concat_ws(":", "doc_id", n)
-    nodes = objs.select("doc_id", "num", key("num").alias("id"), F.when(parent.isNotNull(), key(parent)).alias("up"), label.alias("name"), *(c.alias(n) for n, c in inherited.items()), where.alias("ok")).where("ok")
+    key = lambda n: F.struct("doc_id", n.alias("num"))
+    nodes = objs.where(where).select("num", key(F.col("num")).alias("id"), F.when(parent.isNotNull(), key(parent)).alias("up"), label.alias("name"), *(c.alias(n) for n, c in inherited.items()))
     known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("known")).distinct()
     nodes = nodes.join(known, "up", "left").select("id", F.when(F.col("known"), F.col("up")).alias("parent"), "name", *inherited)
-    out = flatten_tree(nodes, list(inherited))
-    return out.select(F.regexp_extract("id", r"^(.*):\d+$", 1).alias("doc_id"), F.regexp_extract("id", r":(\d+)$", 1).cast("long").alias("num"), "level", "name", "path", *inherited)
+    return flatten_tree(nodes, list(inherited)).select("id.doc_id", "id.num", "level", "name", "path", *inherited)
 
 
 def form_fields(objs: DataFrame) -> DataFrame:
-    """(doc_id, num, name, type, value): fields with dotted names; the type comes from the nearest field above that has one."""
-    d = F.col("dict")
-    value = F.coalesce(string(d, r"V(?![A-Za-z])"), name(d, r"V(?![A-Za-z])"))
-    tree = _named_tree(objs, string(d, r"T(?![A-Za-z])"), ref(d, "Parent"), {"type": name(d, "FT")}, F.regexp_like(d, F.lit(r"/T\s*[(<](?!<)")) & ~F.coalesce(name(d, "Type") == "Page", F.lit(False)))
-    values = objs.select(F.col("doc_id").cast("string").alias("doc_id"), "num", value.alias("value"), F.regexp_like(d, F.lit(r"/Kids\s*\[")).alias("has_kids"))
-    return tree.join(values, ["doc_id", "num"]).where("not has_kids").select("doc_id", "num", F.col("path").alias("name"), "type", "value")
+    """(doc_id, num, name, type, value): fields with dotted names; the type comes from the nearest field above that has one. Kids without a name are widgets of their field."""
+    own = objs.where(F.col("num") != TRAILER).select("doc_id", "num", "entries").where(as_bytes(get(E, "T")).isNotNull() & ~F.coalesce(as_name(get(E, "Type")).isin("Page", "Annot") & (as_name(get(E, "Subtype")) != "Widget"), F.lit(False)))
+    up = own.select("doc_id", F.col("num").alias("by_kids"), F.explode(refs(get(E, "Kids"))).alias("num")).groupBy("doc_id", "num").agg(F.min("by_kids").alias("by_kids"))
+    fields = staged(own.join(up, ["doc_id", "num"], "left").withColumn("up", F.coalesce("by_kids", as_ref(get(E, "Parent")))), "pdf-fields")
+    tree = _named_tree(fields, as_text(get(E, "T")), F.col("up"), {"type": as_name(get(E, "FT"))}, F.lit(True))
+    value = get(E, "V")
+    listed = F.array_join(F.filter(F.transform(items(value), as_text), lambda t: t.isNotNull()), ", ")
+    values = fields.select("doc_id", "num", F.coalesce(as_text(value), as_name(value), F.when(items(value).isNotNull(), listed), as_number(value).cast("string")).alias("value"))
+    inner = fields.select("doc_id", F.col("up").alias("num")).where("num is not null").distinct()
+    return tree.join(values, ["doc_id", "num"]).join(inner, ["doc_id", "num"], "left_anti").select("doc_id", "num", F.col("path").alias("name"), "type", "value")
 
 
 def structure(objs: DataFrame) -> DataFrame:
     """(doc_id, num, level, type, path, alt): the structure tree."""
-    d = F.col("dict")
-    tree = _named_tree(objs, name(d, r"S(?![A-Za-z])"), ref(d, r"P(?![A-Za-z])"), {}, F.regexp_like(d, F.lit(r"/StructElem")) & F.regexp_like(d, F.lit(r"/S\s*/")))
-    alt = objs.select(F.col("doc_id").cast("string").alias("doc_id"), "num", string(d, "Alt").alias("alt"))
+    tree = _named_tree(objs, as_name(get(E, "S")), as_ref(get(E, "P")), {}, (as_name(get(E, "Type")) == "StructElem") & as_name(get(E, "S")).isNotNull())
+    alt = objs.select("doc_id", "num", as_text(get(E, "Alt")).alias("alt"))
     return tree.join(alt, ["doc_id", "num"]).select("doc_id", "num", "level", F.col("name").alias("type"), "path", "alt")
 
 
+def named_destinations(objs: DataFrame) -> DataFrame:
+    """(doc_id, name, dest): the destination arrays of names, from the catalog's dictionary first, then from the name tree."""
+    plain = _below(objs, "Dests").select("doc_id", F.lit(0).alias("from"), F.explode("entries").alias("x")).select("doc_id", "from", F.col("x.k").alias("name"), F.col("x.v").alias("v"))
+    tree = _pairs(descend(objs, _below(objs, "Names", "Dests")), "Names").select("doc_id", F.lit(1).alias("from"), as_bytes(F.col("k")).alias("name"), "v")
+    found = _followed(plain.unionByName(tree), objs)
+    dest = F.when(F.startswith("v", F.lit("<<")), get(entries(F.col("v")), "D")).otherwise(F.col("v"))
+    return found.where("name is not null").groupBy("doc_id", "name").agg(F.min_by(dest, "from").alias("dest"))
+
+
+def with_destinations(df: DataFrame, objs: DataFrame, pages_: DataFrame, value: str = "to") -> DataFrame:
+    """df with page_no and view (fit, left, top, right, bottom, zoom) of the destination in a column: an array, a dictionary with one, a name or string, or a reference to any of these."""
+    out = _followed(df, objs, value)
+    key = F.coalesce(as_bytes(F.col(value)), as_name(F.col(value)))
+    named = named_destinations(objs).select(F.col("doc_id").alias("in_doc"), F.col("name").alias("of_name"), "dest")
+    out = out.withColumn("by_name", key).join(named, (F.col("doc_id") == F.col("in_doc")) & (F.col("by_name") == F.col("of_name")), "left").drop("in_doc", "of_name")
+    v = F.col(value)
+    out = out.withColumn(value, F.when(F.col("by_name").isNotNull(), F.col("dest")).when(F.startswith(v, F.lit("<<")), get(entries(v), "D")).otherwise(v)).drop("by_name", "dest")
+    out = out.withColumn("parts", items(F.col(value))).drop(value)
+    first = F.get("parts", F.lit(0))
+    counts = pages_.groupBy(F.col("doc_id").alias("in_doc")).agg(F.max("page_no").alias("n_pages"))
+    target = pages_.select(F.col("doc_id").alias("of_doc"), F.col("num").alias("of"), F.col("page_no").alias("on_page"))
+    out = out.join(counts, F.col("doc_id") == F.col("in_doc"), "left").join(target, (F.col("doc_id") == F.col("of_doc")) & (as_ref(first) == F.col("of")), "left")
+    number = F.when(as_int(first).isNotNull() & as_ref(first).isNull(), doc.page_of_number(as_int(first), F.coalesce("n_pages", as_int(first) + 1)))
+    args = F.transform(F.slice("parts", 3, 1 << 20), as_number)
+    view = F.when(F.size("parts") > 0, doc.destination(as_name(F.get("parts", F.lit(1))), args))
+    return out.withColumn("page_no", F.coalesce("on_page", number.cast("int"))).withColumn("view", view).drop("parts", "in_doc", "n_pages", "of_doc", "of", "on_page")
+
+
+def _goto(e: Column) -> Column:
+    """The destination of a bookmark or link: its own, or that of its action if that goes to one."""
+    action = entries(get(e, "A"))
+    return F.coalesce(get(e, "Dest"), F.when(as_name(get(action, "S")) == "GoTo", get(action, "D")))
+
+
+def sibling_ranks(nodes: DataFrame, rounds: int = 14) -> DataFrame:
+    """(doc_id, num, head, rank): each node's distance from the first of its list, over next (doc_id, num, next); distances double a round. Lists without a first node have no rows."""
+    before = nodes.where("next is not null").groupBy("doc_id", F.col("next").alias("num")).agg(F.min("num").alias("at"))
+    state = nodes.select("doc_id", "num").join(before, ["doc_id", "num"], "left").select("doc_id", "num", F.coalesce("at", "num").alias("at"), F.when(F.col("at").isNull(), 0).otherwise(1).alias("rank"))
+    state = staged(state, "pdf-lists")
+    for _ in range(rounds):
+        there = state.select("doc_id", F.col("num").alias("at"), F.col("at").alias("further"), F.col("rank").alias("more"))
+        new = staged(state.join(there, ["doc_id", "at"]).select("doc_id", "num", F.col("further").alias("at"), (F.col("rank") + F.col("more")).alias("rank"), (F.col("more") > 0).alias("moved")), "pdf-lists")
+        state = new.drop("moved")
+        if not new.where("moved").take(1):
+            break
+    heads = nodes.select("doc_id", "num").join(before, ["doc_id", "num"], "left_anti").withColumnRenamed("num", "at")
+    return state.join(heads, ["doc_id", "at"]).select("doc_id", "num", F.col("at").alias("head"), "rank")
+
+
 def outline(objs: DataFrame, pages_: DataFrame) -> DataFrame:
-    """(doc_id, num, level, title, path, page_no): bookmarks and the pages of their explicit destinations."""
-    d = F.col("dict")
-    tree = _named_tree(objs, F.trim(string(d, "Title")), ref(d, "Parent"), {}, F.regexp_like(d, F.lit(r"/Title\s*[(<]")) & ref(d, "Parent").isNotNull())
-    to = F.coalesce(F.regexp_extract(d, r"/(?:Dest|D)\s*\[\s*(\d+)\s+\d+\s+R", 1), F.lit(""))
-    dest = objs.select(F.col("doc_id").cast("string").alias("doc_id"), "num", F.nullif(to, F.lit("")).cast("long").alias("to"))
-    numbers_ = pages_.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("num").alias("to"), "page_no")
-    return tree.join(dest, ["doc_id", "num"]).join(numbers_, ["doc_id", "to"], "left").select("doc_id", "num", "level", F.col("name").alias("title"), "path", "page_no")
+    """(doc_id, num, level, title, path, place, page_no, view): bookmarks and where they lead. place sorts a file's bookmarks as they are shown; a bookmark that no list holds hangs below its parent."""
+    own = objs.where(F.col("num") != TRAILER).where(as_bytes(get(E, "Title")).isNotNull() & get(E, "Parent").isNotNull()).select("doc_id", "num", "entries")
+    own = staged(resolved(own, objs, "A").select("doc_id", "num", F.trim(as_text(get(E, "Title"))).alias("title"), as_ref(get(E, "Parent")).alias("parent"), as_ref(get(E, "Next")).alias("next"), as_ref(get(E, "First")).alias("first"), _goto(E).alias("to")), "pdf-bookmarks")
+    ranks = sibling_ranks(own)
+    ups = own.where("first is not null").select("doc_id", F.col("first").alias("head"), F.col("num").alias("up")).groupBy("doc_id", "head").agg(F.min("up").alias("up"))
+    nodes = own.join(ranks.join(ups, ["doc_id", "head"], "left"), ["doc_id", "num"], "left")
+    label = F.concat(F.lpad(F.coalesce("rank", F.lit(0)).cast("string"), 5, "0"), F.lpad(F.col("num").cast("string"), 10, "0"), F.lit(" "), F.col("title"))
+    tree = _named_tree(nodes.withColumn("label", label), F.col("label"), F.coalesce("up", "parent"), {}, F.lit(True)).select("doc_id", "num", "level", F.col("path").alias("place"))
+    titles = _named_tree(own, F.col("title"), F.col("parent"), {}, F.lit(True)).select("doc_id", "num", "path")
+    both = tree.join(titles, ["doc_id", "num"]).join(own.select("doc_id", "num", "title", "to"), ["doc_id", "num"])
+    return with_destinations(both, objs, pages_).select("doc_id", "num", "level", "title", "path", "place", "page_no", "view")
 
 
 def links(objs: DataFrame, pages_: DataFrame) -> DataFrame:
-    """(doc_id, page_no, rect, uri, dest_page): visible link annotations with an allowed address or a page."""
-    d = F.col("dict")
-    on = pages_.select("doc_id", "page_no", F.explode(refs(array(d, "Annots"))).alias("num"))
-    to = F.nullif(F.regexp_extract(d, r"/(?:Dest|D)\s*\[\s*(\d+)\s+\d+\s+R", 1), F.lit("")).cast("long")
-    link = objs.where((name(d, "Subtype") == "Link") & (F.coalesce(number(d, "F"), F.lit(0)).bitwiseAND(34) == 0)).select("doc_id", "num", numbers(array(d, "Rect")).alias("rect"), string(d, "URI").alias("uri"), to.alias("to"))
-    target = pages_.select("doc_id", F.col("num").alias("to"), F.col("page_no").alias("dest_page"))
-    out = on.join(link, ["doc_id", "num"]).join(target, ["doc_id", "to"], "left").withColumn("uri", F.when(is_allowed_uri(F.col("uri")), F.col("uri")))
-    return out.where("uri is not null or dest_page is not null").select("doc_id", "page_no", "rect", "uri", "dest_page")
-
-
-def permissions(files: DataFrame) -> DataFrame:
-    """(doc_id, status, rights): rights of unencrypted files are all granted; encrypted ones follow their /P."""
-    t = trailers(files).select("doc_id", "encrypted")
-    p = F.coalesce(F.regexp_extract(F.decode("content", LATIN), r"/P\s+(-?\d+)", 1), F.lit("0"))
-    return files.select("doc_id", F.coalesce(F.nullif(p, F.lit("")), F.lit("0")).cast("long").cast("int").alias("p")).join(t, "doc_id").select("doc_id", F.when(F.col("encrypted"), "encrypted").otherwise("ok").alias("status"), permission_flags(F.col("p"), F.col("encrypted")).alias("rights"))
-
-
-def extract_text(files: DataFrame, objs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page_no, text) of files (doc_id, content). objs: their objects, where they have been written to a table already; pages, fonts, contents and maps each read them, so they are written out first otherwise."""
-    objs = staged(objects(files), "pdf-objects") if objs is None else objs
-    p = pages(objs)
-    return page_text(operations(contents(p, objs)), fonts(p, objs))
+    """(doc_id, page_no, rect, uri, dest_page): regions of visible link annotations with an allowed address or a page: one a quad, or the rectangle where there are none."""
+    on = pages_.select("doc_id", "page_no", F.explode(refs(F.col("annots"))).alias("num"))
+    link = objs.where((as_name(get(E, "Subtype")) == "Link") & ~doc.is_hidden(as_int(get(E, "F")))).select("doc_id", "num", "entries")
+    link = resolved(link, objs, "A", "Rect", "QuadPoints").withColumn("rect", rectangle(numbers(get(E, "Rect")))).where("rect is not null")
+    action = entries(get(E, "A"))
+    uri = F.when(as_name(get(action, "S")) == "URI", as_bytes(get(action, "URI")))
+    quads = doc.quad_regions(F.coalesce(numbers(get(E, "QuadPoints")), F.array().cast("array<double>")))
+    link = link.select("doc_id", "num", F.explode(F.when(F.size(quads) > 0, quads).otherwise(F.array("rect"))).alias("rect"), uri.alias("uri"), F.when(uri.isNull(), _goto(E)).alias("to"))
+    out = with_destinations(on.withColumnRenamed("page_no", "from_page").join(link, ["doc_id", "num"]), objs, pages_).withColumn("uri", F.when(is_allowed_uri(F.col("uri")), F.col("uri")))
+    return out.where("uri is not null or page_no is not null").select("doc_id", F.col("from_page").alias("page_no"), "rect", "uri", F.col("page_no").alias("dest_page"))
+
+
+def permissions(files: DataFrame, objs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, status, rights): rights of unencrypted files are all granted; encrypted ones follow the /P of their encryption dictionary."""
+    objs = objects(files) if objs is None else objs
+    locked = _followed(trailer(objs).select("doc_id", get(E, "Encrypt").alias("v")).where("v is not null"), objs)
+    p = locked.select("doc_id", F.coalesce(as_int(get(entries(F.col("v")), "P")), F.lit(0)).cast("int").alias("p"))
+    both = files.select("doc_id").join(p, "doc_id", "left").withColumn("encrypted", F.col("p").isNotNull())
+    return both.select("doc_id", F.when(F.col("encrypted"), "encrypted").otherwise("ok").alias("status"), permission_flags(F.coalesce("p", F.lit(0)), F.col("encrypted")).alias("rights"))
+
+
+def extract_text(files: DataFrame, objs: DataFrame | None = None, password: str | None = None) -> DataFrame:
+    """(doc_id, page_no, text) of each page of files (doc_id, content). Encrypted files are opened with the password or the empty one, and have no pages if that fails (see encryption).
+
+    objs: their objects, where they have been written to a table already; pages, fonts, contents and maps each read them, so they are written out first otherwise.
+    """
+    objs = staged(objects(files, password, decrypting=True), "pdf-objects") if objs is None else objs
+    p = staged(pages(objs), "pdf-pages")
+    units = with_forms(contents(p, objs), objs)
+    text = page_text(operations(units), fonts(units, objs))
+    return p.select("doc_id", "page_no").join(text, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text"))

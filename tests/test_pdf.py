@@ -167,3 +167,42 @@ def test_encrypted_files(load):
     assert text == {0: "\nHello", 1: "\nHello", 3: "\nHello", 4: "\nHello"}
     titles = {r.doc_id: r.title for r in pdf.metadata(files, objs).collect()}
     assert titles[0] == titles[1] == "Secret" and titles[2] is None
+
+
+def test_nesting_comments_and_updates(load):
+    page = one_page(b"% a note (no) Tj\nBT /F1 9 Tf (ok) Tj ET").replace(b"<< /Type /Page /Parent", b"<< /Group << /Type /Group /Contents 9 0 R >> % /Type /Nothing\n/Type /Page /Parent")
+    partial = b"<< /Type /Font /ToUnicode 6 0 R /Encoding << /Differences [66 /Omega /bullet] >> >>"
+    fonts = one_page(b"BT /F1 9 Tf (ABC) Tj ET", more=(stream(b"beginbfchar <41> <0058> endbfchar"),)).replace(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", partial)
+    tricky = one_page(b"BT /F1 9 Tf (endobj endstream x) Tj ET")
+    two = b"<< /V 1 >>"
+    packed = lambda n, v: b"%d 0 obj\n<< /Type /ObjStm /N 1 /First 4 /Length 14 >>\nstream\n9 0 << /V %d >>\nendstream\nendobj\n" % (n, v)
+    body = b"%PDF-1.5\n1 0 obj\n<< /Type /Catalog >>\nendobj\n9 0 obj\n" + two + b"\nendobj\n" + packed(20, 2) + packed(19, 3)
+    update = body + b"xref\n0 1\n0000000000 65535 f \ntrailer\n<< /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % len(body)
+    files = load(page, fonts, tricky, update, locked(b"", b"own", 3), locked(b"pw", b"own", 3))
+    assert texts(files) == {(0, 1): "ok", (1, 1): "XΩ•", (2, 1): "endobj endstream x", (4, 1): "\nHello"}
+    nine = pdf.objects(files).where("doc_id = 3 and num = 9").first()
+    assert nine.dict.strip() == "<< /V 3 >>"
+
+
+def test_staging_needs_a_shared_folder():
+    from foliospark import storage
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(Cluster())
+
+
+def test_staged_tables_go_when_replaced(spark):
+    import os
+
+    from foliospark import storage
+
+    one = storage.staged(spark.range(3), "one")
+    place = one._folio_path.removeprefix("file://")
+    assert os.path.isdir(place)
+    two = storage.staged(one.selectExpr("id + 1 AS id"), "two", [one])
+    assert not os.path.isdir(place) and two.count() == 3
+    storage.discard(two, spark.range(1))
