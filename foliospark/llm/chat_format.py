@@ -32,11 +32,12 @@ def format_chats(conversations: DataFrame, loss_role: str = "assistant") -> Data
     """(conv_id, formatted, loss_spans): one row per conversation; loss_spans has (start, length) in code points of each text of loss_role.
 
     Turns are ordered by turn, then role, then text, so ties and repeated rows have one order; all are kept. A null turn comes
-    first, null roles and texts are empty. Rows without conv_id form one conversation. Other columns are not read.
+    first, null roles and texts are empty. A row without conv_id is a conversation of its own. Other columns are not read.
     A conversation is one value and has to fit in a row.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    talks = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    talks = conversations.select("conv_id", alone.alias("alone"), turn.alias("turn")).groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     places = F.sequence(F.lit(0), F.size("turns") - 1)
     opens = F.filter(places, lambda i: (i == 0) | (F.get(F.col("turns"), i - 1)["role"] != F.get(F.col("turns"), i)["role"]))
     talks = talks.withColumn("opens", opens)
@@ -46,21 +47,18 @@ def format_chats(conversations: DataFrame, loss_role: str = "assistant") -> Data
         texts = F.transform(F.slice(F.col("turns"), start + 1, length), lambda t: escape(t["text"]))
         return F.struct(F.get(F.col("turns"), start)["role"].alias("role"), texts.alias("texts"))
 
-    talks = talks.select("conv_id", F.posexplode(F.transform("opens", run)).alias("at", "run"))
-    head = F.concat(F.lit(START), escape(F.col("run.role")), F.lit(MESSAGE))
-    talks = talks.withColumn("piece", F.concat(head, F.array_join("run.texts", NEXT), F.lit(END))).withColumn("head", F.length(head))
-    before = F.sum(F.length("piece")).over(Window.partitionBy("conv_id").orderBy("at")) - F.length("piece")
-    talks = talks.withColumn("begin", before + F.col("head"))
-    spans = F.aggregate(
-        "run.texts",
-        F.struct(F.col("begin").cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda a, t: F.struct((a["at"] + F.length(t) + len(NEXT)).cast("long").alias("at"), F.array_append(a["spans"], F.struct(a["at"].alias("start"), F.length(t).cast("long").alias("length"))).alias("spans")),
-        lambda a: a["spans"],
-    )
-    talks = talks.withColumn("spans", F.when(F.col("run.role") == loss_role, spans).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>")))
-    parts = F.array_sort(F.collect_list(F.struct("at", "piece", "spans")))
-    whole = talks.groupBy("conv_id").agg(parts.alias("parts"))
-    return whole.select("conv_id", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("formatted"), F.flatten(F.transform("parts", lambda p: p["spans"])).alias("loss_spans"))
+    # a row per text, so that places are a running sum and no array grows step by step
+    key = ["conv_id", "alone"]
+    talks = talks.select(*key, F.posexplode(F.transform("opens", run)).alias("at", "run"))
+    talks = talks.select(*key, "at", "run.role", F.size("run.texts").alias("n"), F.posexplode("run.texts").alias("j", "t"))
+    before = F.when(F.col("j") == 0, F.concat(F.lit(START), escape(F.col("role")), F.lit(MESSAGE))).otherwise(NEXT)
+    talks = talks.withColumn("before", before).withColumn("piece", F.concat("before", "t", F.when(F.col("j") == F.col("n") - 1, END).otherwise("")))
+    till = F.sum(F.length("piece").cast("long")).over(Window.partitionBy(*key).orderBy("at", "j"))
+    span = F.struct((till - F.length("piece") + F.length("before")).alias("start"), F.length("t").cast("long").alias("length"))
+    talks = talks.withColumn("span", F.when(F.col("role") == loss_role, span))
+    whole = talks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "j", "piece", "span"))).alias("parts"))
+    spans = F.filter(F.transform("parts", lambda p: p["span"]), lambda s: s.isNotNull())
+    return whole.select("conv_id", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -268,3 +268,17 @@ def test_ids_of_very_long_runs(text):
 def test_packing_of_a_million_blanks(spark):
     pieces = packing.pack(spark.createDataFrame([(1, " " * 1_000_000), (2, "b")], DOCS)).collect()
     assert sum(r.length for r in pieces if r.doc_id == 1) == next(r.doc_tokens for r in pieces if r.doc_id == 1) > 1
+
+
+def test_secrets_copied_over_repositories_are_examples(spark):
+    key = "password = 'hunter2hunter2'"
+    data = [(i, f"x {key} y {key}", "one", f"r{i}") for i in range(4)] + [(9, "token: abcdefghijkl", "two", "r9"), (10, "token: abcdefghijkl", "six", "r9")]
+    got = {r.doc_id: r.found for r in secret_scan.scan_secrets(spark.createDataFrame(data, DOCS + ", owner string, repo string"), F.col("owner"), F.col("repo")).collect()}
+    assert [(s.start, s.end, s.owners, s.repos, s.verdict) for s in got[0]] == [(2, 28, 1, 4, "example"), (32, 58, 1, 4, "example")] and got[9][0].verdict == "shared"
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", "a", 1), (None, 1, "assistant", "b", 1), (5, 0, "assistant", "c", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at long").withColumn("formatted", F.lit(1)).withColumn("span", F.lit(1)).withColumn("alone", F.lit(1))
+    got = sorted((r.conv_id or 0, r.formatted.count("<|im_start|>"), [tuple(s) for s in r.loss_spans]) for r in chat_format.format_chats(df).collect())
+    assert got == [(0, 1, []), (0, 1, [(31, 1)]), (5, 1, [(31, 1)])]
