@@ -81,12 +81,17 @@ def match_count(text: Column, query: str) -> Column:
     return ((F.length(low) - F.length(F.replace(low, F.lit(q), F.lit("")))) / len(q)).cast("long")
 
 
-def match_offsets(text: Column, query: str) -> Column:
-    """Array of the 0-based places of those matches, in linear time: gaps between matches, summed up."""
+def match_offsets(text: Column, query: str, block: int = 256) -> Column:
+    """Array of the 0-based places of those matches: gaps between matches, summed up within blocks and over blocks, so no long array grows step by step. For a row per match see match_places."""
     low, q = F.lower(text), query.lower()
-    gaps = F.slice(F.split(low, r"\Q" + q + r"\E", -1), 1, F.size(F.split(low, r"\Q" + q + r"\E", -1)) - 1)
-    step = lambda a, g: F.struct((a["at"] + F.length(g) + len(q)).alias("at"), F.array_append(a["all"], a["at"] + F.length(g)).alias("all"))
-    return F.aggregate(gaps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step, lambda a: a["all"])
+    pieces = F.split(low, r"\Q" + q + r"\E", -1)
+    steps = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda g: F.length(g) + len(q))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / block).cast("int")), lambda b: F.slice(steps, b * block + 1, F.lit(block)))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda t, v: t + v)
+    sums = F.transform(blocks, total)
+    grow = lambda a, v: F.struct((a["at"] + v).alias("at"), F.array_append(a["all"], a["at"] + v - len(q)).alias("all"))
+    places = lambda x, i: F.aggregate(x, F.struct(total(F.slice(sums, F.lit(1), i)).alias("at"), F.array().cast("array<int>").alias("all")), grow, lambda a: a["all"])
+    return F.when(F.size(steps) > 0, F.flatten(F.transform(blocks, places))).when(text.isNotNull(), F.array().cast("array<int>"))
 
 
 def hex_string(text: Column) -> Column:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from foliospark.storage import staged
 
@@ -55,30 +59,59 @@ def islands(df: DataFrame, by: list[str], order: list[str], breaks: Column) -> D
     return df.withColumn("island", F.sum(F.when(F.coalesce(breaks, F.lit(True)), 1).otherwise(0)).over(w))
 
 
+def match_places(texts: DataFrame, by: list[str], text: str, query: str) -> DataFrame:
+    """(by, match_no, place): a row per non-overlapping match of query, ignoring case; by tells texts apart. Gaps between matches are summed by a window, so long texts with many matches take linear time."""
+    pieces = F.split(F.lower(text), r"\Q" + query.lower() + r"\E", -1)
+    gaps = texts.select(*by, F.posexplode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("match_no", "gap"))
+    till = F.sum(F.length("gap") + len(query)).over(Window.partitionBy(*by).orderBy("match_no"))
+    return gaps.select(*by, "match_no", (till - len(query)).cast("int").alias("place"))
+
+
+LINE = "line_no int, baseline double, height double, text string"
+
+
 def coalesce_lines(runs: DataFrame, by: list[str], order: str = "ord") -> DataFrame:
     """Text runs (x, baseline, height, width, text) of a page joined to lines.
 
     A run stays on the line if its baseline is within 0.3 of its height of the line's, its height within a quarter of the line's,
     and it begins no more than half a height before the line's end; a gap over 0.2 heights gives a space. Baseline and height are
-    those of the line's first run, so this folds each page's ordered runs: a page is what one row has to hold.
+    those of the line's first run, so each run depends on where the line before it began: pages are dealt to tasks, sorted there,
+    and read once in batches. A task holds a batch and the open line, a page may be of any length.
     """
-    fields = F.struct(order, "x", "baseline", "height", "width", "text")
-    pages = runs.where(F.length("text") > 0).groupBy(*by).agg(F.array_sort(F.collect_list(fields)).alias("runs"))
-    line = "struct<baseline:double,height:double,end:double,text:string>"
-    zero = F.struct(F.array().cast(f"array<{line}>").alias("done"), F.lit(None).cast(line).alias("line"))
-
-    def step(a: Column, r: Column) -> Column:
-        here = a["line"]
-        same = here.isNotNull() & (F.abs(r["baseline"] - here["baseline"]) <= r["height"] * 0.3) & (F.abs(r["height"] - here["height"]) <= here["height"] * 0.25) & (r["x"] >= here["end"] - r["height"] * 0.5)
-        space = (r["x"] - here["end"] > r["height"] * 0.2) & ~F.endswith(here["text"], F.lit(" ")) & ~F.startswith(r["text"], F.lit(" "))
-        end = (r["x"] + r["width"]).cast("double").alias("end")
-        joined = F.struct(here["baseline"].alias("baseline"), here["height"].alias("height"), end, F.concat(here["text"], F.when(space, " ").otherwise(""), r["text"]).alias("text"))
-        fresh = F.struct(r["baseline"].cast("double").alias("baseline"), r["height"].cast("double").alias("height"), end, r["text"].alias("text"))
-        done = F.when(same | here.isNull(), a["done"]).otherwise(F.array_append(a["done"], here))
-        return F.struct(done.alias("done"), F.when(same, joined).otherwise(fresh).alias("line"))
-
-    lines = F.aggregate("runs", zero, step, lambda a: F.array_append(a["done"], a["line"]))
-    return pages.select(*by, F.posexplode(lines).alias("line_no", "line")).select(*by, "line_no", "line.baseline", "line.height", "line.text")
+    held = runs.where(F.length("text") > 0).select(*by, order, *(F.col(c).cast("double").alias(c) for c in ("x", "baseline", "height", "width")), "text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.select(*by).schema), LINE])
+    names = [*by, *(c.split()[0] for c in LINE.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, line_no, line = None, 0, None  # line: baseline, height, end, parts
+
+        def put(out: list) -> None:
+            out.append((*page, line_no, line[0], line[1], "".join(line[3])))
+
+        for batch in batches:
+            out: list[tuple] = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by)))))
+            rest = (batch.column(i).to_pylist() for i in range(len(by) + 1, batch.num_columns))
+            for key, x, baseline, height, width, text in zip(keys, *rest):
+                same = line is not None and key == page and abs(baseline - line[0]) <= height * 0.3 and abs(height - line[1]) <= line[1] * 0.25 and x >= line[2] - height * 0.5
+                if not same:
+                    if line is not None:
+                        put(out)
+                    page, line_no, line = key, line_no + 1 if key == page and line is not None else 0, (baseline, height, x + width, [text])
+                    continue
+                last = line[3][-1]
+                if x - line[2] > height * 0.2 and not last.endswith(" ") and not text.startswith(" "):
+                    line[3].append(" ")
+                line[3].append(text)
+                line = (line[0], line[1], x + width, line[3])
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=target)
+        if line is not None:
+            out = []
+            put(out)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=target)
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    return held.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
 
 
 def flatten_tree(nodes: DataFrame, inherited: list[str], sep: str = ".") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import colour, geometry, numeric
 from foliospark.functions import text as tx
+from foliospark.operators.relational import match_places
 from foliospark.plans.relational_queries import table
 
 col = F.col
@@ -21,8 +22,7 @@ def search_pages(spark, sf_dir):
 
 def search_offsets(spark, sf_dir):
     """Each match's place."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(tx.match_offsets(col("text"), "tion")).alias("match_no", "place"))
+    return match_places(table(spark, sf_dir, "documents"), ["doc_id"], "text", "tion")
 
 
 def html_escape(spark, sf_dir):

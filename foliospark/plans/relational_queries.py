@@ -93,7 +93,7 @@ def coalesce_islands(spark, sf_dir):
 
 
 def coalesce_lines(spark, sf_dir):
-    """Text runs laid out from documents' first words, joined to lines by the fold."""
+    """Text runs laid out from documents' words, joined to lines."""
     docs = table(spark, sf_dir, "documents")
     words = docs.select("doc_id", F.posexplode(F.split(F.col("text"), r"\s+")).alias("i", "text"))
     runs = words.select("doc_id", F.col("i").alias("ord"), (F.col("i") % 8 * 30.0).alias("x"), (700.0 - F.floor(F.col("i") / 8) * 14).cast("double").alias("baseline"), F.lit(10.0).alias("height"), (F.length("text") * 4.0).alias("width"), "text")
