@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import read
 
 FRAME = 64  # bytes of a frame: 8 x 8 samples of 8 bits
+DEEPEST = 32  # levels of boxes below a track
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
 TRACK = "struct<track_id:long,handler:string,codec:string,width:int,height:int,duration:double,n_samples:long,n_bytes:long,n_keyframes:long,keyframes:array<struct<start:long,end:long>>>"
 TRACK_ARROW = pa.struct([
@@ -56,10 +57,15 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
 def leaves(data: memoryview, start: int, end: int) -> dict[bytes, tuple[int, int]]:
     """The first box of each type below a range, nested ones opened."""
     found: dict[bytes, tuple[int, int]] = {}
-    for kind, body, stop in boxes(data, start, end):
-        if kind in NESTED and kind != b"trak":
-            for k, v in leaves(data, body, stop).items():
-                found.setdefault(k, v)
+    level = [boxes(data, start, end)]
+    while level:
+        kind, body, stop = next(level[-1], (None, 0, 0))
+        if kind is None:
+            level.pop()
+        elif kind in NESTED and kind != b"trak":
+            if len(level) == DEEPEST:
+                raise Malformed("boxes nest too deep")
+            level.append(boxes(data, body, stop))
         else:
             found.setdefault(kind, (body, stop))
     return found
@@ -76,27 +82,42 @@ def table(data: memoryview, span: tuple[int, int], dtype: str, skip: int = 4) ->
 
 
 def sample_places(data: memoryview, found: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) in the file of each sample, from chunk offsets, samples by chunk and sample sizes."""
+    """(start, size) in the file of each sample, from chunk offsets, samples by chunk and sample sizes; samples have to lie in the file."""
     if b"stsz" in found:
         same, n = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
+        if same * n > len(data):
+            raise Malformed("samples are longer than the file")
         sizes = np.full(n, same, np.int64) if same else table(data, found[b"stsz"], ">u4", 8).astype(np.int64)
     elif b"stz2" in found:
-        width, n = struct.unpack_from(">B I".replace(" ", ""), data, found[b"stz2"][0] + 7)
-        body = found[b"stz2"][0] + 12
+        width, n = struct.unpack_from(">BI", data, found[b"stz2"][0] + 7)
+        body, end = found[b"stz2"][0] + 12, found[b"stz2"][1]
+        if width not in (4, 8, 16) or body + -(-n * width // 8) > end:
+            raise Malformed("table passes its box")
         raw = np.frombuffer(data, np.uint8, -(-n * width // 8), body)
         sizes = {4: lambda: np.stack([raw >> 4, raw & 15], 1).ravel(), 8: lambda: raw, 16: lambda: raw.view(">u2")}[width]()[:n].astype(np.int64)
     else:
         raise Malformed("no sample sizes")
+    if b"co64" not in found and b"stco" not in found:
+        raise Malformed("no chunk offsets")
     chunks = (table(data, found[b"co64"], ">u8") if b"co64" in found else table(data, found[b"stco"], ">u4")).astype(np.int64)
+    if len(chunks) and (chunks.min() < 0 or chunks.max() > len(data)):
+        raise Malformed("a chunk lies outside the file")
     runs = table(data, found[b"stsc"], ">u4,>u4,>u4")
     first = runs["f0"].astype(np.int64) - 1
-    per_chunk = np.repeat(runs["f1"].astype(np.int64), np.diff(np.append(first, len(chunks))))
-    if per_chunk.sum() < len(sizes):
+    spans = np.diff(np.append(first, len(chunks)))
+    if len(first) and (first[0] != 0 or spans.min() < 0):
+        raise Malformed("chunk runs are out of order")
+    per_chunk = np.repeat(np.minimum(runs["f1"].astype(np.int64), len(sizes)), spans)
+    till = np.cumsum(per_chunk)
+    if (till[-1] if len(till) else 0) < len(sizes):
         raise Malformed("chunks hold too few samples")
-    chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[: len(sizes)]
+    chunk = np.searchsorted(till, np.arange(len(sizes)), "right")
     before = np.concatenate([[0], np.cumsum(sizes)])
-    opens = np.concatenate([[0], np.cumsum(per_chunk)])[:-1]
-    return chunks[chunk] + before[:-1] - before[np.minimum(opens, len(sizes))][chunk], sizes
+    opens = np.concatenate([[0], till])[:-1]
+    starts = chunks[chunk] + before[:-1] - before[np.minimum(opens, len(sizes))][chunk]
+    if len(sizes) and (starts + sizes).max() > len(data):
+        raise Malformed("a sample passes the end of the file")
+    return starts, sizes
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> list[dict]:
@@ -137,8 +158,8 @@ def tracks(data: bytes) -> list[tuple[dict, np.ndarray, np.ndarray]]:
         for kind, body, end in boxes(view, 0, len(view)):
             if kind == b"moov":
                 return [track(view, b, e) for k, b, e in boxes(view, body, end) if k == b"trak"]
-    except (struct.error, IndexError, KeyError, ValueError) as x:
-        raise Malformed(str(x)) from None
+    except (struct.error, IndexError, KeyError, ValueError, OverflowError, MemoryError) as x:
+        raise Malformed(str(x) or type(x).__name__) from None
     raise Malformed("no moov")
 
 

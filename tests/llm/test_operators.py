@@ -282,3 +282,93 @@ def test_rows_without_a_conversation_stand_alone(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at long").withColumn("formatted", F.lit(1)).withColumn("span", F.lit(1)).withColumn("alone", F.lit(1))
     got = sorted((r.conv_id or 0, r.formatted.count("<|im_start|>"), [tuple(s) for s in r.loss_spans]) for r in chat_format.format_chats(df).collect())
     assert got == [(0, 1, []), (0, 1, [(31, 1)]), (5, 1, [(31, 1)])]
+
+
+def crc(doc_id, n):
+    return zlib.crc32(str(doc_id).encode()) % n
+
+
+def test_language_query_is_that_of_plain_profiles(spark, sf_dir):
+    """Ranks and distances by dictionaries and sorting."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+
+    def profile(texts):
+        counts = defaultdict(int)
+        for text in texts:
+            words = re.findall(r"[^\W\d_]+", (text or "").lower())
+            line = f" {' '.join(words)} " if words else ""
+            for i in range(len(line)):
+                for n in (1, 2, 3):
+                    gram = line[i : i + n]
+                    if len(gram) == n and gram != " ":
+                        counts[gram] += 1
+        code = lambda g: sum(ord(c) << s for c, s in zip(g, (42, 21, 0)))
+        return {g: r for r, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[:400])}
+
+    known = defaultdict(list)
+    for r in rows:
+        if crc(r.doc_id, 3) != 1 and r.lang is not None:
+            known[r.lang].append(r.text)
+    profiles = {lang: profile(texts) for lang, texts in sorted(known.items())}
+    got = {r.doc_id: r for r in language_id.op7_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own = profile([r.text])
+        g = got[r.doc_id]
+        assert g.held_out == (crc(r.doc_id, 3) == 1)
+        if not own:
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[x] - i) if x in p else 400 for x, i in own.items()) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        assert g.lang_pred == best and g.score == pytest.approx(1 - far[best] / (400 * len(own)))
+
+
+def test_quality_query_is_that_of_a_plain_model(spark, sf_dir):
+    import math
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if crc(r.doc_id, 4) != 2 and r.quality is not None}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = sorted((d, q == 1, [float(np.float32(v)) for v in quality.features(texts[d])]) for d, q in labels.items() if d in texts)
+    x, good = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z = np.clip((x - mean) / scale, -8, 8)
+    w = quality.fit_pairs(z[good], z[~good], 60_000)
+    cut = float(np.quantile(z @ w, sum(q != 1 for q in labels.values()) / len(labels)))
+    for r in quality.op8_quality(spark, sf_dir).collect():
+        v = sum(a * min(8, max(-8, (f - m) / s)) for a, f, m, s in zip(w, quality.features(texts[r.doc_id]), mean, scale))
+        want = 1 / (1 + math.exp(-min(30, max(-30, v - cut + math.log(0.7 / 0.3)))))
+        assert r.held_out == (crc(r.doc_id, 4) == 2) and r.score == pytest.approx(want, abs=1e-6) and r.predicted == int(r.score >= 0.7)
+
+
+def test_media_query_is_that_of_plain_bytes(spark, sf_dir):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in iso_media.op9_media(spark, sf_dir).collect()}
+    assert got.keys() == texts.keys()
+    for d, raw in texts.items():
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = iso_media.mux(payload)
+        r = got[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert media.count(payload) == 1 and (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_foreign_containers_are_reported(spark):
+    data = iso_media.mux(bytes(range(64)) * 3)
+    put = lambda kind, at, value: data[: data.index(kind) + at] + struct.pack(">I", value) + data[data.index(kind) + at + 4 :]
+    deep = b""
+    for _ in range(3000):
+        deep = iso_media.box(b"mdia", deep)
+    deep = iso_media.box(b"moov", iso_media.box(b"trak", deep))
+    bad = [put(b"stco", 12, 10**6), put(b"stco", 12, 2**32 - 1), deep, data.replace(b"trak", b"trax"), put(b"stsz", 8, 1)[:-1], put(b"stsz", 12, 2**31), put(b"stsz", 8, 2**31), put(b"stsc", 16, 2**31), put(b"stsc", 12, 7), put(b"stsc", 8, 2**31), put(b"stss", 12, 99)]
+    rows = iso_media.media_columns(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bad)], "id long, media binary")).collect()
+    held = {r.id: r for r in rows}
+    assert len(held) == len(bad)
+    for i, r in held.items():
+        if i == 3:
+            assert r.payload_bytes == 0 and r.tracks == []
+        elif i == 7:
+            assert r.media_error is None and r.payload_bytes == 192  # more samples in a chunk than there are
+        else:
+            assert r.media_error and r.tracks is None and r.payload_bytes is None
