@@ -6,11 +6,14 @@ import atexit
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock = threading.Lock()
+_scopes = threading.local()
 _writers: dict[int, list] = {}  # by session: how many write, and the setting before the first of them
 
 
@@ -57,9 +60,23 @@ def staged(df: DataFrame, what: str, instead_of: tuple[DataFrame, ...] | list[Da
     discard(*instead_of)
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
+    for scope in getattr(_scopes, "open", ()):
+        scope.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the tables that are staged inside, by this thread, when it ends; take what has to stay out of the list."""
+    made: list[DataFrame] = []
+    _scopes.open = [*getattr(_scopes, "open", ()), made]
+    try:
+        yield made
+    finally:
+        _scopes.open = [s for s in _scopes.open if s is not made]
+        discard(*made)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables; other DataFrames are left alone."""
     for t in tables:
