@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 _lock = threading.Lock()
 _scopes = threading.local()
 _writers: dict[int, list] = {}  # by session: how many write, and the setting before the first of them
@@ -65,6 +66,39 @@ def staged(df: DataFrame, what: str, instead_of: tuple[DataFrame, ...] | list[Da
     return out
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int, what: str) -> DataFrame:
+    """df as a table in the shared folder whose files are buckets of the keys, sorted by them: joins and aggregates by these keys read it without a shuffle. Where df is dealt out by the keys already, a bucket is one file."""
+    spark = df.sparkSession
+    name = f"{what}-{uuid.uuid4().hex}"
+    path, table = f"{shared_dir(spark)}/{name}", name.replace("-", "_")
+    atexit.register(remove, spark, path)
+    _cleaning(spark, True)
+    try:
+        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    finally:
+        _cleaning(spark, False)
+    out = spark.table(table)
+    out._folio_path, out._folio_table = path, table
+    for scope in getattr(_scopes, "open", ()):
+        scope.append(out)
+    return out
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans that are made (and run) inside take buckets of one file as sorted, so that merge joins need no sort of them either.
+
+    Join such tables; don't aggregate their union: Spark 4.1 plans that without a shuffle, but a union of columnar scans does not
+    keep buckets together, which splits groups.
+    """
+    before = spark.conf.get(ORDERED, "false")
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, before)
+
+
 @contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
     """Deletes the tables that are staged inside, by this thread, when it ends; take what has to stay out of the list."""
@@ -83,6 +117,9 @@ def discard(*tables: DataFrame) -> None:
         if path := getattr(t, "_folio_path", None):
             remove(t.sparkSession, path)
             t._folio_path = None
+        if table := getattr(t, "_folio_table", None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+            t._folio_table = None
 
 
 def remove(spark: SparkSession, path: str) -> None:
