@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.storage import discard, scratch, staged
+from foliospark.storage import bucketed, discard, scratch, sorted_buckets, staged
 
-__all__ = ["WHITE", "ascii_lower", "discard", "hex_sha256", "read", "scratch", "staged"]
+__all__ = ["WHITE", "ascii_lower", "bucketed", "discard", "hex_sha256", "read", "scratch", "sorted_buckets", "staged"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\f\r"

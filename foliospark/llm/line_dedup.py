@@ -1,59 +1,78 @@
 """Line dedup on levelled sorted runs of line hashes.
 
-The index is a set of runs. A run is a table (h1, h2, n_docs, last_doc), one row per line key, written in hash partitions
-that are sorted by the key. A batch is aggregated to one row per key, merge-anti-joins the entries that the runs have
-already settled, and is added as a run of level 0. When a level holds `fanout` runs they are merged into one run of the
-next level. A key is known by two 64-bit hashes.
+The index is a set of runs. A run is a table (h1, h2, n_docs, last_doc), one row per line key, in buckets of the key that are
+sorted by it. A batch is aggregated to one row per key, merge-anti-joins the entries that the runs have already settled, run by
+run, and is added as a run of level 0: only the batch is shuffled and sorted, the runs are read as they lie. When a level holds
+`fanout` runs they are merged two at a time, by a merge join, bucket by bucket into one run of the next level, again without a shuffle. A key is known by two
+64-bit hashes.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WHITE, ascii_lower, hex_sha256, read, staged
+from foliospark.llm.common import WHITE, ascii_lower, bucketed, discard, hex_sha256, read, sorted_buckets, staged
 
 KEY = ["h1", "h2"]
 
 
 class LineRuns:
-    """The levelled index. settled: entries found in min_docs documents already."""
+    """The levelled index. settled: entries found in min_docs documents already. Runs have as many buckets as a shuffle has partitions."""
 
-    def __init__(self, min_docs: int = 3, fanout: int = 3):
-        self.min_docs, self.fanout = min_docs, fanout
+    def __init__(self, spark: SparkSession, min_docs: int = 3, fanout: int = 2):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def add(self, occurrences: DataFrame) -> None:
-        """occurrences: (h1, h2, doc_id), a row per line. Entries that a run has settled with a later document need no new row:
-        neither their verdict nor their keeper can change. So hot lines stay out of the newer runs."""
+    def unsettled(self, occurrences: DataFrame) -> DataFrame:
+        """Entries of occurrences (h1, h2, doc_id), a row per line, that no run has settled with a later document; neither the verdict
+        nor the keeper of the others can change. So hot lines stay out of the newer runs."""
         batch = occurrences.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if runs := self.runs():
-            settled = reduce(DataFrame.unionAll, runs).where(F.col("n_docs") >= self.min_docs)
-            known = settled.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("last_doc").alias("later"))
+        for run in self.runs():
+            known = run.where(F.col("n_docs") >= self.min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("last_doc").alias("later"))
             batch = batch.join(known.hint("merge"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("later") > F.col("last_doc")), "left_anti")
-        self._put(0, batch)
+        return batch
+
+    def add(self, occurrences: DataFrame) -> None:
+        self._put(0, self._run(self.unsettled(occurrences), 0))
+
+    def _run(self, entries: DataFrame, level: int) -> DataFrame:
+        with sorted_buckets(self.spark):
+            return bucketed(entries, KEY, self.buckets, f"line-run-{level}")
 
-    def _put(self, level: int, entries: DataFrame) -> None:
+    def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        run = staged(entries.repartition(*KEY).sortWithinPartitions(*KEY), f"line-run-{level}")
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, merged(full))
+            self._put(level + 1, self._merge(full, level + 1))
+
+    def _merge(self, runs: list[DataFrame], level: int) -> DataFrame:
+        """One run of several, two at a time; those are deleted."""
+        out = runs[0]
+        for run in runs[1:]:
+            new = self._run(merged(out, run), level)
+            discard(out, run)
+            out = new
+        return out
 
     def table(self) -> DataFrame:
-        """All entries, one row per key. n_docs is exact below min_docs and never below min_docs for a settled key."""
-        return merged(self.runs())
+        """All entries, one row per key, as the only run that is left. n_docs is exact below min_docs and never below min_docs for a settled key."""
+        self.levels = [[self._merge(self.runs(), len(self.levels))]]
+        return self.levels[0][0]
 
 
-def merged(runs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionAll, runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+def merged(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The entries of two runs, merged along their common order."""
+    x = other.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n_docs").alias("more"), F.col("last_doc").alias("later"))
+    both = one.join(x.hint("merge"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "full")
+    n = F.coalesce("n_docs", F.lit(0).cast("long")) + F.coalesce("more", F.lit(0).cast("long"))
+    return both.select(F.coalesce("h1", "k1").alias("h1"), F.coalesce("h2", "k2").alias("h2"), n.alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"))
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -66,7 +85,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def index_in_batches(spark: SparkSession, keys: DataFrame, batches: int, min_docs: int, fanout: int) -> LineRuns:
     """Adds keys in ranges of doc_id, the latest first, as a crawl that is indexed backwards."""
-    index = LineRuns(min_docs, fanout)
+    index = LineRuns(spark, min_docs, fanout)
     cuts = sorted(set(keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     bounds = [None, *map(int, cuts), None]
     for low, high in reversed(list(zip(bounds, bounds[1:]))):
@@ -77,7 +96,7 @@ def index_in_batches(spark: SparkSession, keys: DataFrame, batches: int, min_doc
     return index
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """docs with text cut to its kept lines, plus n_lines (before) and n_dropped.
 
     A line's key is the line without [ \\t\\n\\v\\f\\r] at both ends and with A-Z lower-cased. A key of min_chars code points
@@ -91,6 +110,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     keys = staged(line_keys(docs.select("doc_id", "text"), min_chars), "line-keys")
     index = index_in_batches(spark, keys, batches, min_docs, fanout)
     repeated = staged(index.table().where(F.col("n_docs") >= min_docs), "repeated-lines")
+    discard(*index.runs())
     lost = keys.join(repeated, KEY).where(F.col("doc_id") < F.col("last_doc"))
     lost = lost.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("__lost"))
     lost = lost.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__of"), "__lost")

@@ -372,3 +372,40 @@ def test_foreign_containers_are_reported(spark):
             assert r.media_error is None and r.payload_bytes == 192  # more samples in a chunk than there are
         else:
             assert r.media_error and r.tracks is None and r.payload_bytes is None
+
+
+def test_runs_are_read_as_they_lie(spark):
+    """Batches merge-anti-join the runs, and runs merge, without a shuffle or sort on the runs' side."""
+    from foliospark.llm.common import sorted_buckets
+
+    def plan(df):
+        with sorted_buckets(spark):
+            return df._jdf.queryExecution().executedPlan().toString()
+
+    def nodes_above_scans(text):
+        """Names of the nodes between each file scan and the join or union above it."""
+        lines = [line for line in text.split("\n") if line.strip()]
+        found = []
+        for i, line in enumerate(lines):
+            if "FileScan" in line:
+                depth, above = len(line) - len(line.lstrip(" :+-")), []
+                for up in reversed(lines[:i]):
+                    d = len(up) - len(up.lstrip(" :+-"))
+                    if d < depth:
+                        depth = d
+                        above.append(up.strip(" :+-"))
+                        if "Join" in up or "Union" in up:
+                            break
+                found.append(above)
+        return found
+
+    keys = spark.range(400).selectExpr("id % 50 AS h1", "id % 50 AS h2", "id AS doc_id")
+    index = line_dedup.LineRuns(spark, fanout=9)
+    index.add(keys.where("doc_id >= 200"))
+    index.add(keys.where("doc_id between 100 and 199"))
+    third = plan(index.unsettled(keys.where("doc_id < 100")))
+    held = nodes_above_scans(third)
+    assert len(held) == 2 and all(not any(w in line for line in above for w in ("Exchange", "Sort ")) for above in held), third
+    both = plan(line_dedup.merged(*index.runs()))
+    assert "Exchange" not in both and "Sort " not in both and "SortMergeJoin" in both
+    assert {(r.h1, r.n_docs, r.last_doc) for r in index.table().collect()} == {(k, 4, 350 + k) for k in range(50)}
