@@ -81,7 +81,7 @@ def objects(files: DataFrame, password: str | None = None, decrypting: bool = Fa
     A row with num -1 holds the file's trailer, its keys merged over all sections, newest first. With decrypting, encrypted files
     are opened with the password (or the empty one), and those that it does not open have no objects; without, their
     strings and streams stay as they are. Items of the files and the definitions that count are written out on the way, since
-    trailers, tables, streams and keys each read them.
+    trailers, tables, streams and keys each read them; of streams, only tables and packed objects are decoded twice.
     """
     text = F.decode("content", LATIN)
     each = staged(files.select("doc_id", is_sound(text).alias("sound"), F.posexplode(every(text, ITEM)).alias("ord", "o")), "pdf-items")
@@ -103,7 +103,6 @@ def objects(files: DataFrame, password: str | None = None, decrypting: bool = Fa
         plain = last.where("body is null")
     names, parms = _parms(E)
     coded = coded.select("doc_id", "num", "gen", "ord", "sound", "dict", "entries", decode_stream(F.col("raw"), names, parms).alias("stream"))
-    coded = staged(coded, "pdf-streams")
     plain = plain.select("doc_id", "num", "gen", "ord", "sound", "dict", "entries", F.lit(None).cast("binary").alias("stream"))
     scanned = plain.unionByName(coded)
     inner = _packed(coded).withColumn("entries", entries(F.col("dict")))
@@ -268,10 +267,11 @@ def operations(contents_: DataFrame) -> DataFrame:
     """(doc_id, page_no, path, resources, op_no, op, operands): postfix operations with the tokens of at most the last 64 operands; an array or dictionary is one operand, kept whole. Inline images become INLINE_IMAGE. Nothing is shuffled."""
     clean = F.regexp_replace("content", r"(?s)(?<![^\s])BI\s.*?\sEI(?![^\s])", " INLINE_IMAGE ")
     found = contents_.select("doc_id", "page_no", "path", "resources", F.posexplode(every(clean, OPERATION)).alias("op_no", "o"))
-    values = F.filter(every(F.regexp_extract("o", rf"^((?:{OPERAND})*+)", 1), rf"{sx.COMMENT}|{sx.VALUE}"), lambda v: ~F.startswith(v, F.lit("%")))
-    last = F.slice(values, F.greatest(F.size(values) - 63, F.lit(1)), 64)
+    found = found.withColumn("said", F.regexp_extract("o", rf"^((?:{OPERAND})*+)", 1))
+    found = found.withColumn("op", F.substring("o", F.length("said") + 1, F.length("o"))).withColumn("values", F.filter(every(F.col("said"), rf"{sx.COMMENT}|{sx.VALUE}"), lambda v: ~F.startswith(v, F.lit("%"))))
+    last = F.slice("values", F.greatest(F.size("values") - 63, F.lit(1)), 64)
     flat = lambda v: F.when(F.startswith(v, F.lit("[")) | F.startswith(v, F.lit("<<")), F.filter(every(v, sx.TOKEN), lambda t: ~F.startswith(t, F.lit("%")))).otherwise(F.array(v))
-    return found.select("doc_id", "page_no", "path", "resources", "op_no", F.regexp_extract("o", rf"^(?:{OPERAND})*+({OPERATOR})", 1).alias("op"), F.flatten(F.transform(last, flat)).alias("operands"))
+    return found.select("doc_id", "page_no", "path", "resources", "op_no", "op", F.flatten(F.transform(last, flat)).alias("operands"))
 
 
 def with_forms(contents_: DataFrame, objs: DataFrame, depth: int = 8) -> DataFrame:
@@ -345,12 +345,13 @@ def shown(raw: Column, wide: Column, ranges: Column, differences: Column, encodi
 
     def unit(c: Column) -> Column:
         r = F.get(F.filter(ranges, lambda r: (r["lo"] <= c) & (c <= r["hi"])), F.lit(0))
-        mapped = F.nullif(F.decode(F.unhex(F.concat(r["head"], F.lpad(F.hex(r["last"] + c - r["lo"]), 4, "0"))), "UTF-16BE"), F.lit(""))
+        mapped = F.nullif(F.concat(r["head"], F.lpad(F.hex(r["last"] + c - r["lo"]), 4, "0")), F.lit(""))
         own = F.nullif(F.try_element_at(F.filter(differences, lambda d: d["code"] == c), F.lit(-1))["text"], F.lit(""))
-        return F.coalesce(mapped, F.when(wide, "").otherwise(F.coalesce(own, by_table(F.char(c), encoding))))
+        return F.coalesce(mapped, F.when(wide, "").otherwise(F.hex(F.encode(F.coalesce(own, by_table(F.char(c), encoding)), "UTF-16BE"))))
 
+    whole = F.decode(F.unhex(F.array_join(F.transform(codes, unit), "")), "UTF-16BE")
     plain = F.coalesce(F.size(ranges), F.lit(0)) + F.coalesce(F.size(differences), F.lit(0)) <= 0
-    return F.when(plain & wide, "").when(plain, by_table(raw, F.coalesce(encoding, F.lit("WinAnsiEncoding")))).otherwise(F.array_join(F.transform(codes, unit), ""))
+    return F.when(plain & wide, "").when(plain, by_table(raw, F.coalesce(encoding, F.lit("WinAnsiEncoding")))).otherwise(whole)
 
 
 def page_text(ops: DataFrame, fonts_: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def _nested(open_: str, inside: str, close: str, depth: int) -> str:
 
 
 STRING = _nested(r"\(", r"[^\\()]++|\\[\s\S]", r"\)", 12)
-HEX = rf"<(?!<)(?:[0-9A-Fa-f]|{SPACE})*+>"
+HEX = r"<(?!<)[0-9A-Fa-f\s\x00]*+>"
 NAME = rf"/{REGULAR}*+"
 REF = rf"\d++{SPACE}++\d++{SPACE}++R(?!{REGULAR})"
 GROUP = _nested(r"(?:<<|\[)", rf"{SPACE}++|{COMMENT}|{STRING}|{HEX}|{NAME}|{REGULAR}++", r"(?:>>|\])", DEPTH)
