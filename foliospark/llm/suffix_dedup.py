@@ -1,11 +1,12 @@
 """Exact repeated passages across documents, by merging shard Burrows-Wheeler transforms.
 
-Every window of `length` bytes chooses an anchor, its 20-byte gram of least hash, so equal windows have equal anchors and
-meet under the anchor's hash. The context of an anchor holds all windows that may have chosen it. Anchors that lie in one
-document only are dropped. Where an anchor always has the same context, the windows in it repeat in all its documents. The
-contexts that differ are dealt out by anchor; each task cuts its share into shards, builds their transforms and merges
-these by interleave refinement, which gives the runs of suffixes with `length` bytes in common, and so the first document of each
-window. An anchor with very many contexts is not gathered in a task: its windows are grouped by their bytes instead.
+Of equal texts only the first is searched: the others go whole. Every window of `length` bytes chooses an anchor, its 20-byte
+gram of least hash, so equal windows have equal anchors and meet under the anchor's hash. The context of an anchor holds all
+windows that may have chosen it. Anchors that lie in one document only are dropped. Where an anchor always has the same context,
+the windows in it repeat in all its documents. The contexts that differ are dealt out by anchor; each task cuts its share into
+shards, builds their transforms and merges these by interleave refinement, which gives the runs of suffixes with `length` bytes
+in common, and so the first document of each window. An anchor with very many contexts is dealt out to many tasks: by the
+bytes beside it that half of its windows have in common, and these again by more bytes, until the parts are small.
 """
 
 from __future__ import annotations
@@ -66,8 +67,8 @@ def encoded(text) -> bytes:
 
 
 def anchor_rows(docs: DataFrame, length: int, places: bool) -> DataFrame:
-    """docs (doc_id, tag, text) to (h, doc_id) or, with places, (h, c, doc_id, at): at is tag * 2**32 + place."""
-    names = ["h", "c", "doc_id", "at"] if places else ["h", "doc_id"]
+    """docs (doc_id, tag, text) to (h, doc_id) or, with places, (h, c, doc_id, tag, place)."""
+    names = ["h", "c", "doc_id", "tag", "place"] if places else ["h", "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +78,7 @@ def anchor_rows(docs: DataFrame, length: int, places: bool) -> DataFrame:
                 raw = encoded(text)
                 place, h = anchors(raw, length)
                 own = np.full(len(h), doc_id)
-                for part, new in zip(parts, (h, context_hashes(raw, place, length), own, place + (tag << 32)) if places else (h, own)):
+                for part, new in zip(parts, (h, context_hashes(raw, place, length), own, np.full(len(h), tag), place) if places else (h, own)):
                     part.append(new)
                 total += len(h)
                 if total > 200_000:
@@ -89,15 +90,17 @@ def anchor_rows(docs: DataFrame, length: int, places: bool) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def place_of(at: Column) -> Column:
-    return at.bitwiseAND(F.lit(0xFFFFFFFF))
+def text_copies(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, tag) of the rows whose whole text, of `length` bytes at least, is that of a document with a smaller doc_id."""
+    keyed = docs.where(F.octet_length("text") >= length).select("doc_id", "tag", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
+    groups = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    return keyed.join(groups, ["k1", "k2"]).where("doc_id > lo").select("doc_id", "tag").distinct()
 
 
 def context_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h, c, owner, count, left, context) of wanted (h, c, owner, count, doc_id, at): left counts the bytes before the anchor."""
+    """(h, c, owner, count, left, context) of wanted (h, c, owner, count, tag, place): left counts the bytes before the anchor."""
     reach = length - GRAM
-    asked = F.struct("h", "c", "owner", "count", place_of(F.col("at")).alias("place"))
-    per_doc = wanted.groupBy(F.col("doc_id").alias("of"), F.shiftright("at", 32).alias("of_tag")).agg(F.collect_list(asked).alias("wanted"))
+    per_doc = wanted.groupBy(F.col("owner").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("h", "c", "owner", "count", "place")).alias("wanted"))
     joined = docs.join(per_doc, (F.col("doc_id") == F.col("of")) & (F.col("tag") == F.col("of_tag"))).select("text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +115,7 @@ def context_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def meets(h: np.ndarray, sides: list[bytes]) -> np.ndarray:
-    """Whether another context of the same anchor has the same side."""
+    """Whether another context of the same group has the same side."""
     keys = np.array([hash((a, b)) for a, b in zip(h.tolist(), sides)])
     _, where, n = np.unique(keys, return_inverse=True, return_counts=True)
     return n[where] > 1
@@ -130,49 +133,86 @@ def chunk_masks(strings: list[bytes], left: np.ndarray, owner: np.ndarray, lengt
     return masks
 
 
+SHARE = pa.schema([("g", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("owner", pa.int64()), ("bits", pa.int64()), ("left", pa.int32()), ("context", pa.binary())])
+
+
 def merged_masks(contexts: DataFrame, length: int, tasks: int, chunk: int = 1000) -> DataFrame:
-    """(h, c, owner, mask) of contexts, dealt out by anchor to tasks and in these to chunks whose transforms are merged.
+    """(h, c, owner, mask) of contexts, dealt out by their group g to tasks and in these to chunks whose transforms are merged.
 
-    A window that holds the anchor has half the bytes it can reach to one side at least, so contexts that share neither side
-    with another of their anchor have no window in common with any and stay out of the transforms.
+    Contexts of a group hold the same anchor; bits are the windows that the group is to decide. A window that holds the anchor has
+    half the bytes it can reach to one side at least, so contexts that share neither side with another of their group have no
+    window in common with any and stay out of the transforms.
     """
     half = (length - GRAM) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = pa.Table.from_batches(batches, schema=SHARE).sort_by("h")
-        h, owner, left = (share.column(x).to_numpy() for x in ("h", "owner", "left"))
+        share = pa.Table.from_batches((b.cast(SHARE) for b in batches), schema=SHARE).sort_by("g")
+        g, owner, bits, left = (share.column(x).to_numpy() for x in ("g", "owner", "bits", "left"))
         strings = share.column("context").to_pylist()
         if not strings:
             return
         before = [s[a - half : a] if a >= half else s[:a] + bytes([1]) for s, a in zip(strings, left.tolist())]
         after = [s[a + GRAM : a + GRAM + half] for s, a in zip(strings, left.tolist())]
-        kept = np.flatnonzero(meets(h, before) | meets(h, after))
+        kept = np.flatnonzero(meets(g, before) | meets(g, after))
         masks = np.zeros(len(strings), np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], h[kept][1:] != h[kept][:-1], [True]])) if len(kept) else np.zeros(1, np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], g[kept][1:] != g[kept][:-1], [True]])) if len(kept) else np.zeros(1, np.int64)
         begin = 0
-        for end in edges[1:].tolist():  # whole anchors only
+        for end in edges[1:].tolist():  # whole groups only
             if end - begin >= chunk or end == len(kept):
                 part = kept[begin:end]
-                masks[part] = chunk_masks([strings[i] for i in part], left[part], owner[part], length)
+                masks[part] = chunk_masks([strings[i] for i in part], left[part], owner[part], length) & bits[part]
                 begin = end
         yield from pa.table({"h": share.column("h"), "c": share.column("c"), "owner": share.column("owner"), "mask": pa.array(masks)}).to_batches()
 
-    return contexts.select("h", "c", "owner", "left", "context").repartition(tasks, "h").mapInArrow(run, "h long, c long, owner long, mask long")
+    return contexts.select(*SHARE.names).repartition(tasks, "g").mapInArrow(run, "h long, c long, owner long, mask long")
+
 
+def halves(groups: DataFrame, length: int) -> DataFrame:
+    """groups (h, c, owner, left, context, a, b), each to decide its windows a to b, as groups of half as many windows.
 
-SHARE = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("owner", pa.int64()), ("left", pa.int32()), ("context", pa.binary())])
+    Windows a to b of an anchor have in common the anchor, length - GRAM - b bytes before it and a after it; contexts with windows
+    there in common agree in these bytes, which with a and b make the group's key g. A context alone in a group has none in common.
+    """
+    reach, size, left = length - GRAM, F.octet_length("context"), F.col("left")
+    mid = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+    part = F.explode(F.array(F.struct(F.col("a").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("b").alias("b"))))
+    cut = groups.select("h", "c", "owner", "left", "context", part.alias("p")).select("h", "c", "owner", "left", "context", "p.a", "p.b")
+    cut = cut.where(F.greatest(F.col("a"), reach - left) <= F.least(F.col("b"), size - length + reach - left))
+    common = F.substring("context", left - reach + F.col("b") + 1, GRAM + reach - F.col("b") + F.col("a"))
+    cut = cut.withColumn("g", F.xxhash64("h", "a", "b", common))
+    counts = cut.groupBy(F.col("g").alias("of")).count().where("count > 1")
+    return cut.join(counts, F.col("g") == F.col("of")).drop("of")
 
 
-def grouped_masks(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: windows are grouped by two hashes of their bytes, with partial aggregates."""
-    reach = length - GRAM
-    starts = F.sequence(reach - F.col("left"), F.least(F.lit(reach), reach - F.col("left") + F.octet_length("context") - length))
-    windows = contexts.select("h", "c", "owner", "left", "context", F.explode(F.when(F.octet_length("context") >= length, starts)).alias("j"))
-    window = F.substring("context", F.col("j") - reach + F.col("left") + 1, F.lit(length))
-    windows = windows.select("h", "c", "owner", "j", F.xxhash64(window).alias("w1"), F.xxhash64(F.lit("second"), window).alias("w2"))
-    least = staged(windows.groupBy("w1", "w2").agg(F.min("owner").alias("first")), "window-owners")
-    bit = F.element_at(F.array(*(F.lit(1 << i).cast("long") for i in range(reach + 1))), F.col("j") + 1)
-    return windows.join(least, ["w1", "w2"]).groupBy("h", "c", "owner").agg(F.bit_or(F.when(F.col("first") < F.col("owner"), bit).otherwise(F.lit(0).cast("long"))).alias("mask"))
+def bits_between(a: Column, b: Column) -> Column:
+    """A long whose bits a to b are set."""
+    power = lambda n: F.pow(F.lit(2.0), n).cast("long")  # noqa: E731  exact below 2**53
+    return power(b + 1) - power(a)
+
+
+def crowd_masks(groups: DataFrame, length: int, crowd: int, share: int) -> DataFrame:
+    """(h, c, owner, mask) of anchors with over `crowd` contexts: their groups are halved until they are small enough to merge.
+
+    A group of one window whose contexts are still over `crowd` all hold that window: its first owner is their minimum.
+    """
+    reach, small, equal = length - GRAM, [], []
+    groups = groups.select("h", "c", "owner", "left", "context", F.lit(0).alias("a"), F.lit(reach).alias("b"))
+    for _ in range(reach.bit_length()):
+        parts = staged(halves(groups, length), "anchor-parts")
+        small.append(parts.where(f"count <= {crowd}"))
+        equal.append(parts.where(f"count > {crowd} and a = b"))
+        groups = parts.where(f"count > {crowd} and a < b")
+        if not groups.limit(1).count():
+            break
+    merging, same = small[0], equal[0]
+    for more, alike in zip(small[1:], equal[1:]):
+        merging, same = merging.unionByName(more), same.unionByName(alike)
+    masks = merged_masks(merging.withColumn("bits", bits_between(F.col("a"), F.col("b"))), length, max(1, -(-merging.count() // share)))
+    window = F.substring("context", F.col("left") - reach + F.col("a") + 1, F.lit(length))
+    same = same.select("h", "c", "owner", bits_between(F.col("a"), F.col("a")).alias("bit"), F.xxhash64(window).alias("w1"), F.xxhash64(F.lit("second"), window).alias("w2"))
+    first = same.groupBy("w1", "w2").agg(F.min("owner").alias("first"))
+    alike = same.join(first, ["w1", "w2"]).where("first < owner").select("h", "c", "owner", F.col("bit").alias("mask"))
+    return masks.unionByName(alike).groupBy("h", "c", "owner").agg(F.bit_or("mask").alias("mask"))
 
 
 def repeated_windows(docs: DataFrame, length: int, crowd: int, share: int) -> DataFrame:
@@ -182,38 +222,51 @@ def repeated_windows(docs: DataFrame, length: int, crowd: int, share: int) -> Da
     """
     owners = anchor_rows(docs, length, False).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     owners = staged(owners.select(F.col("h").alias("k"), "lo"), "repeated-anchors")
-    met = staged(anchor_rows(docs, length, True).join(owners, F.col("h") == F.col("k")).select("h", "c", "doc_id", "at", "lo"), "anchor-places")
-    contexts = staged(met.groupBy("h", "c").agg(F.min(F.struct("doc_id", "at")).alias("first")), "contexts")
+    met = anchor_rows(docs, length, True).join(owners, F.col("h") == F.col("k")).select("h", "c", "doc_id", "tag", "place", "lo")
+    met = staged(met, "anchor-places", instead_of=[owners])
+    contexts = staged(met.groupBy("h", "c").agg(F.min(F.struct("doc_id", "tag", "place")).alias("first")), "contexts")
     counts = contexts.groupBy(F.col("h").alias("k")).count().where("count > 1")
-    differ = contexts.join(counts, F.col("h") == F.col("k")).select("h", "c", F.col("first.doc_id").alias("owner"), "count", "first.doc_id", "first.at")
-    differ = staged(context_bytes(docs, differ, length), "context-bytes")
-    tasks = max(1, -(-differ.count() // share))
-    masks = merged_masks(differ.where(f"count <= {crowd}"), length, tasks).unionByName(grouped_masks(differ.where(f"count > {crowd}"), length))
-    masks = staged(masks, "context-masks").withColumnsRenamed({"h": "k", "c": "kc"})
-    judged = met.join(masks, (F.col("h") == F.col("k")) & (F.col("c") == F.col("kc")), "left")
+    differ = contexts.join(counts, F.col("h") == F.col("k")).select("h", "c", F.col("first.doc_id").alias("owner"), "count", "first.tag", "first.place")
+    differ = staged(context_bytes(docs, differ, length), "context-bytes", instead_of=[contexts])
+    total, crowded = differ.agg(F.count("*"), F.count_if(F.col("count") > crowd)).first()
     every = F.lit((1 << (length - GRAM + 1)) - 1)
+    masks = merged_masks(differ.where(f"count <= {crowd}").withColumns({"g": F.col("h"), "bits": every.cast("long")}), length, max(1, -(-(total - crowded) // share)))
+    if crowded:
+        masks = masks.unionByName(crowd_masks(differ.where(f"count > {crowd}"), length, crowd, share))
+    masks = staged(masks, "context-masks", instead_of=[differ]).withColumnsRenamed({"h": "k", "c": "kc"})
+    judged = met.join(masks, (F.col("h") == F.col("k")) & (F.col("c") == F.col("kc")), "left")
     mask = F.when(F.col("doc_id") > F.coalesce("owner", "lo"), every).otherwise(F.coalesce("mask", F.lit(0)))
-    return judged.select("doc_id", F.shiftright("at", 32).alias("tag"), place_of(F.col("at")).alias("place"), mask.alias("mask")).where("mask != 0")
+    return judged.select("doc_id", "tag", "place", mask.alias("mask")).where("mask != 0")
 
 
-def dedup_passages(docs: DataFrame, length: int = 50, crowd: int = 5000, share: int = 20_000) -> DataFrame:
+def dedup_passages(docs: DataFrame, length: int = 50, crowd: int = 1000, share: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
     """(doc_id, n_bytes, kept binary, spans array of (start, end) of bytes), a row per row of docs.
 
     A byte goes if a string of `length` bytes that covers it also begins in a document with a smaller doc_id. Texts count as
     UTF-8 bytes, null as none; matches never cross documents. Rows with a null doc_id are neither searched nor cut. Rows that
     share a doc_id are one document: they don't cut each other. Other columns are not read. Anchors with more than
-    `crowd` contexts are grouped, not gathered; a task merges the transforms of about `share` contexts.
+    `crowd` contexts are split over tasks; a task merges the transforms of about `share` contexts. Rows whose whole text is that of an
+    earlier document are left out of the search by a broadcast of their ids, up to `broadcast_rows` of them, else by a shuffle.
     """
     reach = length - GRAM
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     repeats_ids = bool(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
-    rows = rows.withColumn("tag", F.hash("text").cast("long") if repeats_ids else F.lit(0).cast("long")).select("doc_id", "tag", "text")
-    marks = repeated_windows(rows.where("doc_id is not null"), length, crowd, share)
+    rows = rows.withColumn("tag", F.xxhash64("text") if repeats_ids else F.lit(0).cast("long")).select("doc_id", "tag", "text")
+    known = rows.where("doc_id is not null")
+    copies = staged(text_copies(known, length), "text-copies")
+    if copies.count() <= broadcast_rows:
+        searched = known.join(F.broadcast(copies), ["doc_id", "tag"], "left_anti")
+    else:
+        searched = staged(known.join(copies, ["doc_id", "tag"], "left_anti"), "distinct-texts")
+    marks = repeated_windows(searched, length, crowd, share)
     per_row = marks.groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_set(F.struct("place", "mask")).alias("marks"))
-    both = rows.join(per_row, (F.col("doc_id") == F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("doc_id", "text", "marks")
+    per_row = per_row.withColumn("whole", F.lit(False)).unionByName(copies.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), F.lit(True).alias("whole")), allowMissingColumns=True)
+    both = rows.join(per_row, (F.col("doc_id") == F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("doc_id", "text", "marks", "whole")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    def cut(raw: bytes, marked) -> tuple[bytes, list[dict]]:
+    def cut(raw: bytes, marked, whole) -> tuple[bytes, list[dict]]:
+        if whole.as_py():
+            return b"", [{"start": 0, "end": len(raw)}]
         if not marked.is_valid:
             return raw, []
         place, mask = (marked.values.field(x).to_numpy() for x in ("place", "mask"))
@@ -228,7 +281,7 @@ def dedup_passages(docs: DataFrame, length: int = 50, crowd: int = 5000, share:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = [encoded(t) for t in batch.column(1)]
-            done = [cut(raw, marked) for raw, marked in zip(raws, batch.column(2))]
+            done = [cut(raw, marked, whole) for raw, marked, whole in zip(raws, batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raws), pa.int64()), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.list_(span))], names=["doc_id", "n_bytes", "kept", "spans"])
 
     return both.mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")

@@ -224,6 +224,15 @@ def test_passages_match_brute_force(spark, crowd, share):
     assert got == brute_passages(data)
 
 
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_whole_copies_go_by_broadcast_or_shuffle(spark, broadcast_rows):
+    draw = random.Random(4)
+    text = "".join(draw.choice("abcdef") for _ in range(80))
+    data = [(3, text), (7, text), (8, "z" + text), (9, "short"), (10, "short"), (11, None), (12, text)]
+    got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.dedup_passages(spark.createDataFrame(data, DOCS), broadcast_rows=broadcast_rows).collect()}
+    assert got == brute_passages(data)
+
+
 def test_passages_of_rows_that_share_an_id(spark):
     text = "".join(random.Random(1).choice("abcdef") for _ in range(90))
     data = [(1, text), (2, "x" + text), (2, text + "y"), (None, text)]
