@@ -2,8 +2,8 @@
 
 Of equal texts only the first is searched: the others go whole. Every window of `length` bytes chooses an anchor, its 20-byte
 gram of least hash, so equal windows have equal anchors and meet under the anchor's hash. The context of an anchor holds all
-windows that may have chosen it. Anchors that lie in one document only are dropped. Where an anchor always has the same context,
-the windows in it repeat in all its documents. The contexts that differ are dealt out by anchor; each task cuts its share into
+windows that may have chosen it. Anchors are found once and dealt out by hash, as packed bytes of some thousands a row; those that
+lie in one document only are dropped. A context that an earlier document holds repeats whole. The contexts that differ are dealt out by anchor; each task cuts its share into
 shards, builds their transforms and merges these by interleave refinement, which gives the runs of suffixes with `length` bytes
 in common, and so the first document of each window. An anchor with very many contexts is dealt out to many tasks: by the
 bytes beside it that half of its windows have in common, and these again by more bytes, until the parts are small.
@@ -27,11 +27,16 @@ _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash of its gram) of each anchor that a window of raw chooses."""
+def anchors(raw: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in it, hash of its gram, hash of its context) of each anchor that a window chooses.
+
+    raw holds texts of these sizes end to end; windows don't cross them. An anchor's context is the bytes that windows which hold
+    it can have, and where it lies in them.
+    """
     n, reach = len(raw), length - GRAM
+    none = np.empty(0, np.int64)
     if n < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return none, none, none, none
     eight = np.array(np.ndarray(n - 7, "<u8", raw, 0, (1,)))  # the eight bytes at each place
     grams = n - GRAM + 1
     hashed = eight[:grams] * _A
@@ -52,42 +57,134 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     if n > _LOW:
         start = np.arange(len(place))
         place = start + (place - start) % (1 << 24)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    crossing = np.zeros(len(place), bool)
+    for b in begin[1:-1].tolist():
+        crossing[max(0, b - length + 1) : b] = True
+    place = place[~crossing]
+    if not len(place):
+        return none, none, none, none
     place = place[np.concatenate([[True], place[1:] != place[:-1]])]
-    return place, hashed[place].view(np.int64)
-
-
-def context_hashes(raw: bytes, place: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each anchor's context: the bytes that windows which hold the anchor can have, and where the anchor lies in them."""
-    reach, digest = length - GRAM, xxhash.xxh64_intdigest
-    return np.array([digest(raw[p - reach : p + length]) if p >= reach else digest(raw[: p + length], reach - p) for p in place.tolist()], np.uint64).view(np.int64)
+    text = np.searchsorted(begin, place, "right") - 1
+    first, last = begin[text], begin[text + 1]
+    inner = (place - first >= reach) & (last - place >= length)
+    context = np.zeros(len(place), np.uint64)
+    at = place[inner] - reach
+    mixed = eight[at] * _A
+    for k in [*range(8, reach + length - 8, 8), reach + length - 8]:
+        mixed ^= mixed >> np.uint64(32)
+        mixed += eight[at + k]
+        mixed *= _B
+    context[inner] = mixed ^ (mixed >> np.uint64(29))
+    edge = np.flatnonzero(~inner)
+    context[edge] = [
+        xxhash.xxh64_intdigest(raw[max(f, p - reach) : min(e, p + length)], max(0, reach - (p - f))) for p, f, e in zip(place[edge].tolist(), first[edge].tolist(), last[edge].tolist())
+    ]
+    return text, place - first, hashed[place].view(np.int64), context.view(np.int64)
 
 
 def encoded(text) -> bytes:
     return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def anchor_rows(docs: DataFrame, length: int, places: bool) -> DataFrame:
-    """docs (doc_id, tag, text) to (h, doc_id) or, with places, (h, c, doc_id, tag, place)."""
-    names = ["h", "c", "doc_id", "tag", "place"] if places else ["h", "doc_id"]
+BLOCK, HELD = 1 << 18, 200_000  # bytes searched at once, anchors sorted at once
+ALONE, KNOWN, WHOLE, MET = range(4)
+PACKED = {"h": np.int64, "c": np.int64, "doc_id": np.int64, "tag": np.int64, "place": np.int32, "kind": np.int8}
+
+
+def packed(found: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Anchors (h, c, doc_id, tag, place) of some documents as a row per bucket, its values as bytes.
+
+    Of kind WHOLE: the context lies in an earlier one of these documents. KNOWN: the gram lies in several of them; these two are
+    spread evenly, so a gram that many documents hold fills no bucket. MET tells the gram's bucket of the KNOWN ones, once. ALONE: to be met
+    there by those of other documents.
+    """
+    h, c, doc, tag, place = found
+    order = np.argsort(c)
+    opens = np.flatnonzero(np.concatenate([[True], (c[order][1:] != c[order][:-1]) | (h[order][1:] != h[order][:-1])]))
+    earliest = np.empty(len(h), np.int64)
+    earliest[order] = np.repeat(np.minimum.reduceat(doc[order], opens), np.diff(np.append(opens, len(h))))
+    order = np.argsort(h)
+    opens = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    low, high = (f.reduceat(doc[order], opens) for f in (np.minimum, np.maximum))
+    kind = np.empty(len(h), np.int8)
+    kind[order] = np.repeat(np.where(low < high, KNOWN, ALONE), np.diff(np.append(opens, len(h))))
+    kind[doc > earliest] = WHOLE
+    met = h[order][opens][low < high]
+    blank = np.zeros(len(met), np.int64)
+    bucket = np.where(kind == ALONE, (h >> 20) % buckets, np.arange(len(h)) % buckets)
+    bucket = np.concatenate([bucket, (met >> 20) % buckets])
+    values = [np.where(kind == WHOLE, 0, h), np.where(kind == WHOLE, 0, c), doc, tag, place, kind]
+    values = [np.concatenate([v, m]) for v, m in zip(values, (met, blank, low[low < high], blank, blank, np.full(len(met), MET)))]
+    order = np.argsort(bucket, kind="stable")
+    some, opens = np.unique(bucket[order], return_index=True)
+    ends = np.append(opens, len(order))
+    columns = [pa.array(some, pa.int64())]
+    for v, kept in zip(values, PACKED.values()):
+        offsets = (ends * np.dtype(kept).itemsize).astype(np.int32)
+        columns.append(pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(v[order], kept))]))
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", *PACKED])
+
+
+def repeated_anchors(docs: DataFrame, length: int, tasks: int) -> DataFrame:
+    """docs (doc_id, tag, text) to (h, c, doc_id, tag, place, whole) of the anchors whose gram lies in several documents.
+
+    whole says that an earlier document holds the anchor's context; h and c are 0 then.
+    """
+    buckets = 8 * tasks
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        block: list[tuple[int, int, bytes]] = []
+        count = size = 0
+
+        def searched() -> int:
+            ids, tags = (np.array([b[i] for b in block], np.int64) for i in (0, 1))
+            text, place, h, c = anchors(b"".join(b[2] for b in block), np.array([len(b[2]) for b in block]), length)
+            held.append((h, c, ids[text], tags[text], place))
+            block.clear()
+            return len(h)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in names]
-            total = 0
             for doc_id, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = encoded(text)
-                place, h = anchors(raw, length)
-                own = np.full(len(h), doc_id)
-                for part, new in zip(parts, (h, context_hashes(raw, place, length), own, np.full(len(h), tag), place) if places else (h, own)):
-                    part.append(new)
-                total += len(h)
-                if total > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int64()) for p in parts], names=names)
-                    parts, total = [[] for _ in names], 0
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int64()) for p in parts], names=names)
-
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+                if len(raw) < length:
+                    continue
+                if block and size + len(raw) > BLOCK:
+                    count, size = count + searched(), 0
+                block.append((doc_id, tag, raw))
+                size += len(raw)
+                if count >= HELD:
+                    yield packed([np.concatenate(x) for x in zip(*held)], buckets)
+                    held, count = [], 0
+        if block:
+            searched()
+        if held:
+            yield packed([np.concatenate(x) for x in zip(*held)], buckets)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[str, list[bytes]] = {x: [] for x in PACKED}
+        for batch in batches:
+            for name, part in parts.items():
+                part.extend(batch.column(batch.schema.get_field_index(name)).to_pylist())
+        v = {name: np.frombuffer(b"".join(parts.pop(name)), kept) for name, kept in PACKED.items()}
+        kept = (v["kind"] == KNOWN) | (v["kind"] == WHOLE)
+        asked = np.flatnonzero(~kept)
+        if len(asked):
+            asked = asked[np.argsort(v["h"][asked])]
+            h, doc, met = v["h"][asked], v["doc_id"][asked], v["kind"][asked] == MET
+            opens = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            several = (np.minimum.reduceat(doc, opens) < np.maximum.reduceat(doc, opens)) | np.logical_or.reduceat(met, opens)
+            kept[asked] = np.repeat(several, np.diff(np.append(opens, len(asked)))) & ~met
+        kept = np.flatnonzero(kept)
+        for at in range(0, len(kept), 100_000):
+            rows = kept[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(v[x][rows], pa.int64()) for x in ("h", "c", "doc_id", "tag", "place")), pa.array(v["kind"][rows] == WHOLE)], names=["h", "c", "doc_id", "tag", "place", "whole"]
+            )
+
+    found = docs.select("doc_id", "tag", "text").mapInArrow(search, "bucket long, " + ", ".join(f"{x} binary" for x in PACKED))
+    return found.repartition(tasks, "bucket").mapInArrow(meet, "h long, c long, doc_id long, tag long, place long, whole boolean")
 
 
 def text_copies(docs: DataFrame, length: int) -> DataFrame:
@@ -215,42 +312,44 @@ def crowd_masks(groups: DataFrame, length: int, crowd: int, share: int) -> DataF
     return masks.unionByName(alike).groupBy("h", "c", "owner").agg(F.bit_or("mask").alias("mask"))
 
 
-def repeated_windows(docs: DataFrame, length: int, crowd: int, share: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int, crowd: int, share: int, tasks: int) -> DataFrame:
     """(doc_id, tag, place, mask): bit j of mask says that the window that begins j - (length - GRAM) from place is in an earlier document.
 
     The first document with a context (its owner) needs its windows compared; in later ones all windows of the context repeat.
     """
-    owners = anchor_rows(docs, length, False).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    owners = staged(owners.select(F.col("h").alias("k"), "lo"), "repeated-anchors")
-    met = anchor_rows(docs, length, True).join(owners, F.col("h") == F.col("k")).select("h", "c", "doc_id", "tag", "place", "lo")
-    met = staged(met, "anchor-places", instead_of=[owners])
+    places = staged(repeated_anchors(docs, length, tasks), "anchor-places")
+    met = places.where("not whole").drop("whole")
     contexts = staged(met.groupBy("h", "c").agg(F.min(F.struct("doc_id", "tag", "place")).alias("first")), "contexts")
     counts = contexts.groupBy(F.col("h").alias("k")).count().where("count > 1")
     differ = contexts.join(counts, F.col("h") == F.col("k")).select("h", "c", F.col("first.doc_id").alias("owner"), "count", "first.tag", "first.place")
-    differ = staged(context_bytes(docs, differ, length), "context-bytes", instead_of=[contexts])
+    differ = staged(context_bytes(docs, differ, length), "context-bytes")
     total, crowded = differ.agg(F.count("*"), F.count_if(F.col("count") > crowd)).first()
-    every = F.lit((1 << (length - GRAM + 1)) - 1)
-    masks = merged_masks(differ.where(f"count <= {crowd}").withColumns({"g": F.col("h"), "bits": every.cast("long")}), length, max(1, -(-(total - crowded) // share)))
+    every = F.lit((1 << (length - GRAM + 1)) - 1).cast("long")
+    masks = merged_masks(differ.where(f"count <= {crowd}").withColumns({"g": F.col("h"), "bits": every}), length, max(1, -(-(total - crowded) // share)))
     if crowded:
         masks = masks.unionByName(crowd_masks(differ.where(f"count > {crowd}"), length, crowd, share))
-    masks = staged(masks, "context-masks", instead_of=[differ]).withColumnsRenamed({"h": "k", "c": "kc"})
-    judged = met.join(masks, (F.col("h") == F.col("k")) & (F.col("c") == F.col("kc")), "left")
-    mask = F.when(F.col("doc_id") > F.coalesce("owner", "lo"), every).otherwise(F.coalesce("mask", F.lit(0)))
-    return judged.select("doc_id", "tag", "place", mask.alias("mask")).where("mask != 0")
+    masks = staged(masks.where("mask != 0").select("h", "c", "mask"), "context-masks", instead_of=[differ])
+    owners = contexts.select("h", "c", F.col("first.doc_id").alias("owner"))
+    judged = met.join(owners, ["h", "c"]).join(masks, ["h", "c"], "left")
+    mask = F.when(F.col("doc_id") > F.col("owner"), every).otherwise(F.coalesce("mask", F.lit(0).cast("long")))
+    marks = judged.select("doc_id", "tag", "place", mask.alias("mask")).where("mask != 0")
+    return marks.unionByName(places.where("whole").select("doc_id", "tag", "place", every.alias("mask")))
 
 
-def dedup_passages(docs: DataFrame, length: int = 50, crowd: int = 1000, share: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
+def dedup_passages(docs: DataFrame, length: int = 50, crowd: int = 1000, share: int = 20_000, broadcast_rows: int = 200_000, search_bytes: int = 1 << 23) -> DataFrame:
     """(doc_id, n_bytes, kept binary, spans array of (start, end) of bytes), a row per row of docs.
 
     A byte goes if a string of `length` bytes that covers it also begins in a document with a smaller doc_id. Texts count as
     UTF-8 bytes, null as none; matches never cross documents. Rows with a null doc_id are neither searched nor cut. Rows that
     share a doc_id are one document: they don't cut each other. Other columns are not read. Anchors with more than
-    `crowd` contexts are split over tasks; a task merges the transforms of about `share` contexts. Rows whose whole text is that of an
+    `crowd` contexts are split over tasks; a task merges the transforms of about `share` contexts. Anchors of `search_bytes` of text
+    on average meet in a task. Rows whose whole text is that of an
     earlier document are left out of the search by a broadcast of their ids, up to `broadcast_rows` of them, else by a shuffle.
     """
     reach = length - GRAM
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    repeats_ids = bool(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    per_id = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    repeats_ids, size = per_id.agg(F.coalesce(F.max("n") > 1, F.lit(False)), F.coalesce(F.sum("size"), F.lit(0))).first()
     rows = rows.withColumn("tag", F.xxhash64("text") if repeats_ids else F.lit(0).cast("long")).select("doc_id", "tag", "text")
     known = rows.where("doc_id is not null")
     copies = staged(text_copies(known, length), "text-copies")
@@ -258,7 +357,7 @@ def dedup_passages(docs: DataFrame, length: int = 50, crowd: int = 1000, share:
         searched = known.join(F.broadcast(copies), ["doc_id", "tag"], "left_anti")
     else:
         searched = staged(known.join(copies, ["doc_id", "tag"], "left_anti"), "distinct-texts")
-    marks = repeated_windows(searched, length, crowd, share)
+    marks = repeated_windows(searched, length, crowd, share, max(1, -(-size // search_bytes)))
     per_row = marks.groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_set(F.struct("place", "mask")).alias("marks"))
     per_row = per_row.withColumn("whole", F.lit(False)).unionByName(copies.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), F.lit(True).alias("whole")), allowMissingColumns=True)
     both = rows.join(per_row, (F.col("doc_id") == F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("doc_id", "text", "marks", "whole")
