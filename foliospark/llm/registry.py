@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat_format, decontaminate, iso_media, language_id, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup
+from foliospark.llm import chat_format, decontaminate, hard_negatives, iso_media, language_id, lexical_search, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_media": iso_media.op9_media,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     }
 
 
@@ -30,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": decontaminate.OP3_SQL,
         "op4_chat_format": chat_format.OP4_SQL,
         "op6_secret_scan": secret_scan.OP6_SQL,
+        "op11_lexical_search": lexical_search.OP11_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
     }
