@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat_format, decontaminate, hard_negatives, iso_media, language_id, lexical_search, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup
+from foliospark.llm import chat_format, decontaminate, embedding_dedup, hard_negatives, iso_media, language_id, lexical_search, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
         "op11_lexical_search": lexical_search.op11_lexical_search,
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
     }
 
 
