@@ -51,7 +51,8 @@ class Pairs:
         self.most, self.held, self.size = most, [], 0
 
     def put(self, u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> None:
-        self.held.append((u, v, sim))
+        other = u != v  # a run may span two orders and hold a node twice
+        self.held.append((u[other], v[other], sim[other]))
         self.size += len(u)
 
     def batch(self) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame(TALKS, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(i, None if i == 100 else [0.1 * i, 1.0 - i % 5, None if i == 7 else 1.0], i % 3 if i != 8 else None) for i in range(210)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -36,7 +37,7 @@ def test_odd_rows_match_sql(name, spark, odd):
     from tests.conftest import rows
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{odd}/{t}.parquet/*.parquet'")
     assert rows(registry.queries()[name](spark, odd).toPandas()) == rows(con.sql(registry.oracle_sql()[name]).df())
 
@@ -46,5 +47,6 @@ def test_empty_tables(name, spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert len(registry.queries()[name](spark, str(tmp_path)).collect()) == (1 if name == "op4_chat_format" else 0)
