@@ -16,9 +16,11 @@ SYMBOL = " !∀#∃%&∋()∗+,−./0123456789:;<=>?≅ΑΒΧΔΕΦΓΗΙϑΚΛ
 SYMBOL_HIGH = "ϒ′≤⁄∞ƒ♣♦♥♠↔←↑→↓°±″≥×∝∂•÷≠≡≈…⏐⎯↵ℵℑℜ℘⊗⊕∅∩∪⊃⊇⊄⊂⊆∈∉∠∇®©™∏√⋅¬∧∨⇔⇐⇑⇒⇓◊〈®©™∑⎛⎜⎝⎡⎢⎣⎧⎨⎩⎪ 〉∫⌠⎮⌡⎞⎟⎠⎤⎥⎦⎫⎬⎭"
 #: Dingbats whose characters are outside their block's order.
 DINGBATS = {0x25: "☎", 0x2A: "☛", 0x2B: "☞", 0x48: "★", 0x6C: "●", 0x6E: "■", 0x73: "▲", 0x74: "▼", 0x75: "◆", 0x77: "◗", 0xA8: "♣", 0xA9: "♦", 0xAA: "♥", 0xAB: "♠", 0xD5: "→", 0xD6: "↔", 0xD7: "↕"}
+#: Codes of the Macintosh encoding that its newer version changed.
+MAC = {0xCA: " ", 0xDB: "¤"}
 #: Names of glyphs that no rule below gives.
 GLYPHS = """
-space   exclam ! quotedbl " numbersign # dollar $ percent % ampersand & quotesingle ' parenleft ( parenright ) asterisk * plus + comma , hyphen - period . slash /
+exclam ! quotedbl " numbersign # dollar $ percent % ampersand & quotesingle ' parenleft ( parenright ) asterisk * plus + comma , hyphen - period . slash /
 zero 0 one 1 two 2 three 3 four 4 five 5 six 6 seven 7 eight 8 nine 9 colon : semicolon ; less < equal = greater > question ? at @ bracketleft [ backslash \\ bracketright ]
 asciicircum ^ underscore _ grave ` braceleft { bar | braceright } asciitilde ~ exclamdown ¡ cent ¢ sterling £ currency ¤ yen ¥ brokenbar ¦ section § dieresis ¨ copyright ©
 ordfeminine ª guillemotleft « logicalnot ¬ registered ® macron ¯ degree ° plusminus ± twosuperior ² threesuperior ³ acute ´ mu µ paragraph ¶ periodcentered · cedilla ¸ onesuperior ¹
@@ -29,7 +31,7 @@ partialdiff ∂ summation ∑ product ∏ radical √ infinity ∞ integral ∫
 therefore ∴ perpendicular ⊥ similar ∼ minute ′ second ″ club ♣ diamond ♦ heart ♥ spade ♠ arrowboth ↔ arrowleft ← arrowup ↑ arrowright → arrowdown ↓ proportional ∝ equivalence ≡
 carriagereturn ↵ aleph ℵ Ifraktur ℑ Rfraktur ℜ weierstrass ℘ circlemultiply ⊗ circleplus ⊕ emptyset ∅ intersection ∩ union ∪ propersuperset ⊃ reflexsuperset ⊇ notsubset ⊄ propersubset ⊂
 reflexsubset ⊆ element ∈ notelement ∉ angle ∠ gradient ∇ dotmath ⋅ logicaland ∧ logicalor ∨ arrowdblboth ⇔ arrowdblleft ⇐ arrowdblup ⇑ arrowdblright ⇒ arrowdbldown ⇓ angleleft 〈 angleright 〉
-theta1 ϑ sigma1 ς phi1 ϕ omega1 ϖ Upsilon1 ϒ
+Delta ∆ theta1 ϑ sigma1 ς phi1 ϕ omega1 ϖ Upsilon1 ϒ
 """
 #: Accents of composed letters' names.
 ACCENTS = {"grave": "̀", "acute": "́", "circumflex": "̂", "tilde": "̃", "dieresis": "̈", "ring": "̊", "caron": "̌", "cedilla": "̧"}
@@ -37,7 +39,7 @@ CODES = "".join(map(chr, range(256)))
 
 
 def glyph_names() -> dict[str, str]:
-    words = GLYPHS.replace("space   ", "space SPACE ", 1).split()
+    words = GLYPHS.split()
     out = dict(zip(words[::2], words[1::2])) | {"space": " "}
     for letter in map(chr, [*range(65, 91), *range(97, 123)]):
         out[letter] = letter
@@ -60,7 +62,7 @@ def tables() -> dict[str, str]:
     ascii_quotes = windows.replace("'", "’").replace("`", "‘")
     symbol = fill(fill(windows, 0x20, SYMBOL), 0xA1, SYMBOL_HIGH)
     ding = "".join(DINGBATS.get(i) or (chr(0x26E0 + i) if 0x21 <= i <= 0x7E else chr(0x2460 + i - 0xAC) if 0xAC <= i <= 0xB5 else chr(0x26C0 + i) if 0xA1 <= i <= 0xFE and i != 0xF0 else windows[i]) for i in range(256))
-    mac = "".join(bytes([i]).decode("mac_roman") if i >= 128 else chr(i) for i in range(256))
+    mac = "".join(MAC.get(i) or (bytes([i]).decode("mac_roman") if i >= 128 else chr(i)) for i in range(256))
     return {"WinAnsiEncoding": windows, "StandardEncoding": fill(ascii_quotes, 0xA1, STANDARD), "MacRomanEncoding": mac, "Symbol": symbol, "ZapfDingbats": ding}
 
 

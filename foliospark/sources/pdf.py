@@ -5,9 +5,10 @@ byte, so that scanning for objects, dictionaries and tokens are Spark expression
 run in Python (Arrow UDFs). Every relation is keyed by doc_id, so all joins and windows are within a file and spread over
 files. Damaged input gives fewer rows and a row in warnings, not errors.
 
-An object's definitions are ranked by their place in the file, those in object streams by the place of their stream; an entry
-of a later cross-reference section that frees an object removes it. Where startxref leads nowhere the file is read as a
-rebuilt one: objects of streams override none, and nothing is free.
+A file is read by the chain of its cross-reference sections: what no entry names is not there. Where the chain does not lead to the
+catalog, or an object lies elsewhere than its entry says, definitions are ranked by their place in the file, those in object
+streams by the place of their stream, and an entry of a later section that frees an object removes it. Where startxref leads
+nowhere the file is read as a rebuilt one: objects of streams override none, and nothing is free.
 """
 
 from __future__ import annotations
@@ -75,6 +76,27 @@ def _parms(e: Column) -> tuple[Column, Column]:
     return names, F.when(parms.isNotNull(), F.transform(listed(parms), one))
 
 
+def _items(files: DataFrame) -> DataFrame:
+    """(doc_id, sound, header, ord, at, o): what a file is made of, and at which character; a stream whose length leads beyond an endstream of its data is read to its end, and what lies in it is no item."""
+    text = F.decode("content", LATIN)
+    cut = files.select("doc_id", is_sound(text).alias("sound"), F.coalesce(header_offset(text), F.lit(0)).cast("long").alias("header"), F.posexplode(every(text, rf"(?s).*?(?:{ITEM})")).alias("ord", "piece"))
+    cut = cut.withColumn("o", F.regexp_extract("piece", ITEM, 0))
+    till = F.sum(F.length("piece").cast("long")).over(Window.partitionBy("doc_id").orderBy("ord"))
+    each = staged(cut.withColumn("at", till - F.length("o")).drop("piece"), "pdf-items")
+    head = F.regexp_extract("o", r"(?s)^(\d+\s+\d+\s+obj\b.*?>>\s*+stream\r?\n)", 1)
+    length = F.regexp_extract(head, rf"/Length{sx.SPACE}++(\d++)(?!{sx.SPACE}++\d++{sx.SPACE}++R)", 1).try_cast("long")
+    longer = each.select("doc_id", "at", F.length("o").alias("n"), F.length(head).alias("skip"), length.alias("length")).where("length + skip > n and skip > 0")
+    whole = longer.join(files.select("doc_id", text.alias("text")), "doc_id").withColumn("end", F.col("at") + F.col("skip") + F.col("length"))
+    whole = whole.where(F.regexp_like(F.substring("text", (F.col("end") + 1).cast("int"), F.lit(14)), F.lit(r"^\s*endstream")))
+    body = F.concat(F.substring("text", (F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int")), F.lit("\nendstream\nendobj"))
+    whole = staged(whole.select("doc_id", "at", "end", body.alias("whole")), "pdf-long-streams")
+    if whole.isEmpty():
+        return each
+    inside = F.max("end").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.join(whole, ["doc_id", "at"], "left").withColumn("inside", inside).where("inside is null or at >= inside")
+    return staged(each.select("doc_id", "sound", "header", "ord", "at", F.coalesce("whole", "o").alias("o")), "pdf-items", [each, whole])
+
+
 def objects(files: DataFrame, password: str | None = None, decrypting: bool = False) -> DataFrame:
     """(doc_id, num, gen, dict, stream, entries): the definition of each object that counts; stream is decoded, entries are those of a dictionary.
 
@@ -83,71 +105,147 @@ def objects(files: DataFrame, password: str | None = None, decrypting: bool = Fa
     strings and streams stay as they are. Items of the files and the definitions that count are written out on the way, since
     trailers, tables, streams and keys each read them; of streams, only tables and packed objects are decoded twice.
     """
-    text = F.decode("content", LATIN)
-    each = staged(files.select("doc_id", is_sound(text).alias("sound"), F.posexplode(every(text, ITEM)).alias("ord", "o")), "pdf-items")
+    each = _items(files)
     head = r"^(\d+)\s+(\d+)\s+obj"
     found = each.where(F.regexp_like("o", F.lit(r"^\d"))).select(
-        "doc_id", "sound", "ord", F.regexp_extract("o", head, 1).cast("long").alias("num"), F.regexp_extract("o", head, 2).cast("long").alias("gen"), F.regexp_replace("o", r"^\d+\s+\d+\s+obj\s*|\s*endobj$", "").alias("body"),
+        "doc_id", "sound", "header", "ord", "at", F.regexp_extract("o", head, 1).cast("long").alias("num"), F.regexp_extract("o", head, 2).cast("long").alias("gen"), F.regexp_replace("o", r"^\d+\s+\d+\s+obj\s*|\s*endobj$", "").alias("body"),
     )
-    last = newest_wins(found, ["doc_id", "num"], "ord")
     has_stream = F.regexp_like("body", F.lit(r">>\s*+stream\r?\n"))
     d = F.when(has_stream, F.regexp_extract("body", r"(?s)^(.*?>>)\s*+stream\r?\n", 1)).otherwise(F.col("body"))
-    last = last.select("doc_id", "num", "gen", "ord", "sound", d.alias("dict"), F.when(has_stream, F.col("body")).alias("body"))
+    found = found.withColumn("dict", d).withColumn("body", F.when(has_stream, F.col("body")))
+    tables = found.where(F.regexp_like("dict", F.lit(r"/Type\s*/XRef\b")) & F.col("body").isNotNull()).withColumn("entries", entries(F.col("dict")))
+    names, parms = _parms(E)
+    tables = tables.withColumn("stream", decode_stream(_stream_data(F.col("body"), as_int(get(E, "Length"))), names, parms))
+    tables = staged(tables.where(as_name(get(E, "Type")) == "XRef").select("doc_id", "sound", "header", "ord", "at", "num", "entries", "stream"), "pdf-xref-streams")
+    tables = sections(each, tables)
+    named = staged(chained(files, tables, found.select("doc_id", "num", "gen", "at")), "pdf-named")
+    ruled = named.select("doc_id").distinct().withColumn("chained", F.lit(True))
+    chosen = found.join(ruled, "doc_id", "left").join(named.where("kind = 1").select("doc_id", "num", F.col("value").alias("place")), ["doc_id", "num"], "left")
+    last = newest_wins(chosen.where("chained is null or at = place").drop("place", "at", "header"), ["doc_id", "num"], "ord")
     last = staged(last.withColumn("entries", entries(F.col("dict"))), "pdf-definitions")
     coded = resolved(last.where("body is not null"), last.withColumn("stream", F.when(F.col("body").isNotNull(), F.lit(b""))), "Length", "Filter", "DecodeParms")
-    coded = coded.select("doc_id", "num", "gen", "ord", "sound", "dict", "entries", _stream_data(F.col("body"), as_int(get(E, "Length"))).alias("raw"))
-    trailers_ = staged(_trailers(each, coded), "pdf-trailers")
+    coded = coded.select("doc_id", "num", "gen", "ord", "sound", "chained", "dict", "entries", _stream_data(F.col("body"), as_int(get(E, "Length"))).alias("raw"))
+    trailers_ = staged(_trailers(tables, named), "pdf-trailers")
     if decrypting:
         plain, coded = (_opened(files, part, last, trailers_, password) for part in (last.where("body is null").withColumn("raw", F.lit(None).cast("binary")), coded))
     else:
         plain = last.where("body is null")
-    names, parms = _parms(E)
-    coded = coded.select("doc_id", "num", "gen", "ord", "sound", "dict", "entries", decode_stream(F.col("raw"), names, parms).alias("stream"))
-    plain = plain.select("doc_id", "num", "gen", "ord", "sound", "dict", "entries", F.lit(None).cast("binary").alias("stream"))
+    own = ["doc_id", "num", "gen", "ord", "sound", "chained", "dict", "entries"]
+    coded = coded.select(*own, decode_stream(F.col("raw"), names, parms).alias("stream"))
+    plain = plain.select(*own, F.lit(None).cast("binary").alias("stream"))
     scanned = plain.unionByName(coded)
     inner = _packed(coded).withColumn("entries", entries(F.col("dict")))
+    inner = inner.join(named.where("kind = 2").select("doc_id", "num", F.col("value").alias("in")), ["doc_id", "num"], "left").where("chained is null or in = of").drop("in", "of")
     first = F.when(~F.col("sound") & (F.col("place") < 0), 1).otherwise(0)
     both = scanned.withColumn("place", F.lit(-1)).unionByName(inner).withColumn("rank", F.struct(first.alias("plain"), "ord", "place"))
-    frees = staged(_freed(each, coded), "pdf-freed", [each])
+    frees = staged(tables.where("sound and kind = 0 and num > 0").groupBy("doc_id", "num").agg(F.max("ord").alias("freed")), "pdf-freed", [each])
     best = newest_wins(both, ["doc_id", "num"], "rank").join(frees, ["doc_id", "num"], "left")
-    best = best.where(~F.col("sound") | F.col("freed").isNull() | (F.col("freed") < F.col("ord")))
+    best = best.where(~F.col("sound") | F.col("chained").isNotNull() | F.col("freed").isNull() | (F.col("freed") < F.col("ord")))
     return best.select("doc_id", "num", "gen", "dict", "stream", "entries").unionByName(trailers_)
 
 
 def _packed(coded: DataFrame) -> DataFrame:
-    """Objects of object streams, at the place of their stream."""
-    packed = coded.where(as_name(get(E, "Type")) == "ObjStm").select("doc_id", "ord", "sound", as_int(get(E, "First")).cast("int").alias("first"), F.decode("stream", LATIN).alias("t"))
+    """Objects of object streams, at the place of their stream (number of)."""
+    kept = ["doc_id", "ord", "sound", "chained", F.col("num").alias("of")]
+    packed = coded.where(as_name(get(E, "Type")) == "ObjStm").select(*kept, as_int(get(E, "First")).cast("int").alias("first"), F.decode("stream", LATIN).alias("t"))
     heads = F.transform(every(F.substring("t", F.lit(1), F.col("first")), r"\d+"), lambda n: n.cast("long"))
     packed = packed.withColumn("heads", heads).where("size(heads) >= 2")
-    packed = packed.select("doc_id", "ord", "sound", "first", "t", "heads", F.explode(F.sequence(F.lit(0), F.floor(F.size("heads") / 2).cast("int") - 1)).alias("place"))
+    packed = packed.withColumn("place", F.explode(F.sequence(F.lit(0), F.floor(F.size("heads") / 2).cast("int") - 1)))
     begin, end = F.get("heads", 2 * F.col("place") + 1), F.coalesce(F.get("heads", 2 * F.col("place") + 3), F.length("t") - F.col("first"))
     cut = F.substring("t", (F.col("first") + begin + 1).cast("int"), (end - begin).cast("int"))
-    return packed.select("doc_id", F.get("heads", 2 * F.col("place")).alias("num"), F.lit(0).cast("long").alias("gen"), "ord", "sound", cut.alias("dict"), F.lit(None).cast("binary").alias("stream"), "place")
+    return packed.select("doc_id", F.get("heads", 2 * F.col("place")).alias("num"), F.lit(0).cast("long").alias("gen"), "ord", "sound", "chained", "of", cut.alias("dict"), F.lit(None).cast("binary").alias("stream"), "place")
 
 
-def _trailers(each: DataFrame, coded: DataFrame) -> DataFrame:
-    """A row per file for objects(): the entries of its trailers in order of place, so that the newest count."""
-    tables = each.where(F.startswith("o", F.lit("trailer"))).select("doc_id", "ord", entries(F.regexp_replace("o", r"^trailer", "")).alias("e"))
-    streams = coded.where(as_name(get(E, "Type")) == "XRef").select("doc_id", "ord", F.col(E).alias("e"))
-    merged = tables.unionByName(streams).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "e"))), lambda x: x["e"])).alias("entries"))
-    text = F.concat(F.lit("<<"), F.array_join(F.transform("entries", lambda x: F.concat(F.lit(" /"), x["k"], F.lit(" "), x["v"])), ""), F.lit(" >>"))
-    return merged.select("doc_id", F.lit(TRAILER).cast("long").alias("num"), F.lit(0).cast("long").alias("gen"), text.alias("dict"), F.lit(None).cast("binary").alias("stream"), "entries")
-
+def sections(each: DataFrame, streams: DataFrame) -> DataFrame:
+    """(doc_id, sound, header, ord, at, coded, entries, num, kind, value): a row per entry of each cross-reference section, and one with null num for the section itself.
 
-def _freed(each: DataFrame, coded: DataFrame) -> DataFrame:
-    """(doc_id, num, freed): the last place whose table or cross-reference stream says that the object is free."""
+    kind 0 is a free object, 1 one at the character `value` counted from the header, 2 one packed in the object stream `value`. A
+    table's trailer is the next one behind it; a trailer without a table is a section without entries.
+    """
+    marks = each.where(F.startswith("o", F.lit("xref")) | F.startswith("o", F.lit("trailer")))
+    by_place = Window.partitionBy("doc_id").orderBy("ord")
+    marks = marks.withColumn("next", F.lead("o").over(by_place)).withColumn("before", F.lag("o").over(by_place))
+    is_table = F.startswith("o", F.lit("xref"))
+    dict_ = F.when(~is_table, F.col("o")).when(F.startswith("next", F.lit("trailer")), F.col("next"))
+    own = marks.where(is_table | F.coalesce(F.startswith("before", F.lit("trailer")), F.lit(True))).select("doc_id", "sound", "header", "ord", "at", F.lit(False).alias("coded"), F.coalesce(entries(F.regexp_replace(dict_, "^trailer", "")), F.array().cast(sx.ENTRIES)).alias("entries"), F.when(is_table, F.col("o")).alias("o"))
     sub = F.explode(every(F.col("o"), r"\d+\s+\d+\s+(?:\d{10}\s\d{5}\s[nf]\s*)+")).alias("sub")
+    listed = own.where("o is not null").select("doc_id", "sound", "header", "ord", "at", "coded", sub)
     start = F.regexp_extract("sub", r"^(\d+)", 1).cast("long")
-    flags = every(F.col("sub"), r"\d{10}\s\d{5}\s([nf])", 1)
-    free = lambda kinds, first, zero: F.filter(F.transform(kinds, lambda k, i: F.when(k == zero, first + i)), lambda n: n.isNotNull() & (n > 0))
-    tables = each.where(F.startswith("o", F.lit("xref")) & F.col("sound")).select("doc_id", "ord", sub).select("doc_id", "ord", F.explode(free(flags, start, "f")).alias("num"))
-    xref = coded.where((as_name(get(E, "Type")) == "XRef") & F.col("sound")).select("doc_id", "ord", F.hex("stream").alias("h"), numbers(get(E, "W")).alias("w"), F.coalesce(numbers(get(E, "Index")), F.array(F.lit(0.0), as_number(get(E, "Size")))).alias("index"))
+    listed = listed.select("doc_id", "sound", "header", "ord", "at", "coded", start.alias("start"), F.posexplode(every(F.col("sub"), r"\d{10}\s\d{5}\s[nf]")).alias("i", "e"))
+    no_entries = F.lit(None).cast(sx.ENTRIES).alias("entries")
+    keys = ["doc_id", "sound", "header", "ord", "at", "coded"]
+    by_table = listed.select(*keys, no_entries, (F.col("start") + F.col("i")).alias("num"), F.when(F.endswith("e", F.lit("f")), 0).otherwise(1).alias("kind"), F.substring("e", 1, 10).cast("long").alias("value"))
+    xref = streams.select("doc_id", "sound", "header", "ord", "at", F.lit(True).alias("coded"), F.hex("stream").alias("h"), numbers(get(E, "W")).alias("w"), F.coalesce(numbers(get(E, "Index")), F.array(F.lit(0.0), as_number(get(E, "Size")))).alias("index"))
     width = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(0.0)).cast("int")
-    xref = xref.where((width(0) > 0) & (width(0) + width(1) + width(2) > 0)).withColumn("size", width(0) + width(1) + width(2))
-    nums = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size("index") / 2).cast("int") - 1), lambda i: F.when(F.get("index", 2 * i + 1) > 0, F.transform(F.sequence(F.lit(0), F.get("index", 2 * i + 1).cast("int") - 1), lambda j: (F.get("index", 2 * i) + j).cast("long"))).otherwise(F.array().cast("array<long>"))))
-    kind = lambda i: F.conv(F.substring("h", (2 * i * F.col("size") + 1).cast("int"), 2 * width(0)), 16, 10)
-    streams = xref.withColumn("nums", nums).select("doc_id", "ord", F.explode(F.filter(F.transform("nums", lambda n, i: F.when(kind(i) == "0", n)), lambda n: n.isNotNull() & (n > 0))).alias("num"))
-    return tables.unionByName(streams).groupBy("doc_id", "num").agg(F.max("ord").alias("freed"))
+    fits = reduce(lambda a, b: a & b, (width(i).between(0, 7) for i in range(3)))
+    xref = xref.withColumn("size", width(0) + width(1) + width(2)).where(fits & (F.col("size") > 0))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("index") / 2).cast("int") - 1, F.lit(0))), lambda i: F.when(F.get("index", 2 * i + 1) > 0, F.transform(F.sequence(F.lit(0), F.get("index", 2 * i + 1).cast("int") - 1), lambda j: (F.get("index", 2 * i) + j).cast("long"))).otherwise(F.array().cast("array<long>")))
+    xref = xref.withColumn("n", F.floor(F.length("h") / (2 * F.col("size"))).cast("int")).withColumn("nums", F.slice(F.flatten(runs), F.lit(1), F.greatest("n", F.lit(0)))).select(*keys, "h", "w", "size", F.posexplode("nums").alias("i", "num"))
+    field = lambda skip, n: F.conv(F.substring("h", (2 * (F.col("i") * F.col("size") + skip) + 1).cast("int"), 2 * n), 16, 10).cast("long")
+    kind = F.when(width(0) == 0, F.lit(1)).otherwise(F.coalesce(field(F.lit(0), width(0)), F.lit(0)).cast("int"))
+    by_stream = xref.select(*keys, no_entries, "num", F.when(kind.isin(1, 2), kind).otherwise(0).alias("kind"), F.coalesce(field(width(0), width(1)), F.lit(0)).alias("value"))
+    nothing = [F.lit(None).cast("long").alias("num"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("value")]
+    heads = own.select(*keys, "entries", *nothing).unionByName(streams.select("doc_id", "sound", "header", "ord", "at", F.lit(True).alias("coded"), "entries", *nothing))
+    return staged(reduce(DataFrame.unionByName, [heads, by_table, by_stream]), "pdf-sections")
+
+
+def walk(files: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc_id, at, step): the sections that startxref leads to, in the order in which they are read: of each its /XRefStm, then its /Prev; none twice, so that loops end.
+
+    The sections of a file are collected as places and pointers, and one fold goes along them with what is still to be read and what was.
+    """
+    text = F.decode("content", LATIN)
+    begin = files.select("doc_id", F.try_element_at(every(text, r"startxref\s+(\d{1,10})", 1), F.lit(-1)).cast("long").alias("start")).where("start is not null")
+    pointer = lambda k: F.when(F.regexp_like(get(E, k), F.lit(r"^\d+(?:\.\d*)?$")), as_int(get(E, k)))
+    known = tables.where("num is null").select("doc_id", (F.col("at") - F.col("header")).alias("at"), F.array_compact(F.array(pointer("XRefStm"), pointer("Prev"))).alias("to"))
+    known = known.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "to"))).alias("known")).join(begin, "doc_id")
+    none = F.array().cast("array<long>")
+
+    def go(state: Column, _: Column) -> Column:
+        at, rest = F.get(state["open"], F.lit(0)), F.slice(state["open"], F.lit(2), F.greatest(F.size(state["open"]) - 1, F.lit(0)))
+        new = F.coalesce(F.map_contains_key("known", F.coalesce(at, F.lit(-1))) & ~F.array_contains(state["done"], F.coalesce(at, F.lit(-1))), F.lit(False))
+        more = F.coalesce(F.try_element_at("known", F.coalesce(at, F.lit(-1))), none)
+        return F.struct(F.when(new, F.concat(rest, more)).otherwise(rest).alias("open"), F.when(new, F.concat(state["done"], F.array(at))).otherwise(state["done"]).alias("done"))
+
+    turns = F.sequence(F.lit(1), 2 * F.size("known") + 1)  # a section is pointed at once by each of two keys at most
+    done = F.aggregate(turns, F.struct(F.array("start").alias("open"), none.alias("done")), go, lambda s: s["done"])
+    return known.select("doc_id", F.posexplode(done).alias("step", "at"))
+
+
+def chained(files: DataFrame, tables: DataFrame, there: DataFrame) -> DataFrame:
+    """(doc_id, num, kind, value, step, section): what the chain of sections says of each object, in files that can be read by it; rows with null num name the sections (section) by their step.
+
+    The first section to name an object counts, but for a free one the first stream that holds it. value is a place in the file for
+    kind 1. A file can be read by its chain if that leads to the catalog that its first trailer names, and no object
+    lies elsewhere than its entry says.
+    """
+    order = walk(files, tables)
+    on = tables.withColumn("of", F.col("at") - F.col("header")).join(order.withColumnRenamed("at", "of"), ["doc_id", "of"])
+    on = staged(on.select("doc_id", "header", F.col("at").alias("section"), "step", "coded", "entries", "num", "kind", "value"), "pdf-chain")
+    entry = on.where("num is not null")
+    best = entry.groupBy("doc_id", "num").agg(
+        F.min_by(F.struct("kind", "value", "header"), "step").alias("first"), F.min_by(F.struct("kind", "value", "header"), F.when(F.col("coded") & (F.col("kind") > 0), F.col("step"))).alias("packed"),
+    )
+    best = best.select("doc_id", "num", F.when((F.col("first.kind") > 0) | F.col("packed").isNull(), F.col("first")).otherwise(F.col("packed")).alias("e"))
+    best = best.select("doc_id", "num", F.col("e.kind").alias("kind"), F.when(F.col("e.kind") == 1, F.col("e.value") + F.col("e.header")).otherwise(F.col("e.value")).alias("value")).where("kind > 0")
+    met = best.where("kind = 1").join(there.select("doc_id", "num", F.col("at").alias("value"), F.lit(True).alias("hit")), ["doc_id", "num", "value"], "left")
+    astray = met.where("hit is null").select("doc_id", "num").join(there.select("doc_id", "num").distinct(), ["doc_id", "num"]).select("doc_id").distinct()
+    root = on.where("num is null").groupBy("doc_id").agg(F.min_by(as_ref(get(E, "Root")), F.when(get(E, "Root").isNotNull(), F.col("step"))).alias("num")).where("num is not null")
+    whole = root.join(met.where("hit").select("doc_id", "num").unionByName(best.where("kind = 2").select("doc_id", "num")), ["doc_id", "num"], "left_semi").select("doc_id").join(astray, "doc_id", "left_anti")
+    heads = on.where("num is null").select("doc_id", "num", "kind", "value", "step", "section")
+    rows = best.withColumn("step", F.lit(None).cast("int")).withColumn("section", F.lit(None).cast("long")).unionByName(heads)
+    return rows.join(staged(whole, "pdf-chained"), "doc_id", "left_semi")
+
+
+def _trailers(tables: DataFrame, named: DataFrame) -> DataFrame:
+    """A row per file for objects(): the entries of its trailers, the newest last; by the chain where the file is read by it, else by place."""
+    steps = named.where("num is null").select("doc_id", F.col("section").alias("at"), "step")
+    ruled = named.select("doc_id").distinct().withColumn("chained", F.lit(True))
+    held = tables.where("num is null").select("doc_id", "ord", "at", F.col(E).alias("e")).join(ruled, "doc_id", "left").join(steps, ["doc_id", "at"], "left").where("chained is null or step is not null")
+    held = held.withColumn("nth", F.coalesce(-F.col("step"), F.col("ord")))
+    merged = held.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "e"))), lambda x: x["e"])).alias("entries"))
+    text = F.concat(F.lit("<<"), F.array_join(F.transform("entries", lambda x: F.concat(F.lit(" /"), x["k"], F.lit(" "), x["v"])), ""), F.lit(" >>"))
+    return merged.select("doc_id", F.lit(TRAILER).cast("long").alias("num"), F.lit(0).cast("long").alias("gen"), text.alias("dict"), F.lit(None).cast("binary").alias("stream"), "entries")
 
 
 def trailer(objs: DataFrame) -> DataFrame:
@@ -297,9 +395,9 @@ def with_forms(contents_: DataFrame, objs: DataFrame, depth: int = 8) -> DataFra
     return reduce(DataFrame.unionByName, levels)
 
 
-def font_details(objs: DataFrame) -> DataFrame:
-    """(doc_id, num, subtype, base_font, wide, ranges, differences, encoding): wide fonts have two-byte codes, ranges map codes to UTF-16, differences list codes with characters of their own."""
-    held = resolved(objs.where(as_name(get(E, "Type")) == "Font").select("doc_id", "num", "entries"), objs, "Encoding", "BaseFont", "Subtype")
+def font_details(held: DataFrame, objs: DataFrame) -> DataFrame:
+    """(doc_id, key, subtype, base_font, wide, ranges, differences, encoding) of font dictionaries (doc_id, key, entries): wide fonts have two-byte codes, ranges map codes to UTF-16, differences list codes with characters of their own."""
+    held = resolved(held, objs, "Encoding", "BaseFont", "Subtype", on="key")
     enc = get(E, "Encoding")
     runs = every(get(entries(enc), "Differences"), rf"\d++(?:{sx.GAP}{sx.NAME})++")
     names = lambda run: F.filter(F.transform(every(run, rf"{sx.COMMENT}|{sx.NAME}"), as_name), lambda n: n.isNotNull())
@@ -307,18 +405,23 @@ def font_details(objs: DataFrame) -> DataFrame:
     base = as_name(get(E, "BaseFont"))
     named = F.coalesce(as_name(enc), as_name(get(entries(enc), "BaseEncoding")))
     maps = objs.where("stream is not null").select("doc_id", F.col("num").alias("map"), F.decode("stream", LATIN).alias("cmap"))
-    out = held.select("doc_id", "num", as_name(get(E, "Subtype")).alias("subtype"), base.alias("base_font"), differences.alias("differences"), base_encoding(named, base).alias("encoding"), as_ref(get(E, "ToUnicode")).alias("map"))
+    out = held.select("doc_id", "key", as_name(get(E, "Subtype")).alias("subtype"), base.alias("base_font"), differences.alias("differences"), base_encoding(named, base).alias("encoding"), as_ref(get(E, "ToUnicode")).alias("map"))
     out = out.join(maps, ["doc_id", "map"], "left").withColumn("ranges", unicode_ranges(F.col("cmap"))).withColumn("wide", F.coalesce(F.col("subtype") == "Type0", F.lit(False)))
-    return out.select("doc_id", "num", "subtype", "base_font", "wide", "ranges", "differences", "encoding")
+    return out.select("doc_id", "key", "subtype", "base_font", "wide", "ranges", "differences", "encoding")
 
 
 def fonts(contents_: DataFrame, objs: DataFrame) -> DataFrame:
-    """(doc_id, page_no, path, font and its details): the fonts of pages (or of contents and forms) by name."""
+    """(doc_id, page_no, path, font and its details): the fonts of pages (or of contents and forms) by name. A font is what a /Font dictionary names, whatever its own /Type, as an object or in place."""
     by_num = objs.where("stream is null").select("doc_id", F.col("num").alias("at"), F.col("dict").alias("there"))
     path = F.col("path") if "path" in contents_.columns else F.array().cast("array<int>")
     held = contents_.select("doc_id", "page_no", path.alias("path"), get(entries(F.col("resources")), "Font").alias("v")).withColumn("at", as_ref(F.col("v"))).join(by_num, ["doc_id", "at"], "left")
-    entry = held.select("doc_id", "page_no", "path", F.explode(entries(F.coalesce("there", "v"))).alias("e")).select("doc_id", "page_no", "path", F.col("e.k").alias("font"), as_ref(F.col("e.v")).alias("num"))
-    return entry.where("num is not null").join(font_details(objs), ["doc_id", "num"]).drop("num")
+    entry = held.select("doc_id", "page_no", "path", F.explode(entries(F.coalesce("there", "v"))).alias("e")).select("doc_id", "page_no", "path", F.col("e.k").alias("font"), as_ref(F.col("e.v")).alias("num"), F.col("e.v").alias("v"))
+    entry = staged(entry.select("doc_id", "page_no", "path", "font", "num", F.coalesce(F.col("num").cast("string"), "v").alias("key")), "pdf-font-names")
+    there = objs.where("stream is null").select("doc_id", "num", "entries")
+    objects_ = entry.where("num is not null").select("doc_id", "num", "key").distinct().join(there, ["doc_id", "num"]).select("doc_id", "key", "entries")
+    inline = entry.where("num is null").select("doc_id", "key").distinct().withColumn("entries", entries(F.col("key")))
+    found = font_details(objects_.unionByName(inline.where("size(entries) > 0")), objs)
+    return entry.drop("num").join(found, ["doc_id", "key"]).drop("key")
 
 
 def unicode_ranges(cmap: Column) -> Column:
@@ -355,19 +458,20 @@ def shown(raw: Column, wide: Column, ranges: Column, differences: Column, encodi
 
 
 def page_text(ops: DataFrame, fonts_: DataFrame) -> DataFrame:
-    """(doc_id, page_no, text). Moves down or up begin a line, moves right give a space; in an array a shift below -100 is a space. Text of forms stands where they are painted."""
+    """(doc_id, page_no, text). Moves down or up begin a line, moves right give a space; in an array a shift below -100 is a space. Text of forms stands where they are painted; what is shown without a font, or with one that the resources lack, is no text."""
     token = lambda i: F.try_element_at("operands", F.lit(i))
     w = Window.partitionBy("doc_id", "page_no", "path").orderBy("op_no")
     font = F.last(F.when(F.col("op") == "Tf", sx.name_text(token(-2))), ignorenulls=True).over(w)
     used = ops.where(F.col("op").isin("Tf", "Tj", "TJ", "'", '"', "Td", "TD", "T*")).drop("resources").withColumn("font", font)
     used = used.where("op != 'Tf'").join(fonts_, ["doc_id", "page_no", "path", "font"], "left")
-    say = lambda t: shown(as_bytes(t), *map(F.col, ("wide", "ranges", "differences", "encoding")))
+    say = lambda t: F.when(F.col("wide").isNull(), "").otherwise(shown(as_bytes(t), *map(F.col, ("wide", "ranges", "differences", "encoding"))))
     number_ = lambda t: F.coalesce(as_number(t), F.lit(0.0))
     item = lambda t: F.when(F.regexp_like(t, F.lit(r"^[(<]")), say(t)).when(number_(t) < -100, " ").otherwise("")
-    listed = F.array_join(F.transform("operands", item), "")
     move = F.when(F.abs(number_(token(-1))) > 0.01, "\n").when(number_(token(-2)) > 0, " ").otherwise("")
     op = F.col("op")
-    piece = F.when(op == "Tj", say(token(-1))).when(op == "TJ", listed).when(op.isin("'", '"'), F.concat(F.lit("\n"), say(token(-1)))).when(op.isin("Td", "TD"), move).when(op == "T*", "\n").otherwise("")
+    strings = F.when(op == "TJ", F.col("operands")).when(op.isin("Tj", "'", '"'), F.filter(F.array(token(-1)), lambda t: F.regexp_like(t, F.lit(r"^[(<]")))).otherwise(F.array().cast("array<string>"))
+    before = F.when(op.isin("'", '"', "T*"), "\n").when(op.isin("Td", "TD"), move).otherwise("")
+    piece = F.concat(before, F.array_join(F.transform(strings, item), ""))
     parts = used.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct(F.concat("path", F.array("op_no")).alias("at"), F.coalesce(piece, F.lit("")).alias("t")))).alias("parts"))
     return parts.select("doc_id", "page_no", F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("text"))
 

@@ -85,6 +85,9 @@ def test_trees_and_links(load):
 def test_object_streams_and_rewritten_objects(load):
     inner = b"5 0 8 10 << /A 1 >><< /B 2 >>"
     body = build(["<< /Type /Catalog >>", stream(inner, "/Type /ObjStm /N 2 /First 9", flate=True), "<< /C 3 >>", "null", "<< /Old 1 >>"], 1) + b"\n3 0 obj\n<< /C 4 >>\nendobj\n"
+    chain = {r.num: r.dict.strip() for r in pdf.objects(load(body)).collect()}
+    assert chain[3] == "<< /C 3 >>" and 8 not in chain  # only what the sections name
+    body = body.replace(b"startxref\n", b"startxref\n9")  # leads nowhere: found by scanning
     got = {r.num: r.dict.strip() for r in pdf.objects(load(body)).collect()}
     assert got[3] == "<< /C 4 >>" and got[8] == "<< /B 2 >>" and got[5] == "<< /Old 1 >>"
 
@@ -206,3 +209,70 @@ def test_staged_tables_go_when_replaced(spark):
     two = storage.staged(one.selectExpr("id + 1 AS id"), "two", [one])
     assert not os.path.isdir(place) and two.count() == 3
     storage.discard(two, spark.range(1))
+
+
+FONT = "<< /Subtype /Type1 /Encoding << /Differences [65 /bullet] >> >>"
+
+
+def test_fonts_are_what_resources_name(load):
+    shown = b"BT (0) Tj /F1 9 Tf (A) Tj /F2 9 Tf (B) Tj ET"
+    inline = one_page(shown).replace(b"/F1 5 0 R", f"/F1 {FONT}".encode())
+    untyped = one_page(shown).replace(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", FONT.encode())
+    assert texts(load(inline, untyped)) == {(0, 1): "•", (1, 1): "•"}
+
+
+def test_values_of_encodings():
+    from foliospark.functions.encodings import NAMES, TABLES
+
+    assert (TABLES["MacRomanEncoding"][0xDB], TABLES["MacRomanEncoding"][0xCA], NAMES["Delta"], NAMES["Omega"], NAMES["space"]) == ("¤", " ", "∆", "Ω", " ")
+
+
+def test_streams_are_as_long_as_they_say(load):
+    inner = b"% endstream endobj 4 0 obj\n<< /Length 0 >>\nstream\n\nendstream\nendobj\nBT /F1 9 Tf (B) Tj ET"
+    assert texts(load(one_page(b"BT /F1 9 Tf (A) Tj ET " + inner))) == {(0, 1): "AB"}
+    assert texts(load(one_page(b"BT /F1 9 Tf (A) Tj ET", more=(stream(one_page(b"BT (inner) Tj ET")),)))) == {(0, 1): "A"}
+
+
+def appended(data: bytes, body: bytes, entries: str, trailer: str, prev: bytes | None = None) -> bytes:
+    """data with one more object and a section whose entries may use {at} for its place."""
+    at = len(data) + 1
+    start = data.rpartition(b"startxref\n")[2].split()[0] if prev is None else prev
+    out = data + b"\n" + body + b"\n"
+    return out + f"xref\n{entries.format(at=f'{at:010d}')}trailer\n<< {trailer} {'/Prev ' + start.decode() if start else ''} >>\nstartxref\n{len(out)}\n%%EOF".encode()
+
+
+def show(num: int, text: str) -> bytes:
+    return f"{num} 0 obj\n".encode() + stream(f"BT /F1 9 Tf ({text}) Tj ET".encode()) + b"\nendobj"
+
+
+def test_sections_name_objects(load):
+    first = one_page(b"BT /F1 9 Tf (first) Tj ET")
+    orphan = first.replace(b"xref\n0", show(4, "orphan") + b"\nxref\n0", 1)
+    orphan = orphan[: orphan.rindex(b"startxref")] + f"startxref\n{orphan.index(b'xref' + chr(10).encode() + b'0')}\n%%EOF".encode()
+    update = appended(first, show(4, "second"), "4 1\n{at} 00000 n \n", "/Root 1 0 R")
+    lost = appended(first, show(4, "unnamed"), "9 1\n{at} 00001 f \n", "/Root 1 0 R")
+    freed = appended(first, b"", "4 1\n0000000000 00001 f \n", "/Root 1 0 R")
+    loop = appended(first, show(4, "looped"), "4 1\n{at} 00000 n \n", "/Root 1 0 R /XRefStm 3")
+    loop = loop.replace(b"/Size 6 /Root 1 0 R  >>", b"/Size 6 /Root 1 0 R /Prev %d >>" % loop.rindex(b"xref\n4"), 1)
+    gone = appended(first, show(4, "newest"), "4 1\n{at} 00000 n \n", "/Root 1 0 R", prev=b"7")
+    shifted = update.replace(b"%PDF", b"junk\n%PDF", 1)
+    wrong = first.replace(b"00000 n", b"00000 n", 1).replace(f"{first.index(b'4 0 obj'):010d}".encode(), b"0000000003")
+    files = load(orphan, update, lost, freed, loop, gone, shifted, wrong)
+    # without its chain (gone) the newest section does not lead to the catalog: definitions count by place
+    assert texts(files) == {(0, 1): "first", (1, 1): "second", (2, 1): "first", (3, 1): "", (4, 1): "looped", (5, 1): "newest", (6, 1): "second", (7, 1): "first"}
+
+
+def test_streams_of_hybrid_files_fill_free_entries(load):
+    data = one_page(b"BT /F1 9 Tf (x) Tj ET").replace(b"4 0 obj", b"6 0 obj", 1).replace(b"/Contents 4 0 R", b"/Contents 6 0 R", 1)
+    place = data.index(b"6 0 obj")
+    table = data.index(b"xref\n0")
+    packed = b"7 0 obj\n" + stream(b"8 0 << /Producer (packed) >>", "/Type /ObjStm /N 1 /First 4") + b"\nendobj\n"
+    rows = [(6, 1, place), (7, 1, table), (8, 2, 7), (9, 0, 0)]
+    xref = b"10 0 obj\n" + stream(b"".join(bytes([kind]) + value.to_bytes(3, "big") + b"\0" for _, kind, value in rows), "/Type /XRef /W [1 3 1] /Index [6 4] /Size 11") + b"\nendobj\n"
+    body = data[:table] + packed + xref
+    offsets = {n: data.index(f"{n} 0 obj".encode()) for n in (1, 2, 3, 5)}
+    lines = "".join(f"{offsets[n]:010d} 00000 n \n" if n in offsets else "0000000000 65535 f \n" for n in range(9))
+    whole = body + f"xref\n0 9\n{lines}trailer\n<< /Root 1 0 R /Info 8 0 R /XRefStm {table + len(packed)} >>\nstartxref\n{len(body)}\n%%EOF".encode()
+    files = load(whole)
+    assert texts(files) == {(0, 1): "x"}
+    assert [r.producer for r in pdf.metadata(files, pdf.objects(files).cache()).collect()] == ["packed"]
