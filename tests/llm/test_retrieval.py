@@ -5,8 +5,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pytest
-
 from foliospark.llm import embedding_dedup, hard_negatives, lexical_search, simhash
 from foliospark.llm.registry import queries
 
@@ -105,9 +103,8 @@ def spread(seed: int, n: int = 300, d: int = 16) -> np.ndarray:
     return np.concatenate(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_embedding_links_match_brute_force(spark, seed):
-    x = spread(seed)
+def test_embedding_links_match_brute_force(spark):
+    x = spread(1)
     n_links, label = linked(x)
     df = vectors(spark, [(i, v, 1) for i, v in enumerate(x.tolist())]).repartition(3)
     got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(df).collect()}
