@@ -88,6 +88,29 @@ def pdf_updates(spark, sf_dir):
     return found.select(col("doc_id").alias("user_id"), "num", syntax.as_int(syntax.get("entries", "V")).alias("v"))
 
 
+def pdf_xref(spark, sf_dir):
+    """What the chain of sections names: a file a customer, a section an order, of object 10 to 12. Of four orders one defines it, one defines it without an entry, one frees it, one is hybrid: free in the table, there in its stream. In every fifth file the oldest section points back at the newest."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", col("o_orderkey").alias("k"), (10 + col("o_orderkey") % 3).alias("num"), (F.floor(col("o_orderkey") / 3) % 4).alias("kind"))
+    by_key = Window.partitionBy("o_custkey").orderBy("k")
+    body = F.when(col("kind") == 2, "").otherwise(say(col("num"), " 0 obj\n<< /V ", col("k"), " >>\nendobj\n"))
+    hexed = lambda at: F.lpad(F.hex(at), 8, "0")
+    place = lambda at: F.lpad(at.cast("string"), 10, "0")
+    coded = lambda at: F.when(col("kind") == 3, say("20 0 obj\n<< /Type /XRef /W [1 4 1] /Index [", col("num"), " 1] /Size 99 /Filter /ASCIIHexDecode /Length 13 >>\nstream\n01", hexed(at), "00>\nendstream\nendobj\n")).otherwise("")
+    entry = lambda at: F.when(col("kind") == 0, say(col("num"), " 1\n", place(at), " 00000 n \n")).when(col("kind") == 1, "0 0\n").otherwise(say(col("num"), " 1\n0000000000 00001 f \n"))
+    section = lambda at, prev, stm: say("xref\n", entry(at), "trailer\n<< /Root 1 0 R /Prev ", place(prev), F.when(col("kind") == 3, say(" /XRefStm ", place(stm))).otherwise(""), " >>\n")
+    zero, first = lit(0).cast("long"), "%PDF-1.7\n1 0 obj\n<< /Type /Catalog >>\nendobj\n"
+    opening = lambda prev: say(first, "xref\n1 1\n0000000009 00000 n \ntrailer\n<< /Root 1 0 R ", F.when(col("o_custkey") % 5 == 0, say("/Prev ", place(prev))).otherwise(""), " >>\n")
+    sized = o.withColumn("n1", F.length(body)).withColumn("n2", F.length(coded(zero))).withColumn("n3", F.length(section(zero, zero, zero)))
+    end = F.length(opening(zero)) + F.sum(col("n1") + col("n2") + col("n3")).over(by_key)
+    placed = sized.withColumn("at", (end - col("n3") - col("n2") - col("n1")).cast("long")).withColumn("stm", col("at") + col("n1")).withColumn("table", col("at") + col("n1") + col("n2"))
+    placed = placed.withColumn("prev", F.coalesce(F.lag("table").over(by_key), lit(len(first)).cast("long")))
+    part = F.concat(body, coded(col("at")), section(col("at"), col("prev"), col("stm")))
+    made = placed.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("k", part.alias("t")))).alias("parts"), F.max("table").alias("last"))
+    text = F.concat(opening(col("last")), F.array_join(F.transform("parts", lambda p: p["t"]), ""), say("startxref\n", col("last"), "\n%%EOF"))
+    found = pdf.objects(made.select(col("o_custkey").alias("doc_id"), F.encode(text, "ISO-8859-1").alias("content"))).where("num between 10 and 12")
+    return found.select(col("doc_id").alias("o_custkey"), "num", syntax.as_int(syntax.get("entries", "V")).alias("v"))
+
+
 FONTS = {
     0: "<< /Type /Font /Encoding << /Differences [97 /alpha % /beta\n /uni20AC 122 /eacute.alt] /Type /Encoding >> /Subtype /Type1 >>", 1: "<< /Type /Font /Subtype /Type1 /Encoding /StandardEncoding >>",
     2: "<< /Encoding << /BaseEncoding /MacRomanEncoding >> /Type /Font >>", 3: "<< /Type /Font /ToUnicode 6 0 R >>",
@@ -107,6 +130,25 @@ def pdf_encodings(spark, sf_dir):
     return pdf.extract_text(part.select(col("p_partkey").alias("doc_id"), file_of(bodies).alias("content"))).select(col("doc_id").alias("p_partkey"), "text")
 
 
+def pdf_cmaps(spark, sf_dir):
+    """Text of mixed one- and two-byte codes, and the sum of its glyph numbers: a file a part. The font's map has the codes of two bytes, the one that it builds on those of one, and that names the first again."""
+    part = table(spark, sf_dir, "part")
+    own = "1 begincodespacerange <8000> <80FF> endcodespacerange 1 begincidrange <8000> <80FF> 1000 endcidrange 1 begincidchar <8031> 7 endcidchar"
+    base = "begincodespacerange <00> <7F> endcodespacerange begincidrange <00> <7f> 100 endcidrange"
+    text = "begincmap 2 beginbfrange <20> <7E> <0020> <8000> <80FF> <0000> endbfrange endcmap"
+    shown = say("BT /F1 9 Tf [<", F.hex("p_name"), F.regexp_replace(F.hex("p_brand"), "(..)", "80$1"), "> -50 (", col("p_name"), ")] TJ ET")
+    stream = lambda t, more="": f"<< {more} /Length {len(t)} >>\nstream\n{t}\nendstream"
+    bodies = F.array(
+        lit("<< /Type /Catalog /Pages 2 0 R >>"), lit("<< /Type /Pages /Kids [3 0 R] >>"), lit("<< /Resources << /Font << /F1 << /Subtype /Type0 /Encoding 5 0 R /ToUnicode 7 0 R >> >> >> /Contents 4 0 R /Type /Page >>"), stream_of(shown),
+        lit(stream(own, "/UseCMap 6 0 R")), lit(stream(base, "/UseCMap 5 0 R")), lit(stream(text)),
+    )
+    o = objects_of(part.select(col("p_partkey").alias("doc_id"), file_of(bodies).alias("content")))
+    units = pdf.contents(pdf.pages(o), o)
+    ops, fonts = pdf.operations(units), staged(pdf.fonts(units, o), "pdf-fonts")
+    cids = pdf.shown_codes(ops, fonts).groupBy("doc_id").agg(F.sum("cid").alias("cids"))
+    return pdf.page_text(ops, fonts).join(cids, "doc_id").select(col("doc_id").alias("p_partkey"), "text", "cids")
+
+
 def pdf_form_text(spark, sf_dir):
     """Text of form XObjects, nested ones too, where they are painted: a file a supplier."""
     s = table(spark, sf_dir, "supplier")
@@ -221,7 +263,7 @@ def _coded(data: bytes) -> bytes:
 
 
 QUERIES = {f.__name__: f for f in (
-    pdf_pages, pdf_boxes, pdf_updates, pdf_encodings, pdf_form_text, pdf_outline, pdf_links, pdf_page_labels, pdf_form_fields, pdf_structure, pdf_metadata, pdf_permissions, pdf_warnings, pdf_streams,
+    pdf_pages, pdf_boxes, pdf_updates, pdf_xref, pdf_encodings, pdf_cmaps, pdf_form_text, pdf_outline, pdf_links, pdf_page_labels, pdf_form_fields, pdf_structure, pdf_metadata, pdf_permissions, pdf_warnings, pdf_streams,
 )}
 _BIT = lambda b, n: f"(k % 3 <> 0 OR ((-4 * (k % 1000) - 1) >> {b - 1}) & 1 = 1) AS {n}"
 SQL = {
@@ -234,7 +276,12 @@ SQL = {
     "pdf_updates": """WITH e AS (SELECT *, 10 + event_id % 3 AS num, user_id % 10 <> 0 AS sound FROM events),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id, num ORDER BY CASE WHEN sound THEN 0 WHEN event_type = 'error' THEN 2 WHEN event_type = 'signup' THEN 1 ELSE 0 END, event_id DESC) AS nth FROM e)
         SELECT user_id, num, event_id AS v FROM r WHERE nth = 1 AND event_type <> 'error'""",
+    "pdf_xref": """WITH o AS (SELECT o_custkey, o_orderkey AS k, 10 + o_orderkey % 3 AS num, (o_orderkey // 3) % 4 AS kind FROM orders),
+        e AS (SELECT o_custkey, num, max(k) AS named, arg_max(kind, k) AS kind, max(k) FILTER (WHERE kind = 3) AS coded FROM o WHERE kind <> 1 GROUP BY o_custkey, num)
+        SELECT o_custkey, num, CASE WHEN kind = 2 THEN coded ELSE named END AS v FROM e WHERE kind <> 2 OR coded IS NOT NULL""",
     "pdf_encodings": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '''`Ž ' || translate(p_name, 'abz', 'α€é') WHEN 1 THEN '’‘Ž ' || p_name WHEN 2 THEN '''`é ' || p_name ELSE '''`Ž ' || replace(p_name, 'a', 'X') END AS text FROM part""",
+    "pdf_cmaps": """SELECT p_partkey, p_name || p_brand || p_name AS text, CAST(2 * list_sum(list_transform(string_split(p_name, ''), lambda x: ascii(x) + 100))
+        + list_sum(list_transform(string_split(p_brand, ''), lambda x: CASE WHEN x = '1' THEN 7 ELSE ascii(x) + 1000 END)) AS BIGINT) AS cids FROM part""",
     "pdf_form_text": "SELECT s_suppkey, 'a<' || s_name || '>b' AS text FROM supplier",
     "pdf_outline": """WITH s AS (SELECT *, s_suppkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier),
         m AS (SELECT s_nationkey AS doc_id, rank, 0 AS level, s_name AS title, k % 3 + 1 AS page_no, CASE k % 4 WHEN 0 THEN 'XYZ' WHEN 1 THEN 'FitV' WHEN 2 THEN 'Fit' ELSE 'FitH' END AS fit,

@@ -396,7 +396,10 @@ def with_forms(contents_: DataFrame, objs: DataFrame, depth: int = 8) -> DataFra
 
 
 def font_details(held: DataFrame, objs: DataFrame) -> DataFrame:
-    """(doc_id, key, subtype, base_font, wide, ranges, differences, encoding) of font dictionaries (doc_id, key, entries): wide fonts have two-byte codes, ranges map codes to UTF-16, differences list codes with characters of their own."""
+    """(doc_id, key, subtype, base_font, wide, ranges, differences, encoding, cut, cids) of font dictionaries (doc_id, key, entries): ranges map codes to UTF-16, differences list codes with characters of their own.
+
+    cut is the pattern that bytes are cut into codes by, cids the ranges (lo, hi, cid) of a wide font's encoding map.
+    """
     held = resolved(held, objs, "Encoding", "BaseFont", "Subtype", on="key")
     enc = get(E, "Encoding")
     runs = every(get(entries(enc), "Differences"), rf"\d++(?:{sx.GAP}{sx.NAME})++")
@@ -407,7 +410,74 @@ def font_details(held: DataFrame, objs: DataFrame) -> DataFrame:
     maps = objs.where("stream is not null").select("doc_id", F.col("num").alias("map"), F.decode("stream", LATIN).alias("cmap"))
     out = held.select("doc_id", "key", as_name(get(E, "Subtype")).alias("subtype"), base.alias("base_font"), differences.alias("differences"), base_encoding(named, base).alias("encoding"), as_ref(get(E, "ToUnicode")).alias("map"))
     out = out.join(maps, ["doc_id", "map"], "left").withColumn("ranges", unicode_ranges(F.col("cmap"))).withColumn("wide", F.coalesce(F.col("subtype") == "Type0", F.lit(False)))
-    return out.select("doc_id", "key", "subtype", "base_font", "wide", "ranges", "differences", "encoding")
+    out = out.join(code_maps(held, objs), ["doc_id", "key"], "left")
+    cut = F.when(F.col("wide"), F.coalesce(code_pattern(F.col("code_map")), F.lit(r"[\s\S]{2}"))).otherwise(r"[\s\S]")
+    return out.select("doc_id", "key", "subtype", "base_font", "wide", "ranges", "differences", "encoding", cut.alias("cut"), cid_ranges(F.col("code_map")).alias("cids"))
+
+
+def code_maps(held: DataFrame, objs: DataFrame) -> DataFrame:
+    """(doc_id, key, code_map): the texts of the encoding maps of fonts (doc_id, key, entries), a map's own before that which it builds on (/UseCMap, followed as far as it goes, none twice)."""
+    streams = objs.where("stream is not null").select("doc_id", F.col("num").alias("at"), F.decode("stream", LATIN).alias("t"), as_ref(get(E, "UseCMap")).alias("base"))
+    level = held.select("doc_id", "key", as_ref(get(E, "Encoding")).alias("at"), F.array().cast("array<long>").alias("seen")).where("at is not null")
+    level, levels = staged(level.join(streams, ["doc_id", "at"]), "pdf-code-maps"), []
+    while True:
+        levels.append(level)
+        level = level.where("base is not null").select("doc_id", "key", F.col("base").alias("at"), F.concat("seen", F.array("at")).alias("seen")).where("not array_contains(seen, at)")
+        if level.isEmpty():
+            break
+        level = staged(level.join(streams, ["doc_id", "at"]), "pdf-code-maps")
+    parts = reduce(DataFrame.unionByName, levels).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct(F.size("seen").alias("depth"), "t"))).alias("parts"))
+    return parts.select("doc_id", "key", F.array_join(F.transform("parts", lambda p: p["t"]), "\n").alias("code_map"))
+
+
+def _within(cmap: Column, kind: str) -> Column:
+    return F.array_join(every(cmap, rf"(?s)begin{kind}(.*?)end{kind}", 1), " ")
+
+
+def code_pattern(cmap: Column) -> Column:
+    """The pattern of the codes of a map's codespace ranges, shorter ones first; a byte that begins none is a code by itself. Null without ranges."""
+    pairs = F.transform(every(_within(cmap, "codespacerange"), r"<[^>]*>\s*<[^>]*>"), lambda p: F.transform(every(p, r"<([^>]*)>", 1), lambda h: F.regexp_replace(h, r"\s", "")))
+    pairs = F.filter(pairs, lambda p: (F.length(p[0]) == F.length(p[1])) & (F.length(p[0]) > 0) & (F.length(p[0]) % 2 == 0))
+    byte = lambda h, i: F.substring(h, 2 * i + 1, F.lit(2))
+    ranges = F.transform(pairs, lambda p: F.struct(F.length(p[0]).alias("n"), F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(p[0]) / 2).cast("int") - 1), lambda i: F.concat(F.lit("[\\x"), byte(p[0], i), F.lit("-\\x"), byte(p[1], i), F.lit("]"))), "").alias("t")))
+    return F.when(F.size(ranges) > 0, F.concat(F.array_join(F.transform(F.array_sort(ranges), lambda r: r["t"]), "|"), F.lit(r"|[\s\S]")))
+
+
+def cid_ranges(cmap: Column) -> Column:
+    """(lo, hi, cid) of a map from codes to glyph numbers: single codes first, then ranges, in order."""
+    number = lambda t, i: F.conv(F.get(every(t, r"<\s*([0-9A-Fa-f]+)\s*>", 1), F.lit(i)), 16, 10).cast("long")
+    cid = lambda t: F.regexp_extract(t, r"(\d+)$", 1).cast("long").alias("cid")
+    chars = F.transform(every(_within(cmap, "cidchar"), r"<[^>]*>\s*\d+"), lambda t: F.struct(number(t, 0).alias("lo"), number(t, 0).alias("hi"), cid(t)))
+    return F.concat(chars, F.transform(every(_within(cmap, "cidrange"), r"<[^>]*>\s*<[^>]*>\s*\d+"), lambda t: F.struct(number(t, 0).alias("lo"), number(t, 1).alias("hi"), cid(t))))
+
+
+def codes_of(raw: Column, cut: Column) -> Column:
+    """The codes of a shown string's bytes."""
+    return F.transform(F.regexp_extract_all(raw, cut, F.lit(0)), lambda c: F.conv(F.hex(F.encode(c, LATIN)), 16, 10).cast("int"))
+
+
+def shown_codes(ops: DataFrame, fonts_: DataFrame) -> DataFrame:
+    """(doc_id, page_no, path, op_no, place, code, cid): each code that a page shows; cid is the glyph's number in a wide font's encoding map, the code itself where there is no map or it lacks the code, null in other fonts.
+
+    Distinct codes of a font meet its ranges once, and their shown places by a join, so long maps cost little for each character.
+    """
+    used = _with_fonts(ops, fonts_).where("cut is not null")
+    text = F.filter(F.when(F.col("op") == "TJ", F.col("operands")).otherwise(F.slice("operands", -1, 1)), lambda t: F.regexp_like(t, F.lit(r"^[(<]")))
+    key = ["doc_id", "page_no", "path", "font"]
+    each = used.where(F.col("op").isin("Tj", "TJ", "'", '"') & (F.size("operands") > 0)).select(*key, "op_no", F.posexplode(F.flatten(F.transform(text, lambda t: codes_of(as_bytes(t), F.col("cut"))))).alias("place", "code"))
+    each = staged(each, "pdf-codes")
+    known = each.select(*key, "code").distinct().join(fonts_.select(*key, "wide", "cids"), key)
+    hit = F.get(F.filter("cids", lambda r: (r["lo"] <= F.col("code")) & (F.col("code") <= r["hi"])), F.lit(0))
+    known = known.select(*key, "code", F.when(F.col("wide"), F.coalesce(hit["cid"] + F.col("code") - hit["lo"], F.col("code").cast("long"))).alias("cid"))
+    return each.join(known, [*key, "code"]).select("doc_id", "page_no", "path", "op_no", "place", "code", "cid")
+
+
+def _with_fonts(ops: DataFrame, fonts_: DataFrame) -> DataFrame:
+    """The operations that show or move text, with the font that is set where they stand and its details."""
+    w = Window.partitionBy("doc_id", "page_no", "path").orderBy("op_no")
+    font = F.last(F.when(F.col("op") == "Tf", sx.name_text(F.try_element_at("operands", F.lit(-2)))), ignorenulls=True).over(w)
+    used = ops.where(F.col("op").isin("Tf", "Tj", "TJ", "'", '"', "Td", "TD", "T*")).drop("resources").withColumn("font", font)
+    return used.where("op != 'Tf'").join(fonts_, ["doc_id", "page_no", "path", "font"], "left")
 
 
 def fonts(contents_: DataFrame, objs: DataFrame) -> DataFrame:
@@ -440,11 +510,10 @@ def unicode_ranges(cmap: Column) -> Column:
     return F.concat(chars, lists, spans)
 
 
-def shown(raw: Column, wide: Column, ranges: Column, differences: Column, encoding: Column) -> Column:
+def shown(raw: Column, wide: Column, ranges: Column, differences: Column, encoding: Column, cut: Column) -> Column:
     """Unicode text of a shown string: each code by the font's map, else by its differences, else by its encoding; wide fonts show nothing that the map lacks."""
-    digits = F.hex(F.encode(raw, LATIN))
     wide = F.coalesce(wide, F.lit(False))
-    codes = F.transform(F.when(wide, every(digits, ".{4}")).otherwise(every(digits, ".{2}")), lambda u: F.conv(u, 16, 10).cast("int"))
+    codes = codes_of(raw, cut)
 
     def unit(c: Column) -> Column:
         r = F.get(F.filter(ranges, lambda r: (r["lo"] <= c) & (c <= r["hi"])), F.lit(0))
@@ -460,11 +529,8 @@ def shown(raw: Column, wide: Column, ranges: Column, differences: Column, encodi
 def page_text(ops: DataFrame, fonts_: DataFrame) -> DataFrame:
     """(doc_id, page_no, text). Moves down or up begin a line, moves right give a space; in an array a shift below -100 is a space. Text of forms stands where they are painted; what is shown without a font, or with one that the resources lack, is no text."""
     token = lambda i: F.try_element_at("operands", F.lit(i))
-    w = Window.partitionBy("doc_id", "page_no", "path").orderBy("op_no")
-    font = F.last(F.when(F.col("op") == "Tf", sx.name_text(token(-2))), ignorenulls=True).over(w)
-    used = ops.where(F.col("op").isin("Tf", "Tj", "TJ", "'", '"', "Td", "TD", "T*")).drop("resources").withColumn("font", font)
-    used = used.where("op != 'Tf'").join(fonts_, ["doc_id", "page_no", "path", "font"], "left")
-    say = lambda t: F.when(F.col("wide").isNull(), "").otherwise(shown(as_bytes(t), *map(F.col, ("wide", "ranges", "differences", "encoding"))))
+    used = _with_fonts(ops, fonts_)
+    say = lambda t: F.when(F.col("wide").isNull(), "").otherwise(shown(as_bytes(t), *map(F.col, ("wide", "ranges", "differences", "encoding", "cut"))))
     number_ = lambda t: F.coalesce(as_number(t), F.lit(0.0))
     item = lambda t: F.when(F.regexp_like(t, F.lit(r"^[(<]")), say(t)).when(number_(t) < -100, " ").otherwise("")
     move = F.when(F.abs(number_(token(-1))) > 0.01, "\n").when(number_(token(-2)) > 0, " ").otherwise("")

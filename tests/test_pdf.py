@@ -276,3 +276,16 @@ def test_streams_of_hybrid_files_fill_free_entries(load):
     files = load(whole)
     assert texts(files) == {(0, 1): "x"}
     assert [r.producer for r in pdf.metadata(files, pdf.objects(files).cache()).collect()] == ["packed"]
+
+
+def test_codes_of_varying_length(load):
+    cmap = b"2 begincodespacerange <00> <7F> <8140> <9FFC> endcodespacerange 1 begincidrange <8140> <9FFC> 500 endcidrange 1 begincidchar <41> 9 endcidchar"
+    to_text = b"1 beginbfrange <20> <7E> <0020> <8140> <81FF> <3041> endbfrange"
+    font = b"<< /Subtype /Type0 /Encoding 6 0 R /ToUnicode 7 0 R >>"
+    body = one_page(b"BT /F1 9 Tf <41814242814181> Tj ET", more=(stream(cmap), stream(to_text))).replace(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", font)
+    files = load(body)
+    o = pdf.objects(files).cache()
+    units = pdf.contents(pdf.pages(o), o)
+    ops, fonts = pdf.operations(units), pdf.fonts(units, o).cache()
+    assert [r.text for r in pdf.page_text(ops, fonts).collect()] == ["AぃBあ"]  # the last byte begins no code and has no text
+    assert [(r.code, r.cid) for r in pdf.shown_codes(ops, fonts).orderBy("place").collect()] == [(0x41, 9), (0x8142, 502), (0x42, 0x42), (0x8141, 501), (0x81, 0x81)]
