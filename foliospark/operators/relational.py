@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -146,6 +146,20 @@ def flatten_tree(nodes: DataFrame, inherited: list[str], sep: str = ".") -> Data
         spark.catalog.dropTempView(view)
 
 
+def composed(nodes: DataFrame, keys: list[str], combine: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """nodes (keys, id, up, values) with each value composed along the chain from the node that up names, and so on, down to the node's own.
+
+    combine maps a value to its associative product of (outer, inner). Chains double in length each round, so rounds are the
+    logarithm of the longest; one that leads to a missing node ends there. Chains must not run in circles. Each round is written.
+    """
+    level = staged(nodes.select(*keys, "id", "up", *combine), "chains")
+    while not level.where("up is not null").isEmpty():
+        outer = level.select(*keys, F.col("id").alias("up"), F.struct("up", *combine).alias("outer"))
+        both = [F.when(F.col("outer").isNotNull(), product(F.col(f"outer.{n}"), F.col(n))).otherwise(F.col(n)).alias(n) for n, product in combine.items()]
+        level = staged(level.join(outer, [*keys, "up"], "left").select(*keys, "id", F.col("outer.up").alias("up"), *both), "chains", [level])
+    return level
+
+
 def tile_grid(cells: DataFrame, nx: Column, ny: Column, most: int | None = None) -> DataFrame:
     """A row per tile (ix, iy) of each cell pattern; with most, patterns of more tiles are left out, as a viewer does."""
     grid = (cells if most is None else cells.where(nx * ny <= most)).withColumn("ix", F.explode(F.sequence(F.lit(0), nx - 1)))

@@ -354,11 +354,11 @@ def boxes(pages_: DataFrame) -> DataFrame:
 
 
 def contents(pages_: DataFrame, objs: DataFrame) -> DataFrame:
-    """(doc_id, page_no, path, content, resources): a page's content streams in order; each ends in a line end if there are several. path is empty (see with_forms)."""
+    """(doc_id, page_no, path, content, resources, matrix, bbox): a page's content streams in order; each ends in a line end if there are several. path is empty, matrix and bbox null (see with_forms)."""
     parts = pages_.select("doc_id", "page_no", "resources", F.size("contents").alias("n"), F.posexplode("contents").alias("place", "num")).join(objs.where("stream is not null").select("doc_id", "num", "stream"), ["doc_id", "num"])
     text = F.concat(F.decode("stream", LATIN), F.when(F.col("n") > 1, "\n").otherwise(""))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda p: p["t"]), "")
-    return parts.groupBy("doc_id", "page_no").agg(F.array().cast("array<int>").alias("path"), joined.alias("content"), F.first("resources").alias("resources"))
+    return parts.groupBy("doc_id", "page_no").agg(F.array().cast("array<int>").alias("path"), joined.alias("content"), F.first("resources").alias("resources"), *(F.first(F.lit(None).cast("array<double>")).alias(n) for n in ("matrix", "bbox")))
 
 
 def operations(contents_: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def operations(contents_: DataFrame) -> DataFrame:
 def with_forms(contents_: DataFrame, objs: DataFrame, depth: int = 8) -> DataFrame:
     """contents_ plus the forms that Do paints in them, and in those, up to depth (forms may paint themselves): a form's path ends in the operation's number.
 
-    A form without resources has those of what paints it.
+    A form without resources has those of what paints it; matrix and bbox are the form's own.
     """
     level = staged(contents_, "pdf-contents")
     levels = [level]
@@ -389,8 +389,9 @@ def with_forms(contents_: DataFrame, objs: DataFrame, depth: int = 8) -> DataFra
         there = objs.where("stream is null").select("doc_id", F.col("num").alias("at"), F.col("dict").alias("body"))
         uses = uses.withColumn("at", as_ref(F.col("x"))).join(there, ["doc_id", "at"], "left").withColumn("x", entries(F.coalesce("body", "x")))
         uses = uses.withColumn("num", as_ref(F.try_element_at(F.filter("x", lambda e: e["k"] == F.col("name")), F.lit(-1))["v"])).drop("at", "body", "x")
-        made = resolved(uses.join(forms, ["doc_id", "num"]), objs, "Resources")
-        level = staged(made.select("doc_id", "page_no", "path", F.decode("stream", LATIN).alias("content"), F.coalesce(get(E, "Resources"), "resources").alias("resources")), "pdf-forms")
+        made = resolved(uses.join(forms, ["doc_id", "num"]), objs, "Resources", "Matrix", "BBox")
+        boxes_ = [numbers(get(E, k)).alias(n) for k, n in (("Matrix", "matrix"), ("BBox", "bbox"))]
+        level = staged(made.select("doc_id", "page_no", "path", F.decode("stream", LATIN).alias("content"), F.coalesce(get(E, "Resources"), "resources").alias("resources"), *boxes_), "pdf-forms")
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
