@@ -462,10 +462,15 @@ def shown_codes(ops: DataFrame, fonts_: DataFrame) -> DataFrame:
 
     Distinct codes of a font meet its ranges once, and their shown places by a join, so long maps cost little for each character.
     """
-    used = _with_fonts(ops, fonts_).where("cut is not null")
+    return codes_shown(_with_fonts(ops, fonts_), fonts_)
+
+
+def codes_shown(used: DataFrame, fonts_: DataFrame) -> DataFrame:
+    """As shown_codes, of operations that know their font and how it is cut."""
     text = F.filter(F.when(F.col("op") == "TJ", F.col("operands")).otherwise(F.slice("operands", -1, 1)), lambda t: F.regexp_like(t, F.lit(r"^[(<]")))
     key = ["doc_id", "page_no", "path", "font"]
-    each = used.where(F.col("op").isin("Tj", "TJ", "'", '"') & (F.size("operands") > 0)).select(*key, "op_no", F.posexplode(F.flatten(F.transform(text, lambda t: codes_of(as_bytes(t), F.col("cut"))))).alias("place", "code"))
+    used = used.where(F.col("cut").isNotNull() & F.col("op").isin("Tj", "TJ", "'", '"') & (F.size("operands") > 0))
+    each = used.select(*key, "op_no", F.posexplode(F.flatten(F.transform(text, lambda t: codes_of(as_bytes(t), F.col("cut"))))).alias("place", "code"))
     each = staged(each, "pdf-codes")
     known = each.select(*key, "code").distinct().join(fonts_.select(*key, "wide", "cids"), key)
     hit = F.get(F.filter("cids", lambda r: (r["lo"] <= F.col("code")) & (F.col("code") <= r["hi"])), F.lit(0))
@@ -483,6 +488,12 @@ def _with_fonts(ops: DataFrame, fonts_: DataFrame) -> DataFrame:
 
 def fonts(contents_: DataFrame, objs: DataFrame) -> DataFrame:
     """(doc_id, page_no, path, font and its details): the fonts of pages (or of contents and forms) by name. A font is what a /Font dictionary names, whatever its own /Type, as an object or in place."""
+    entry, held = named_fonts(contents_, objs)
+    return entry.join(font_details(held, objs), ["doc_id", "key"]).drop("key")
+
+
+def named_fonts(contents_: DataFrame, objs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, page_no, path, font, key) of the names of fonts, and (doc_id, key, entries) of their dictionaries."""
     by_num = objs.where("stream is null").select("doc_id", F.col("num").alias("at"), F.col("dict").alias("there"))
     path = F.col("path") if "path" in contents_.columns else F.array().cast("array<int>")
     held = contents_.select("doc_id", "page_no", path.alias("path"), get(entries(F.col("resources")), "Font").alias("v")).withColumn("at", as_ref(F.col("v"))).join(by_num, ["doc_id", "at"], "left")
@@ -491,8 +502,32 @@ def fonts(contents_: DataFrame, objs: DataFrame) -> DataFrame:
     there = objs.where("stream is null").select("doc_id", "num", "entries")
     objects_ = entry.where("num is not null").select("doc_id", "num", "key").distinct().join(there, ["doc_id", "num"]).select("doc_id", "key", "entries")
     inline = entry.where("num is null").select("doc_id", "key").distinct().withColumn("entries", entries(F.col("key")))
-    found = font_details(objects_.unionByName(inline.where("size(entries) > 0")), objs)
-    return entry.drop("num").join(found, ["doc_id", "key"]).drop("key")
+    return entry.drop("num"), objects_.unionByName(inline.where("size(entries) > 0"))
+
+
+def font_widths(held: DataFrame, objs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Widths of font dictionaries (doc_id, key, entries): runs (doc_id, key, place, lo, hi, width) of glyph numbers, later places count, and (doc_id, key, width) for all others.
+
+    Simple fonts have /Widths from /FirstChar on, else those of Courier's family 600, others /MissingWidth; wide fonts have both
+    forms of their descendant's /W, else /DW. Elements that are references are skipped.
+    """
+    held = resolved(held, objs, "Widths", "FirstChar", "FontDescriptor", "DescendantFonts", "BaseFont", "Subtype", on="key")
+    wide = F.coalesce(as_name(get(E, "Subtype")) == "Type0", F.lit(False))
+    listed = F.posexplode(numbers(get(E, "Widths"))).alias("place", "width")
+    simple = held.where(~wide).select("doc_id", "key", F.coalesce(as_int(get(E, "FirstChar")), F.lit(0)).alias("first"), listed).where("width is not null")
+    simple = simple.select("doc_id", "key", "place", (F.col("first") + F.col("place")).alias("lo"), (F.col("first") + F.col("place")).alias("hi"), "width")
+    missing = F.when(as_name(get(E, "BaseFont")).contains("Courier"), 600.0).otherwise(F.coalesce(as_number(get(entries(get(E, "FontDescriptor")), "MissingWidth")), F.lit(0.0)))
+    below = held.where(wide).select("doc_id", "key", F.get(items(get(E, "DescendantFonts")), F.lit(0)).alias("v")).withColumn("at", as_ref(F.col("v")))
+    there = objs.where("stream is null").select("doc_id", F.col("num").alias("at"), F.col("dict").alias("there"))
+    below = resolved(below.join(there, ["doc_id", "at"], "left").select("doc_id", "key", entries(F.coalesce("there", "v")).alias(E)), objs, "W", "DW", on="key")
+    part = every(F.regexp_extract(get(E, "W"), r"(?s)^\[(.*)\]$", 1), r"\d+\s*\[[^\]]*\]|\d+\s+\d+\s+[\d.+-]+")
+    parts = below.select("doc_id", "key", F.posexplode(part).alias("nth", "t")).withColumn("v", F.transform(every(F.col("t"), r"[\d.+-]+"), as_number))
+    first, is_list = F.get("v", F.lit(0)).cast("long"), F.contains("t", F.lit("["))
+    run = lambda lo, hi, w: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), w.alias("width"))
+    each = F.when(is_list, F.transform(F.slice("v", 2, 1 << 30), lambda w, i: run(first + i, first + i, w))).otherwise(F.array(run(first, F.get("v", F.lit(1)), F.get("v", F.lit(2)))))
+    cid = parts.select("doc_id", "key", F.col("nth").alias("place"), F.explode(each).alias("r")).select("doc_id", "key", "place", "r.lo", "r.hi", "r.width").where("width is not null and hi >= lo")
+    others = held.where(~wide).select("doc_id", "key", missing.alias("width")).unionByName(below.select("doc_id", "key", F.coalesce(as_number(get(E, "DW")), F.lit(1000.0)).alias("width")))
+    return simple.unionByName(cid), others
 
 
 def unicode_ranges(cmap: Column) -> Column:
