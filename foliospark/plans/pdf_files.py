@@ -21,11 +21,11 @@ def say(*parts) -> Column:
     return F.concat(*(lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def file_of(bodies: Column, trailer: str = "", number: Column | None = None) -> Column:
+def file_of(bodies: Column, trailer: str | Column = "", number: Column | None = None) -> Column:
     """Bytes of a file whose objects 1, 2, ... (or of the given numbers) have these bodies; the first is the catalog."""
     each = F.transform(bodies, lambda b, i: F.concat((i + 1 if number is None else F.get(number, i)).cast("string"), lit(" 0 obj\n"), b, lit("\nendobj\n")))
     body = F.concat(lit("%PDF-1.7\n"), F.array_join(each, ""))
-    return F.encode(F.concat(body, lit(f"xref\n0 1\n0000000000 65535 f \ntrailer\n<< /Root 1 0 R {trailer} >>\nstartxref\n"), F.length(body).cast("string"), lit("\n%%EOF")), "ISO-8859-1")
+    return F.encode(say(body, "xref\n0 1\n0000000000 65535 f \ntrailer\n<< /Root 1 0 R ", trailer, " >>\nstartxref\n", F.length(body), "\n%%EOF"), "ISO-8859-1")
 
 
 def stream_of(data: Column, more: str = "") -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.plans import document_queries, expression_queries, pdf_files, pdf_graphics, pdf_queries, relational_queries
+from foliospark.plans import document_queries, expression_queries, pdf_files, pdf_graphics, pdf_locked, pdf_queries, relational_queries
 
 
-MODULES = (expression_queries, relational_queries, document_queries, pdf_queries, pdf_files, pdf_graphics)
+MODULES = (expression_queries, relational_queries, document_queries, pdf_queries, pdf_files, pdf_graphics, pdf_locked)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -101,7 +101,7 @@ def objects(files: DataFrame, password: str | None = None, decrypting: bool = Fa
     """(doc_id, num, gen, dict, stream, entries): the definition of each object that counts; stream is decoded, entries are those of a dictionary.
 
     A row with num -1 holds the file's trailer, its keys merged over all sections, newest first. With decrypting, encrypted files
-    are opened with the password (or the empty one), and those that it does not open have no objects; without, their
+    are opened with their own password (a column of files), the one given or the empty one, and those that it does not open have no objects; without, their
     strings and streams stay as they are. Items of the files and the definitions that count are written out on the way, since
     trailers, tables, streams and keys each read them; of streams, only tables and packed objects are decoded twice.
     """
@@ -127,7 +127,8 @@ def objects(files: DataFrame, password: str | None = None, decrypting: bool = Fa
     coded = coded.select("doc_id", "num", "gen", "ord", "sound", "chained", "dict", "entries", _stream_data(F.col("body"), as_int(get(E, "Length"))).alias("raw"))
     trailers_ = staged(_trailers(tables, named), "pdf-trailers")
     if decrypting:
-        plain, coded = (_opened(files, part, last, trailers_, password) for part in (last.where("body is null").withColumn("raw", F.lit(None).cast("binary")), coded))
+        keys = staged(_keys(files, last, trailers_, password), "pdf-keys")
+        plain, coded = (_opened(part, keys) for part in (last.where("body is null").withColumn("raw", F.lit(None).cast("binary")), coded))
     else:
         plain = last.where("body is null")
     own = ["doc_id", "num", "gen", "ord", "sound", "chained", "dict", "entries"]
@@ -254,25 +255,37 @@ def trailer(objs: DataFrame) -> DataFrame:
 
 
 def encryption(files: DataFrame, objs: DataFrame, password: str | None = None) -> DataFrame:
-    """(doc_id, status, key, cipher) of encrypted files: ok, need_password, bad_password or unsupported."""
+    """(doc_id, status, key, streams, strings) of encrypted files: ok, need_password, bad_password, malformed or unsupported. A password column of files counts before the password that is given for all."""
     return _keys(files, objs, trailer(objs), password)
 
 
 def _keys(files: DataFrame, objs: DataFrame, trailers_: DataFrame, password: str | None) -> DataFrame:
-    at = trailers_.select("doc_id", get(E, "Encrypt").alias("v")).where("v is not null").select("doc_id", as_ref(F.col("v")).alias("num"), "v")
+    file_id = F.encode(as_bytes(F.get(items(get(E, "ID")), F.lit(0))), LATIN)
+    at = trailers_.select("doc_id", get(E, "Encrypt").alias("v"), file_id.alias("file_id")).where("v is not null").withColumn("num", as_ref(F.col("v")))
     there = at.join(objs.select("doc_id", "num", "dict"), ["doc_id", "num"], "left")
-    return file_keys(files, there.select("doc_id", "num", F.coalesce("dict", "v").alias("dict")), password)
+    own = [F.col("password")] if "password" in files.columns else []
+    given = files.select("doc_id", F.coalesce(*own, F.lit(password).cast("string")).alias("password"))
+    return file_keys(there.join(given, "doc_id").select("doc_id", F.coalesce("dict", "v").alias("dict"), "file_id", "password"))
 
 
-def _opened(files: DataFrame, part: DataFrame, objs: DataFrame, trailers_: DataFrame, password: str | None) -> DataFrame:
-    """part (doc_id, num, gen, dict, entries, raw and more) with strings and streams decrypted; objects of files that do not open go."""
-    keys = _keys(files, objs, trailers_, password).withColumn("locked", F.lit(True))
-    n = [F.col(x) for x in ("key", "num", "gen", "cipher")]
+def _left_plain(e: Column) -> Column:
+    """Whether a stream's Crypt filter names Identity, or nothing: encryption leaves such a stream as it is."""
+    listed = lambda v: F.when(F.startswith(v, F.lit("[")), items(v)).otherwise(F.array(v))
+    at = F.array_position(F.transform(listed(get(e, "Filter", "F")), as_name), "Crypt").cast("int")
+    name = as_name(get(entries(F.get(listed(get(e, "DecodeParms", "DP")), at - 1)), "Name"))
+    return F.coalesce((at > 0) & (F.coalesce(name, F.lit("Identity")) == "Identity"), F.lit(False))
+
+
+def _opened(part: DataFrame, keys: DataFrame) -> DataFrame:
+    """part (doc_id, num, gen, dict, entries, raw and more) with strings and streams decrypted by keys (see encryption); objects of files that do not open go."""
+    keys = keys.withColumn("locked", F.lit(True))
+    n = [F.col(x) for x in ("key", "num", "gen")]
     both = part.join(keys, "doc_id", "left").where("locked is null or status = 'ok'")
     whole = (as_name(get(E, "Filter")) == "Standard") | F.coalesce(as_name(get(E, "Type")) == "XRef", F.lit(False))
     coded = both.where("key is not null").withColumn("own", F.coalesce(whole, F.lit(False)))
-    dict_ = F.when(F.col("own"), F.col("dict")).otherwise(decrypt_strings(F.col("dict"), *n))
-    coded = coded.withColumn("dict", dict_).withColumn("raw", F.when(F.col("own") | F.col("raw").isNull(), F.col("raw")).otherwise(decrypt(F.col("raw"), *n))).withColumn("entries", entries(F.col("dict")))
+    coded = coded.withColumn("streams", F.when(_left_plain(E), "none").otherwise(F.col("streams")))
+    dict_ = F.when(F.col("own"), F.col("dict")).otherwise(decrypt_strings(F.col("dict"), *n, F.col("strings")))
+    coded = coded.withColumn("dict", dict_).withColumn("raw", F.when(F.col("own") | F.col("raw").isNull(), F.col("raw")).otherwise(decrypt(F.col("raw"), *n, F.col("streams")))).withColumn("entries", entries(F.col("dict")))
     return both.where("key is null").select(*part.columns).unionByName(coded.select(*part.columns))
 
 

@@ -1,21 +1,27 @@
-"""Decryption of PDF objects with the standard handler, revisions 2 to 4 (RC4 and 128-bit AES).
+"""Decryption of PDF objects with the standard handler, revisions 2 to 6 (RC4, AES of 128 and 256 bits).
 
-A file's key is derived once per file; keys join the objects on doc_id. AES runs in the JVM (aes_decrypt), RC4 and key
-derivation are small Arrow UDFs. Files that need another password, or another handler, keep a status instead of rows.
+A file's key is derived once per file; keys join the objects on doc_id. AES and the hashes of revisions 5 and 6 are Column
+expressions, RC4 and the keys of older revisions small Arrow UDFs. Files that need another password, or another handler, keep a
+status instead of rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.sources.syntax import COMMENT, HEX, LATIN, STRING, as_bytes, as_int, as_name, entries, every, get
+
 #: Fixed value: the padding of passwords.
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
-KEYS = "struct<status:string,key:binary,cipher:string>"
+ROUNDS = 288  # the hash of revision 6 ends when a byte is at most its round less 32: by this round at the latest
+EMPTY = bytearray()
+#: Text up to a string, and that string: what decrypt_strings cuts dictionaries into.
+PIECE = rf"((?:{COMMENT}|<<|[^(<%]|(?!{STRING}|{HEX})[(<%])*+)({STRING}|{HEX})?"
 
 
 def rc4(key: bytes, data: bytes) -> bytes:
@@ -59,53 +65,120 @@ def owner_to_user(password: bytes, o: bytes, revision: int, n: int) -> bytes:
     return o
 
 
-def literal_bytes(text: str) -> bytes:
-    """A literal or hex string's bytes, from ISO-8859-1 text with its delimiters."""
-    if text.startswith("<"):
-        digits = re.sub("[^0-9A-Fa-f]", "", text)
-        return bytes.fromhex(digits + "0" * (len(digits) % 2))
-    named = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+def legacy_key(password: str | None, o: bytes, u: bytes, p: int, file_id: bytes, revision: int, n: int, metadata: bool) -> bytes | None:
+    """The key of a file of revision 2 to 4 that the password opens as its user's or its owner's; None if neither. Passwords are tried as UTF-8 and as ISO-8859-1."""
+    for given in dict.fromkeys(((password or "").encode(), (password or "").encode("latin-1", "replace"))):
+        for candidate in (given, owner_to_user(given, o, revision, n)):
+            key = user_key(candidate, o, p, file_id, revision, n, metadata)
+            least = 32 if revision == 2 else 16
+            if not u or (len(u) >= least and user_check(key, file_id, revision)[:least] == u[:least]):
+                return key
+    return None
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def byte(data: Column, at: int) -> Column:
+    return F.conv(F.hex(F.substring(data, F.lit(at), F.lit(1))), 16, 10).cast("int")
+
+
+def sealed(data: Column, key: Column, iv: Column) -> Column:
+    """AES-CBC of data and padding, without the initial vector."""
+    return F.substring(F.aes_encrypt(data, key, F.lit("CBC"), F.lit("PKCS"), iv), F.lit(17), F.lit(1 << 30))
+
+
+def opened_blocks(data: Column, key: Column, iv: Column) -> Column:
+    """Whole AES-CBC blocks decrypted, whatever they end in: a block of padding that continues them is put behind, since Spark wants one."""
+    whole = (F.octet_length(data) >= 16) & (F.octet_length(data) % 16 == 0) & F.octet_length(key).isin(16, 24, 32)
+    padding = sealed(F.lit(EMPTY), key, F.substring(data, F.lit(-16), F.lit(16)))
+    return F.when(whole, F.aes_decrypt(F.concat(iv, data, padding), key, F.lit("CBC"), F.lit("PKCS")))
+
 
-    def value(m: re.Match) -> str:
-        t = m[1]
-        return chr(int(t, 8) & 255) if t[0] in "01234567" else "" if t[0] in "\r\n" else named.get(t, t)
+def opened(data: Column, key: Column) -> Column:
+    """AES data behind their initial vector, decrypted, without padding if there is any; empty where they are not whole blocks."""
+    blocks = opened_blocks(F.substring(data, F.lit(17), F.lit(1 << 30)), key, F.substring(data, F.lit(1), F.lit(16)))
+    cut = lambda d: F.when(byte(d, -1).between(1, 16), F.substring(d, F.lit(1), F.octet_length(d) - byte(d, -1))).otherwise(d)
+    return F.when(data.isNotNull(), F.coalesce(let(blocks, cut), F.lit(EMPTY)))
 
-    return re.sub(r"\\([0-7]{1,3}|\r?\n|[\s\S])", value, text[1:-1]).encode("latin-1")
 
+def hardened_hash(password: Column, salt: Column, more: Column) -> Column:
+    """The hash of revision 6: rounds encrypt 64 copies of password, last digest and more, and choose the next digest by what comes out."""
+    digest = lambda d, bits: F.unhex(F.sha2(d, bits))
+    word = lambda e, i: F.conv(F.hex(F.substring(e, F.lit(4 * i + 1), F.lit(4))), 16, 10).cast("long")
 
-STRING = re.compile(r"\((?:[^\\()]|\\[\s\S]|\((?:[^\\()]|\\[\s\S])*\))*\)|<(?!<)[0-9A-Fa-f\s]*>")
+    def after(e: Column) -> Column:
+        by = (word(e, 0) + word(e, 1) + word(e, 2) + word(e, 3)) % 3  # as the sum of 16 bytes, since 256 leaves 1
+        return F.struct(F.when(by == 0, digest(e, 256)).when(by == 1, digest(e, 384)).otherwise(digest(e, 512)).alias("k"), byte(e, -1).alias("last"))
 
+    def turn(state: Column, n: Column) -> Column:
+        k = state["k"]
+        copies = F.unhex(F.repeat(F.hex(F.concat(password, k, more)), 64))
+        part = lambda at: F.substring(k, F.lit(at), F.lit(16))
+        made = let(copies, lambda c: F.substring(sealed(c, part(1), part(17)), F.lit(1), F.octet_length(c)))
+        return F.when((n >= 64) & (state["last"] <= n - 32), state).otherwise(let(made, after))
 
-def file_key(d: str, trailer: str, password: str | None) -> tuple[str, bytes | None, str | None]:
-    """(status, key, cipher) from the text of an encryption dictionary."""
-    whole = lambda key, default: int(m[1]) if (m := re.search(rf"/{key}\s+(-?\d+)", d)) else default
-    found = lambda key: literal_bytes(m[1]) if (m := re.search(rf"/{key}\s*({STRING.pattern})", d)) else b""
-    v, revision = whole("V", 0), whole("R", 0)
-    if not re.search(r"/Filter\s*/Standard", d) or revision not in (2, 3, 4) or v not in (1, 2, 4):
-        return "unsupported", None, None
-    n = 5 if revision == 2 else (16 if v == 4 else whole("Length", 40) // 8)
-    file_id = literal_bytes(m[1]) if (m := re.search(rf"/ID\s*\[\s*({STRING.pattern})", trailer)) else b""
-    o, u, p = found("O")[:32], found("U")[:32], whole("P", 0)
-    metadata = not re.search(r"/EncryptMetadata\s+false", d)
-    cipher = "aes" if v == 4 and re.search(r"/CFM\s*/AESV2", d) else "none" if v == 4 and re.search(r"/StmF\s*/Identity", d) else "rc4"
-    given = (password or "").encode("latin-1", "replace")
-    for candidate in (given, owner_to_user(given, o, revision, n)):
-        key = user_key(candidate, o, p, file_id, revision, n, metadata)
-        if len(u) >= 16 and user_check(key, file_id, revision)[:16] == u[:16]:
-            return "ok", key, cipher
-    return ("bad_password" if password else "need_password"), None, None
+    begin = F.struct(digest(F.concat(password, salt, more), 256).alias("k"), F.lit(0).alias("last"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, turn, lambda s: F.substring(s["k"], F.lit(1), F.lit(32)))
 
 
-def file_keys(files: DataFrame, encrypt_dicts: DataFrame, password: str | None) -> DataFrame:
-    """(doc_id, status, key, cipher) of encrypted files; encrypt_dicts has (doc_id, dict) of their encryption dictionaries."""
+def salted_hash(password: Column, salt: Column, more: Column, revision: Column) -> Column:
+    return F.when(revision == 5, F.unhex(F.sha2(F.concat(password, salt, more), 256))).otherwise(hardened_hash(password, salt, more))
 
-    @F.pandas_udf(KEYS)
-    def derive(d: pd.Series, trailer: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([file_key(a, b, password) for a, b in zip(d, trailer)], columns=["status", "key", "cipher"])
 
-    trailer = files.select("doc_id", F.concat_ws(" ", F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"/ID\s*\[[^\]]*\]"), F.lit(0))).alias("trailer"))
-    keyed = encrypt_dicts.join(trailer, "doc_id").select("doc_id", derive("dict", "trailer").alias("k"))
-    return keyed.select("doc_id", "k.status", "k.key", "k.cipher")
+def wrapped_key(password: Column, o: Column, u: Column, oe: Column, ue: Column, revision: Column) -> Column:
+    """The key of a file of revision 5 or 6 that the password opens as its user's or its owner's; null if neither."""
+    part = lambda d, at, n: F.substring(d, F.lit(at), F.lit(n))
+    long_, none = (lambda d, n: F.octet_length(d) >= n), F.lit(EMPTY)
+    by_user = long_(ue, 32) & (salted_hash(password, part(u, 33, 8), none, revision) == part(u, 1, 32))
+    by_owner = long_(o, 48) & long_(oe, 32) & (salted_hash(password, part(o, 33, 8), part(u, 1, 48), revision) == part(o, 1, 32))
+    way = lambda salt, more, held: F.struct(salt.alias("salt"), more.alias("more"), part(held, 1, 32).alias("held"))
+    found = F.when(by_user, way(part(u, 41, 8), none, ue)).when(by_owner, way(part(o, 41, 8), part(u, 1, 48), oe))
+    return let(found, lambda w: F.when(w.isNotNull(), opened_blocks(w["held"], salted_hash(password, w["salt"], w["more"], revision), F.lit(bytearray(16)))))
+
+
+def crypt_filter(e: Column, which: str) -> Column:
+    """What an encryption dictionary says of streams (StmF) or strings (StrF): rc4, aes, aes256 or none."""
+    v, name, filters = as_int(get(e, "V")), F.coalesce(as_name(get(e, which)), F.lit("Identity")), get(e, "CF")
+    own = F.try_element_at(F.filter(entries(filters), lambda x: x["k"] == name), F.lit(-1))["v"]
+    method = F.coalesce(as_name(get(entries(own), "CFM")), F.lit("V2"))
+    by_method = F.when(method == "AESV2", "aes").when(method == "AESV3", "aes256").when(method == "Identity", "none").otherwise("rc4")
+    listed = F.when(name == "Identity", "none").when(F.startswith(own, F.lit("<<")), by_method).otherwise("rc4")
+    return F.when(v >= 5, "aes256").when((v == 4) & F.startswith(filters, F.lit("<<")), listed).otherwise("rc4")
+
+
+def file_keys(dicts: DataFrame) -> DataFrame:
+    """(doc_id, status, key, streams, strings) of encrypted files (doc_id, dict, file_id, password): dict is the text of the encryption dictionary, a null password is the empty one.
+
+    status is ok, need_password (none was given), bad_password, malformed (revision 5 or 6 without what passwords are checked by) or
+    unsupported; key is null unless ok. streams and strings name the ciphers of these.
+    """
+
+    @F.pandas_udf("binary")
+    def legacy(password: pd.Series, o: pd.Series, u: pd.Series, p: pd.Series, file_id: pd.Series, revision: pd.Series, n: pd.Series, metadata: pd.Series) -> pd.Series:
+        rows = zip(password, o, u, p, file_id, revision, n, metadata)
+        return pd.Series([legacy_key(row[0], *row[1:]) if row[5] in (2, 3, 4) else None for row in rows], dtype=object)
+
+    e = F.col("entries")
+    whole = lambda k, default: F.coalesce(as_int(get(e, k)), F.lit(default).cast("long"))
+    held = lambda k: F.coalesce(F.encode(as_bytes(get(e, k)), LATIN), F.lit(EMPTY))
+    size = F.when(F.col("r") == 2, 5).otherwise(F.greatest(F.least(F.floor(whole("Length", 40) / 8), F.lit(16)), F.lit(5)))
+    size = F.when((F.col("v") == 4) & get(e, "Length").isNull(), 16).otherwise(size)
+    read = dicts.withColumn("entries", entries(F.col("dict"))).withColumn("v", whole("V", 0)).withColumn("r", whole("R", 0))
+    read = read.select(
+        "doc_id", "password", "r", F.coalesce("file_id", F.lit(EMPTY)).alias("file_id"), *(held(k).alias(k.lower()) for k in ("O", "U", "OE", "UE")), whole("P", 0).alias("p"), size.cast("int").alias("n"),
+        F.coalesce(get(e, "EncryptMetadata") != "false", F.lit(True)).alias("metadata"), (as_name(get(e, "Filter")) == "Standard").alias("known"), crypt_filter(e, "StmF").alias("streams"), crypt_filter(e, "StrF").alias("strings"),
+    )
+    old = legacy("password", F.substring("o", 1, 32), F.substring("u", 1, 32), "p", "file_id", "r", "n", "metadata")
+    given = F.encode(F.coalesce("password", F.lit("")), "UTF-8")
+    new = F.when(F.col("r").isin(5, 6) & (F.octet_length("u") >= 48), wrapped_key(given, *map(F.col, ("o", "u", "oe", "ue", "r"))))
+    keyed = read.withColumn("key", F.when(F.col("r").between(2, 4), old).otherwise(new))
+    failed = F.when(F.col("password").isNull(), "need_password").otherwise("bad_password")
+    able = F.coalesce(F.col("known"), F.lit(False)) & F.col("r").between(2, 6)
+    status = F.when(~able, "unsupported").when((F.col("r") >= 5) & (F.octet_length("u") < 48), "malformed").when(F.col("key").isNull(), failed).otherwise("ok")
+    return keyed.select("doc_id", status.alias("status"), F.when(able, F.col("key")).alias("key"), "streams", "strings")
 
 
 def object_key(key: Column, num: Column, gen: Column, aes: bool) -> Column:
@@ -116,23 +189,29 @@ def object_key(key: Column, num: Column, gen: Column, aes: bool) -> Column:
     return F.substring(digest, F.lit(1), F.least(F.octet_length(key) + 5, F.lit(16)))
 
 
+def by_aes(data: Column, key: Column, num: Column, gen: Column, cipher: Column) -> Column:
+    return F.when(cipher == "aes256", opened(data, key)).otherwise(opened(data, object_key(key, num, gen, True)))
+
+
 def decrypt(data: Column, key: Column, num: Column, gen: Column, cipher: Column) -> Column:
-    """Bytes of a stream decrypted; damaged AES data give null."""
+    """Bytes of a stream decrypted; AES data that are no whole blocks are empty."""
 
     @F.pandas_udf("binary")
     def run(data: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None or k is None else rc4(k, d) for d, k in zip(data, key)])
+        return pd.Series([None if d is None or k is None else rc4(k, d) for d, k in zip(data, key)], dtype=object)
 
-    by_aes = F.try_aes_decrypt(data, object_key(key, num, gen, True), F.lit("CBC"), F.lit("PKCS"))
-    return F.when(cipher == "aes", by_aes).when(cipher == "none", data).otherwise(run(data, object_key(key, num, gen, False)))
+    coded = F.when(cipher == "rc4", data)  # other data need not go to Python
+    return F.when(cipher == "none", data).when(cipher == "rc4", run(coded, object_key(key, num, gen, False))).otherwise(by_aes(data, key, num, gen, cipher))
 
 
 def decrypt_strings(d: Column, key: Column, num: Column, gen: Column, cipher: Column) -> Column:
-    """A dictionary's text with its strings decrypted and written as hex; AES strings are left as they are."""
+    """A value's text whose strings, at any depth, are decrypted and written as hex; what else is there stays as it is."""
 
-    @F.pandas_udf("string")
-    def run(d: pd.Series, key: pd.Series) -> pd.Series:
-        plain = lambda text, k: STRING.sub(lambda m: f"<{rc4(k, literal_bytes(m[0])).hex()}>", text)
-        return pd.Series([t if k is None or t is None else plain(t, k) for t, k in zip(d, key)])
+    @F.pandas_udf("array<binary>")
+    def run(data: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None or k is None else [None if x is None else rc4(k, x) for x in d] for d, k in zip(data, key)], dtype=object)
 
-    return F.when(cipher == "rc4", run(d, object_key(key, num, gen, False))).otherwise(d)
+    coded = F.transform(every(d, PIECE, 2), lambda s: F.encode(as_bytes(F.nullif(s, F.lit(""))), LATIN))
+    plain = F.when(cipher == "rc4", run(F.when(cipher == "rc4", coded), object_key(key, num, gen, False))).otherwise(F.transform(coded, lambda s: by_aes(s, key, num, gen, cipher)))
+    written = F.zip_with(every(d, PIECE, 1), plain, lambda gap, s: F.concat(gap, F.coalesce(F.concat(F.lit("<"), F.hex(s), F.lit(">")), F.lit(""))))
+    return F.when(cipher == "none", d).otherwise(F.array_join(written, ""))

@@ -172,6 +172,102 @@ def test_encrypted_files(load):
     assert titles[0] == titles[1] == "Secret" and titles[2] is None
 
 
+def locked_256(spark, password: str, owner: str, revision: int) -> bytes:
+    """A one-page file encrypted as revisions 5 and 6 say, by hashlib and the JVM's own cipher."""
+    import hashlib
+    import os
+
+    crypto = spark._jvm.javax.crypto
+
+    def aes(key: bytes, iv: bytes, data: bytes) -> bytes:
+        cipher = crypto.Cipher.getInstance("AES/CBC/NoPadding")
+        cipher.init(1, crypto.spec.SecretKeySpec(key, "AES"), crypto.spec.IvParameterSpec(iv))
+        return bytes(cipher.doFinal(data))
+
+    def digest(word: bytes, salt: bytes, more: bytes) -> bytes:
+        k = hashlib.sha256(word + salt + more).digest()
+        rounds = 0
+        while revision == 6:
+            e = aes(k[:16], k[16:32], (word + k + more) * 64)
+            k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[int.from_bytes(e[:16], "big") % 3](e).digest()
+            rounds += 1
+            if rounds >= 64 and e[-1] <= rounds - 32:
+                break
+        return k[:32]
+
+    def entry(word: bytes, more: bytes) -> tuple[bytes, bytes]:
+        check, wrap = os.urandom(8), os.urandom(8)
+        return digest(word, check, more) + check + wrap, aes(digest(word, wrap, more), bytes(16), key)
+
+    key = os.urandom(32)
+    u, ue = entry(password.encode(), b"")
+    o, oe = entry(owner.encode(), u)
+
+    def seal(data: bytes) -> bytes:
+        iv, pad = os.urandom(16), 16 - len(data) % 16
+        return iv + aes(key, iv, data + bytes([pad]) * pad)
+
+    bodies = [
+        "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", "<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>", stream(seal(TEXT)), "<< /Type /Font /Subtype /Type1 >>",
+        f"<< /Filter /Standard /V 5 /R {revision} /P -44 /O <{o.hex()}> /U <{u.hex()}> /OE <{oe.hex()}> /UE <{ue.hex()}> /CF << /StdCF << /CFM /AESV3 >> >> /StmF /StdCF /StrF /StdCF >>", f"<< /Title <{seal(b'Secret').hex()}> /Keys [(short) <{seal(b'In').hex()}>] >>",
+    ]
+    return build(bodies, 1, "/Info 7 0 R /Encrypt 6 0 R")
+
+
+def test_revisions_5_and_6_with_a_password_a_file(spark):
+    made = [(password, owner, r) for r in (5, 6) for password, owner in (("", "own"), ("pässword", "own"))]
+    given = [None, "pässword", "own", "no", ""]
+    made = [bytearray(locked_256(spark, *m)) for m in made]
+    rows = [(10 * i + j, m, word) for i, m in enumerate(made) for j, word in enumerate(given)]
+    rows.append((99, bytearray(build(["<< /Type /Catalog >>", "<< /Filter /Standard /V 5 /R 6 /U <00> >>"], 1, "/Encrypt 2 0 R")), "x"))
+    rows.append((98, bytearray(build(["<< /Type /Catalog >>", "<< /Filter /Other /V 5 /R 6 >>"], 1, "/Encrypt 2 0 R")), "x"))
+    files = spark.createDataFrame(rows, "doc_id long, content binary, password string").cache()
+    status = {r.doc_id: r.status for r in pdf.encryption(files, pdf.objects(files)).collect()}
+    want = {0: ["ok", "bad_password", "ok", "bad_password", "ok"], 1: ["need_password", "ok", "ok", "bad_password", "bad_password"]}
+    assert status == {10 * i + j: want[i % 2][j] for i in range(4) for j in range(5)} | {99: "malformed", 98: "unsupported"}
+    objs = pdf.objects(files, "unused", decrypting=True).cache()
+    ok = {d for d, s in status.items() if s == "ok"}
+    assert {r.doc_id: bytes(r.stream) for r in objs.where("num = 4").collect()} == {d: TEXT for d in ok}
+    info = {r.doc_id: r.dict for r in objs.where("num = 7").collect()}
+    assert info == {d: "<< /Title <536563726574> /Keys [<> <496E>] >>" for d in ok}
+
+
+def test_crypt_filters_tell_streams_and_strings_apart(spark):
+    from pyspark.sql import functions as F
+
+    from foliospark.sources import security as sec
+
+    said = {
+        "/V 2": ("rc4", "rc4"), "/V 4": ("rc4", "rc4"), "/V 5 /StmF /Identity": ("aes256", "aes256"), "/V 4 /CF << >> /StrF /No": ("none", "rc4"),
+        "/V 4 /CF << /A << /CFM /AESV2 >> /B << /CFM /AESV3 >> >> /StmF /A /StrF /B": ("aes", "aes256"), "/V 4 /CF << /A << >> /B << /CFM /Identity >> >> /StmF /A /StrF /B": ("rc4", "none"),
+    }
+    from foliospark.sources import syntax as sx
+
+    e = sx.entries(F.concat(F.lit("<< "), "s", F.lit(" >>")))
+    df = spark.createDataFrame([(s,) for s in said], "s string").select("s", sec.crypt_filter(e, "StmF").alias("a"), sec.crypt_filter(e, "StrF").alias("b"))
+    assert {r.s: (r.a, r.b) for r in df.collect()} == said
+    plain = {"/Filter /Crypt": True, "/Filter [/FlateDecode /Crypt] /DecodeParms [null << /Name /Identity >>]": True, "/Filter /Crypt /DecodeParms << /Name /StdCF >>": False, "/Filter /FlateDecode": False, "/A 1": False}
+    df = spark.createDataFrame([(s,) for s in plain], "s string").select("s", pdf._left_plain(e).alias("a"))
+    assert {r.s: r.a for r in df.collect()} == plain
+
+
+def test_strings_of_locked_dictionaries(spark):
+    from pyspark.sql import functions as F
+
+    from foliospark.sources import security as sec
+
+    key = bytes(range(16))
+    text = "<< /A (a\\)b (c) d) % (no\n /B [<6162> () << /C 1 >>] /D 1 ( >>"
+    zero = F.lit(0).cast("long")
+    plain = spark.range(1).select(sec.decrypt_strings(F.lit(text), F.lit(bytearray(key)), zero, zero, F.lit("rc4")).alias("x")).first().x
+    import hashlib
+
+    own = hashlib.md5(key + bytes(5)).digest()
+    assert plain == f"<< /A <{sec.rc4(own, b'a)b (c) d').hex().upper()}> % (no\n /B [<{sec.rc4(own, b'ab').hex().upper()}> <> << /C 1 >>] /D 1 ( >>"
+    left = spark.range(1).select(sec.decrypt_strings(F.lit(text), F.lit(bytearray(key)), zero, zero, F.lit("none")).alias("x")).first().x
+    assert left == text
+
+
 def test_nesting_comments_and_updates(load):
     page = one_page(b"% a note (no) Tj\nBT /F1 9 Tf (ok) Tj ET").replace(b"<< /Type /Page /Parent", b"<< /Group << /Type /Group /Contents 9 0 R >> % /Type /Nothing\n/Type /Page /Parent")
     partial = b"<< /Type /Font /ToUnicode 6 0 R /Encoding << /Differences [66 /Omega /bullet] >> >>"
