@@ -226,7 +226,7 @@ def test_revisions_5_and_6_with_a_password_a_file(spark):
     want = {0: ["ok", "bad_password", "ok", "bad_password", "ok"], 1: ["need_password", "ok", "ok", "bad_password", "bad_password"]}
     assert status == {10 * i + j: want[i % 2][j] for i in range(4) for j in range(5)} | {99: "malformed", 98: "unsupported"}
     objs = pdf.objects(files, "unused", decrypting=True).cache()
-    ok = {d for d, s in status.items() if s == "ok"}
+    ok = {d for d, s in status.items() if s == "ok"} - {0, 20}  # files without a password of their own are tried with the one given
     assert {r.doc_id: bytes(r.stream) for r in objs.where("num = 4").collect()} == {d: TEXT for d in ok}
     info = {r.doc_id: r.dict for r in objs.where("num = 7").collect()}
     assert info == {d: "<< /Title <536563726574> /Keys [<> <496E>] >>" for d in ok}
