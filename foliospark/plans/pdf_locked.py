@@ -12,7 +12,7 @@ from foliospark.plans.pdf_files import file_of, say, stream_of
 from foliospark.plans.relational_queries import table
 from foliospark.sources import pdf, syntax
 from foliospark.sources import security as sec
-from foliospark.storage import staged
+from foliospark.storage import relation
 
 col, lit = F.col, F.lit
 FILE_ID = b"0123456789abcdef"
@@ -53,7 +53,7 @@ def locked_customers(spark, sf_dir) -> DataFrame:
     late, none = col("r") >= 5, lit(sec.EMPTY)
     c = c.withColumn("u", F.when(late, check(col("user"), "u", none)).otherwise(col("old.u")))
     c = c.withColumn("o", F.when(late, check(col("owner"), "o", col("u"))).otherwise(col("old.o"))).withColumn("ue", F.when(late, wrap(col("user"), "u", none))).withColumn("oe", F.when(late, wrap(col("owner"), "o", col("u"))))
-    c = staged(c.withColumn("key", F.when(late, new).otherwise(col("old.key"))).drop("old"), "pdf-locks")
+    c = relation(c.withColumn("key", F.when(late, new).otherwise(col("old.key"))).drop("old"), "pdf-locks")
 
     def seal(data: Column, num: int) -> Column:
         n, iv = [lit(x).cast("long") for x in (num, 0)], F.unhex(F.md5(say(str(num), k)))
@@ -71,8 +71,8 @@ def locked_customers(spark, sf_dir) -> DataFrame:
 
 def pdf_encrypted(spark, sf_dir):
     """What passwords open, and the strings and streams of files that they do."""
-    files = staged(locked_customers(spark, sf_dir), "pdf-locked")
-    objs = staged(pdf.objects(files, decrypting=True), "pdf-objects")
+    files = relation(locked_customers(spark, sf_dir), "pdf-locked")
+    objs = relation(pdf.objects(files, decrypting=True), "pdf-objects")
     e = col("entries")
     keys = pdf.encryption(files, objs).select("doc_id", "status", "streams", "strings")
     revision = pdf.trailer(objs).select("doc_id", syntax.as_int(syntax.get(syntax.entries(syntax.get(e, "Encrypt")), "R")).alias("revision"))
