@@ -4,6 +4,7 @@ import base64
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.functions import codecs
 from foliospark.sources import pdf
@@ -385,3 +386,14 @@ def test_codes_of_varying_length(load):
     ops, fonts = pdf.operations(units), pdf.fonts(units, o).cache()
     assert [r.text for r in pdf.page_text(ops, fonts).collect()] == ["AぃBあ"]  # the last byte begins no code and has no text
     assert [(r.code, r.cid) for r in pdf.shown_codes(ops, fonts).orderBy("place").collect()] == [(0x41, 9), (0x8142, 502), (0x42, 0x42), (0x8141, 501), (0x81, 0x81)]
+
+
+def test_long_texts_do_not_search_long_maps_for_each_character(spark):
+    from time import monotonic
+
+    pairs = " ".join(f"<{i:04X}> <{i + 1:04X}>" for i in range(2000))
+    d = spark.createDataFrame([("\x00A\x07\xcf" * 100_000, f"beginbfchar {pairs} endbfchar")], "raw string, cmap string")
+    d = d.select("raw", pdf.unicode_ranges(F.col("cmap")).alias("ranges"), F.lit(None).cast("array<struct<code:int,text:string>>").alias("differences")).localCheckpoint()
+    begin = monotonic()
+    (row,) = d.select(pdf.shown(F.col("raw"), F.lit(True), F.col("ranges"), F.col("differences"), F.lit("WinAnsiEncoding"), F.lit(r"[\s\S]{2}")).alias("text")).collect()
+    assert row.text == "Bߐ" * 100_000 and monotonic() - begin < 6
