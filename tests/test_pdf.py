@@ -397,3 +397,24 @@ def test_long_texts_do_not_search_long_maps_for_each_character(spark):
     begin = monotonic()
     (row,) = d.select(pdf.shown(F.col("raw"), F.lit(True), F.col("ranges"), F.col("differences"), F.lit("WinAnsiEncoding"), F.lit(r"[\s\S]{2}")).alias("text")).collect()
     assert row.text == "Bߐ" * 100_000 and monotonic() - begin < 6
+
+
+@pytest.mark.parametrize(("encode", "decode", "seconds"), [
+    (codecs.ascii85_encode, codecs.ascii85, 0.7), (lambda d: codecs.png_encode(d, 64), lambda d: codecs.png_predictor(d, 64)[:1_600_000], 1.6), (codecs.lzw_encode, codecs.lzw, None),
+])
+def test_filters_read_long_data_back_in_time(encode, decode, seconds):
+    from time import monotonic
+
+    data = b"".join(b"%07d " % (i * i) for i in range(200_000))[:1_600_000]
+    begin = monotonic()
+    assert decode(encode(data)) == data
+    assert seconds is None or monotonic() - begin < seconds
+
+
+def test_filters_at_their_edges():
+    assert codecs.ascii85(b"zab z~") == bytes(4) + codecs.ascii85(b"ab") and codecs.ascii85(b"!!z!!!") == bytes(4) and codecs.ascii85(b"a") == codecs.ascii85(b"") == b""
+    for data in (b"", b"a", bytes(9), bytes(range(256)) * 40, b"ab" * 30_000):
+        assert codecs.ascii85(codecs.ascii85_encode(data)) == data and codecs.ascii85_encode(data) == base64.a85encode(data) + b"~>"
+        for early in (0, 1):
+            assert codecs.lzw(codecs.lzw_encode(data, early), early) == data
+            assert data.startswith(codecs.lzw(codecs.lzw_encode(data, early)[:-2], early))
