@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import read
+from foliospark.llm.common import read, scratch, staged
 
 CUT = 0.7
 _UPPER, _LOWER, _DIGIT = np.arange(65, 91), np.arange(97, 123), np.arange(48, 58)
@@ -74,19 +74,21 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int, ridge: float = 1e-3
 def fit_ranking(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pairs: int = 60_000) -> dict | None:
     """Model from docs (doc_id, text) and labels (doc_id, quality); None unless both classes are there.
 
-    Labels of about max_rows rows at most, chosen by a hash of doc_id, are broadcast to pick the documents to learn from, and only
-    the features of those come to the driver. The share of bad documents is that of all labels.
+    All labelled documents are learned from. Up to max_rows labels the features of their documents come to the driver, which draws
+    the pairs; more stay in Spark (fit_dealt), and three pairs are drawn for each of them. The share of bad documents is that of all labels.
     """
     known = labels.where("quality is not null").select(F.col("doc_id").alias("of"), "quality")
     total, bad_share = known.agg(F.count("*"), F.avg(F.when(F.col("quality") == 1, 0.0).otherwise(1.0))).first()
     if not total or bad_share in (0.0, 1.0):
         return None
-    picked = known.where(F.pmod(F.xxhash64(F.lit("rank"), "of"), F.lit(1_000_000)) < min(1.0, max_rows / total) * 1_000_000)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked.select("of").distinct()), F.col("doc_id") == F.col("of"), "left_semi")
+    if total > max_rows:
+        both = document_features(docs).join(known, F.col("doc_id") == F.col("of"))
+        return fit_dealt(both.select("doc_id", "x", (F.col("quality") == 1).alias("good")), bad_share, max_rows)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known.select("of").distinct()), F.col("doc_id") == F.col("of"), "left_semi")
     found: dict[int, list] = {}
     for r in document_features(chosen).collect():
         found.setdefault(r.doc_id, []).append(r.x)
-    rows = sorted((r.of, r.quality == 1, x) for r in picked.collect() for x in found.get(r.of, ()))
+    rows = sorted((r.of, r.quality == 1, x) for r in known.collect() for x in found.get(r.of, ()))
     x, y = np.array([r[2] for r in rows], float), np.array([r[1] for r in rows], bool)
     if not len(rows) or y.all() or not y.any():
         return None
@@ -96,6 +98,112 @@ def fit_ranking(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pair
     return {"mean": mean, "scale": scale, "w": w, "cut": float(np.quantile(z @ w, bad_share))}
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a column of lists of equal length."""
+    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+
+
+def _summed(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum of part (numbers of one shape) over the batches of df; a row of numbers a task comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + part(batch)
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["v"])
+
+    return sum(np.array(r.v) for r in df.mapInArrow(run, "v array<double>").collect())
+
+
+def quantile(values: DataFrame, share: float, n: int, few: int = 10_000) -> float:
+    """The exact quantile of the n numbers v of values, interpolated like numpy's: bins are counted, and the one with the wanted rank again, until it holds few numbers or one."""
+    at = share * (n - 1)
+
+    def ranked(rank: int) -> float:
+        left = values
+        while True:
+            count, lo, hi = left.agg(F.count("*"), F.min("v"), F.max("v")).first()
+            if lo == hi:
+                return lo
+            if count <= few:
+                return sorted(r.v for r in left.collect())[rank]
+            cell = F.least(F.floor((F.col("v") - lo) / (hi - lo) * 1000), F.lit(999))
+            for r in sorted(left.groupBy(cell.alias("cell")).count().collect()):
+                if rank < r["count"]:
+                    left = left.where(cell == r.cell)
+                    break
+                rank -= r["count"]
+
+    low = ranked(math.floor(at))
+    return low if at == math.floor(at) else low + (ranked(math.floor(at) + 1) - low) * (at - math.floor(at))
+
+
+def fit_dealt(rows: DataFrame, bad_share: float, deal: int = 20_000, ridge: float = 1e-3, steps: int = 25) -> dict | None:
+    """The model of rows (doc_id, x, good), all of them, in Spark: sums, gradients and Hessians are added up over tasks.
+
+    Rows are dealt by a hash of doc_id and features to groups of about `deal`. A group's pairs use each of its rows, three pairs a row. A class
+    of fewer than 100 rows a group is dealt to every group.
+    """
+    with scratch():
+        rows = staged(rows, "quality-rows")
+        n, n_good = rows.agg(F.count("*"), F.count_if("good")).first()
+        if n_good in (0, n):
+            return None
+        d = len(rows.first().x)
+        moments = lambda b: np.stack([(x := _matrix(b.column(1))).sum(axis=0), (x * x).sum(axis=0)])
+        first, second = _summed(rows, moments).reshape(2, d) / n
+        mean, scale = first, np.sqrt(np.maximum(second - first * first, 0)) + 1e-6
+        groups = max(1, n // deal)
+        own = F.pmod(F.xxhash64("doc_id", "x"), F.lit(groups)).cast("int")
+        rare = {good for good, held in ((True, n_good), (False, n - n_good)) if held < 100 * groups}
+        everywhere = F.sequence(F.lit(0), F.lit(groups - 1))
+        dealt = rows.withColumn("g", F.explode(F.when(F.col("good").isin(*rare), everywhere).otherwise(F.array(own)) if rare else F.array(own)))
+
+        def drawn(part: pa.Table) -> pa.Table:
+            g, good = part.column("g")[0].as_py(), np.asarray(part.column("good"))
+            z = np.clip((_matrix(part.column("x").combine_chunks()) - mean) / scale, -8, 8).astype(np.float32)
+            z = z[np.lexsort((*z.T, good))]
+            good, draw = np.sort(good), np.random.default_rng(g)
+            sides = []
+            for side in (z[good], z[~good]):
+                laps = -(-3 * len(z) // max(1, len(side)))
+                sides.append(np.concatenate([side[draw.permutation(len(side))] for _ in range(laps)])[: 3 * len(z)])
+            if not len(sides[0]) or not len(sides[1]):
+                sides = [np.zeros((0, d), np.float32)] * 2
+            diff = sides[0] - sides[1]
+            return pa.table({"diff": pa.array([x.tobytes() for x in np.array_split(diff, max(1, len(diff) // 4000))], pa.binary())})
+
+        pairs = staged(dealt.groupBy("g").applyInArrow(drawn, "diff binary"), "quality-pairs")
+        w = np.zeros(d)
+        for _ in range(steps):
+
+            def slopes(batch: pa.RecordBatch, w: np.ndarray = w) -> np.ndarray:
+                total = np.zeros((d + 2, d))
+                for raw in batch.column(0):
+                    diff = np.frombuffer(raw.as_py(), np.float32).reshape(-1, d).astype(float)
+                    p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
+                    total[0] += diff.T @ (1 - p)
+                    total[1] += len(diff)
+                    total[2:] += (diff * (p * (1 - p))[:, None]).T @ diff
+                return total
+
+            total = _summed(pairs, slopes).reshape(d + 2, d)
+            step = np.linalg.solve(total[2:] / total[1, 0] + ridge * np.eye(d), total[0] / total[1, 0] - ridge * w)
+            w = w + step
+            if np.abs(step).max() < 1e-6:
+                break
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                z = np.clip((_matrix(batch.column(0)) - mean) / scale, -8, 8)
+                yield pa.RecordBatch.from_arrays([pa.array(z @ w)], names=["v"])
+
+        values = staged(rows.select("x").mapInArrow(score, "v double"), "quality-values")
+        return {"mean": mean, "scale": scale, "w": w, "cut": quantile(values, bad_share, n)}
+
+
 def score_rows(x: np.ndarray, model: dict | None) -> np.ndarray:
     if model is None or not len(x):
         return np.full(len(x), 0.5)

@@ -418,3 +418,17 @@ def test_runs_are_read_as_they_lie(spark):
     both = plan(line_dedup.merged(*index.runs()))
     assert "Exchange" not in both and "Sort " not in both and "SortMergeJoin" in both
     assert {(r.h1, r.n_docs, r.last_doc) for r in index.table().collect()} == {(k, 4, 350 + k) for k in range(50)}
+
+
+def test_quality_is_learned_from_all_labels(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    whole, dealt = (quality.fit_ranking(docs, labels, max_rows=n) for n in (10**6, 150))
+    assert np.allclose(whole["mean"], dealt["mean"]) and np.allclose(whole["scale"], dealt["scale"], atol=1e-5)
+    scored = [{r.doc_id: r.score for r in quality.score_quality(docs, m).collect()} for m in (whole, dealt)]
+    assert np.mean([abs(scored[1][d] - v) < 0.1 and (scored[1][d] >= 0.7) == (v >= 0.7) for d, v in scored[0].items()]) > 0.9
+
+
+def test_exact_quantile(spark):
+    v = np.concatenate([np.random.default_rng(3).normal(size=3000), np.full(500, 0.25)])
+    for share in (0.0, 0.31, 0.6, 1.0):
+        assert quality.quantile(spark.createDataFrame([(float(x),) for x in v], "v double"), share, len(v), few=20) == pytest.approx(float(np.quantile(v, share)), abs=1e-12)
