@@ -269,6 +269,7 @@ def halves(groups: DataFrame, length: int) -> DataFrame:
 
     Windows a to b of an anchor have in common the anchor, length - GRAM - b bytes before it and a after it; contexts with windows
     there in common agree in these bytes, which with a and b make the group's key g. A context alone in a group has none in common.
+    least is the first owner of a group, told apart by two hashes: where a is b, all its contexts hold one window.
     """
     reach, size, left = length - GRAM, F.octet_length("context"), F.col("left")
     mid = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
@@ -276,9 +277,9 @@ def halves(groups: DataFrame, length: int) -> DataFrame:
     cut = groups.select("h", "c", "owner", "left", "context", part.alias("p")).select("h", "c", "owner", "left", "context", "p.a", "p.b")
     cut = cut.where(F.greatest(F.col("a"), reach - left) <= F.least(F.col("b"), size - length + reach - left))
     common = F.substring("context", left - reach + F.col("b") + 1, GRAM + reach - F.col("b") + F.col("a"))
-    cut = cut.withColumn("g", F.xxhash64("h", "a", "b", common))
-    counts = cut.groupBy(F.col("g").alias("of")).count().where("count > 1")
-    return cut.join(counts, F.col("g") == F.col("of")).drop("of")
+    cut = cut.withColumns({"g": F.xxhash64("h", "a", "b", common), "g2": F.xxhash64(F.lit("second"), "h", "a", "b", common)})
+    counts = cut.groupBy(F.col("g").alias("of"), F.col("g2").alias("of2")).agg(F.count("*").alias("count"), F.min("owner").alias("least")).where("count > 1")
+    return cut.join(counts, (F.col("g") == F.col("of")) & (F.col("g2") == F.col("of2"))).drop("of", "of2", "g2")
 
 
 def bits_between(a: Column, b: Column) -> Column:
@@ -290,7 +291,7 @@ def bits_between(a: Column, b: Column) -> Column:
 def crowd_masks(groups: DataFrame, length: int, crowd: int, share: int) -> DataFrame:
     """(h, c, owner, mask) of anchors with over `crowd` contexts: their groups are halved until they are small enough to merge.
 
-    A group of one window whose contexts are still over `crowd` all hold that window: its first owner is their minimum.
+    A group of one window whose contexts are still over `crowd` all hold that window: its first owner is their least, known since the group was counted.
     """
     reach, small, equal = length - GRAM, [], []
     groups = groups.select("h", "c", "owner", "left", "context", F.lit(0).alias("a"), F.lit(reach).alias("b"))
@@ -305,10 +306,7 @@ def crowd_masks(groups: DataFrame, length: int, crowd: int, share: int) -> DataF
     for more, alike in zip(small[1:], equal[1:]):
         merging, same = merging.unionByName(more), same.unionByName(alike)
     masks = merged_masks(merging.withColumn("bits", bits_between(F.col("a"), F.col("b"))), length, max(1, -(-merging.count() // share)))
-    window = F.substring("context", F.col("left") - reach + F.col("a") + 1, F.lit(length))
-    same = same.select("h", "c", "owner", bits_between(F.col("a"), F.col("a")).alias("bit"), F.xxhash64(window).alias("w1"), F.xxhash64(F.lit("second"), window).alias("w2"))
-    first = same.groupBy("w1", "w2").agg(F.min("owner").alias("first"))
-    alike = same.join(first, ["w1", "w2"]).where("first < owner").select("h", "c", "owner", F.col("bit").alias("mask"))
+    alike = same.where("least < owner").select("h", "c", "owner", bits_between(F.col("a"), F.col("a")).alias("mask"))
     return masks.unionByName(alike).groupBy("h", "c", "owner").agg(F.bit_or("mask").alias("mask"))
 
 

@@ -213,6 +213,16 @@ def brute_passages(data, length=50):
     return out
 
 
+def test_window_of_a_crowd_knows_its_first_owner(spark):
+    r = random.Random(5)
+    some = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    common = some(50)
+    contexts = spark.createDataFrame([(7, k, 10 + k, 30, bytearray(some(19) + bytes([65 + k]) + common + bytes([65 + k]) + some(9))) for k in range(6)], "h long, c long, owner long, left int, context binary")
+    masks = suffix_dedup.crowd_masks(contexts, 50, crowd=2, share=20_000)
+    assert "Join" not in masks._jdf.queryExecution().optimizedPlan().toString()  # windows are not joined with their first owners
+    assert sorted((m.owner, m.mask) for m in masks.collect()) == [(10 + k, 1 << 20) for k in range(1, 6)]
+
+
 @pytest.mark.parametrize(("crowd", "share"), [(5000, 20_000), (2, 20_000), (5000, 15)])
 def test_passages_match_brute_force(spark, crowd, share):
     draw = random.Random(11)
