@@ -265,21 +265,29 @@ def merged_masks(contexts: DataFrame, length: int, tasks: int, chunk: int = 1000
 
 
 def halves(groups: DataFrame, length: int) -> DataFrame:
-    """groups (h, c, owner, left, context, a, b), each to decide its windows a to b, as groups of half as many windows.
+    """groups (h, c, owner, left, context, a, b), each to decide its windows a to b, as groups of half as many windows, staged.
 
     Windows a to b of an anchor have in common the anchor, length - GRAM - b bytes before it and a after it; contexts with windows
     there in common agree in these bytes, which with a and b make the group's key g. A context alone in a group has none in common.
-    least is the first owner of a group, told apart by two hashes: where a is b, all its contexts hold one window.
+    lo to hi are those of the windows that the context has. Contexts whose windows lo to hi are all the same are a class, told apart by
+    two hashes: least is its first owner. total counts the contexts of a group, classes its classes, firsts the contexts of their first owners.
     """
     reach, size, left = length - GRAM, F.octet_length("context"), F.col("left")
     mid = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
     part = F.explode(F.array(F.struct(F.col("a").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("b").alias("b"))))
     cut = groups.select("h", "c", "owner", "left", "context", part.alias("p")).select("h", "c", "owner", "left", "context", "p.a", "p.b")
-    cut = cut.where(F.greatest(F.col("a"), reach - left) <= F.least(F.col("b"), size - length + reach - left))
+    cut = cut.withColumns({"lo": F.greatest(F.col("a"), reach - left), "hi": F.least(F.col("b"), size - length + reach - left)}).where("lo <= hi")
     common = F.substring("context", left - reach + F.col("b") + 1, GRAM + reach - F.col("b") + F.col("a"))
-    cut = cut.withColumns({"g": F.xxhash64("h", "a", "b", common), "g2": F.xxhash64(F.lit("second"), "h", "a", "b", common)})
-    counts = cut.groupBy(F.col("g").alias("of"), F.col("g2").alias("of2")).agg(F.count("*").alias("count"), F.min("owner").alias("least")).where("count > 1")
-    return cut.join(counts, (F.col("g") == F.col("of")) & (F.col("g2") == F.col("of2"))).drop("of", "of2", "g2")
+    whole = F.substring("context", left - reach + F.col("lo") + 1, length + F.col("hi") - F.col("lo"))
+    own = ["h", "a", "b", "lo", "hi", whole]
+    cut = cut.withColumns({"g": F.xxhash64("h", "a", "b", common), "u": F.xxhash64(*own), "v": F.xxhash64(F.lit("second"), *own)})
+    cut = staged(cut, "anchor-halves")  # counted and joined: halved and hashed once
+    owners = cut.groupBy("u", "v", "owner").agg(F.count("*").alias("n"), F.first("g").alias("g"))
+    classes = owners.groupBy(F.col("u").alias("of_u"), F.col("v").alias("of_v")).agg(F.first("g").alias("in_g"), F.min("owner").alias("least"), F.min_by("n", "owner").alias("first_n"), F.sum("n").alias("all_n"))
+    counts = classes.groupBy(F.col("in_g").alias("of_g")).agg(F.sum("all_n").alias("total"), F.sum("first_n").alias("firsts"), F.count("*").alias("classes")).where("total > 1")
+    known = classes.join(counts, F.col("in_g") == F.col("of_g")).select("of_u", "of_v", "least", "total", "firsts", "classes")
+    parts = cut.join(known, (F.col("u") == F.col("of_u")) & (F.col("v") == F.col("of_v"))).drop("of_u", "of_v", "u", "v")
+    return staged(parts, "anchor-parts", [cut])
 
 
 def bits_between(a: Column, b: Column) -> Column:
@@ -291,22 +299,24 @@ def bits_between(a: Column, b: Column) -> Column:
 def crowd_masks(groups: DataFrame, length: int, crowd: int, share: int) -> DataFrame:
     """(h, c, owner, mask) of anchors with over `crowd` contexts: their groups are halved until they are small enough to merge.
 
-    A group of one window whose contexts are still over `crowd` all hold that window: its first owner is their least, known since the group was counted.
+    In a group that is still over `crowd`, contexts with all windows in common leave to their first owner, whose windows they repeat, so
+    only contexts that differ are halved on. Of a single window the first owner is left alone.
     """
     reach, small, equal = length - GRAM, [], []
     groups = groups.select("h", "c", "owner", "left", "context", F.lit(0).alias("a"), F.lit(reach).alias("b"))
     for _ in range(reach.bit_length()):
-        parts = staged(halves(groups, length), "anchor-parts")
-        small.append(parts.where(f"count <= {crowd}"))
-        equal.append(parts.where(f"count > {crowd} and a = b"))
-        groups = parts.where(f"count > {crowd} and a < b")
+        parts = halves(groups, length)
+        first = parts.where(f"total > {crowd} and least = owner and classes > 1")
+        small.append(parts.where(f"total <= {crowd}").unionByName(first.where(f"firsts <= {crowd}")))
+        equal.append(parts.where(f"total > {crowd} and least < owner"))
+        groups = first.where(f"firsts > {crowd}")
         if not groups.limit(1).count():
             break
     merging, same = small[0], equal[0]
     for more, alike in zip(small[1:], equal[1:]):
         merging, same = merging.unionByName(more), same.unionByName(alike)
     masks = merged_masks(merging.withColumn("bits", bits_between(F.col("a"), F.col("b"))), length, max(1, -(-merging.count() // share)))
-    alike = same.where("least < owner").select("h", "c", "owner", bits_between(F.col("a"), F.col("a")).alias("mask"))
+    alike = same.select("h", "c", "owner", bits_between(F.col("lo"), F.col("hi")).alias("mask"))
     return masks.unionByName(alike).groupBy("h", "c", "owner").agg(F.bit_or("mask").alias("mask"))
 
 

@@ -223,6 +223,25 @@ def test_window_of_a_crowd_knows_its_first_owner(spark):
     assert sorted((m.owner, m.mask) for m in masks.collect()) == [(10 + k, 1 << 20) for k in range(1, 6)]
 
 
+def test_contexts_of_a_crowd_leave_once_all_windows_repeat(spark, monkeypatch):
+    r, n, written = random.Random(6), 40, []
+    some = lambda k: bytes(r.randrange(97, 123) for _ in range(k))
+    line = some(65)  # windows 0 to 15 of each context lie in it
+    contexts = [(7, k, 10 + k // 2, 30, line + bytes([100 + k]) + some(14)) for k in range(n)] + [(7, n, 5, 3, line[27:] + bytes([99]) + some(14))]
+    table = spark.createDataFrame([(*c[:4], bytearray(c[4])) for c in contexts], "h long, c long, owner long, left int, context binary")
+    halved = suffix_dedup.halves
+    monkeypatch.setattr(suffix_dedup, "halves", lambda *given: written.append(halved(*given)) or written[-1])
+    masks = {m.c: m.mask for m in suffix_dedup.crowd_masks(table, 50, crowd=2, share=20_000).collect() if m.mask}
+    window = lambda c, j: c[4][c[3] - 30 + j :][:50] if 30 - c[3] <= j <= len(c[4]) - 20 - c[3] else None
+    first = {}
+    for c in contexts:
+        for j in range(31):
+            first[window(c, j)] = min(first.get(window(c, j), 1 << 62), c[2])
+    wanted = {c[1]: sum(1 << j for j in range(31) if window(c, j) and first[window(c, j)] < c[2]) for c in contexts}
+    assert masks == {c: m for c, m in wanted.items() if m}
+    assert sum(t.count() for t in written) < 8 * n  # 31 rows or more a context if all were halved down to single windows
+
+
 @pytest.mark.parametrize(("crowd", "share"), [(5000, 20_000), (2, 20_000), (5000, 15)])
 def test_passages_match_brute_force(spark, crowd, share):
     draw = random.Random(11)
