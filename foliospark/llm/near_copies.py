@@ -1,4 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered set join whose candidates are pruned by Hamming distance.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles.
+
+Sets whose SimHash fingerprints differ in two bits at most are found by the pigeonring join of simhash and compared whole. Near copies of
+a similarity of 4/5 may differ in many more bits, so the rest is found by an exact way that leaves out what these links have joined:
+a prefix-filtered set join whose candidates are pruned by Hamming distance.
 
 Two sets of a similarity of 4/5 or more share a shingle among the first n - ceil(4n/5) + 1 of each, in any order that all sets
 are sorted by. Shingles that are frequent in a sample come last, so prefixes are rare ones; the sample moves work, not results.
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import discard, staged
 from foliospark.llm.components import components
+from foliospark.llm.simhash import links
 
 #: Deals the pairs of a bucket with many sets to tasks, this many sets a block.
 BLOCK = 64
@@ -81,6 +86,15 @@ def parity_sketch(found: np.ndarray, bits: int = 0) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def set_print(found: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of hashes; 0 of the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 65536):
+        part = found[at : at + 65536]
+        ones += np.unpackbits(part.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
 def row_key() -> Column:
     """Digest of doc_id and text."""
     return F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").cast("binary"))
@@ -106,7 +120,7 @@ def frequent(docs: DataFrame, size: int, rows: int = 20_000, most: int = 200_000
 
 
 def prefixes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, k, node, n, sketch, flat, prefix) a row per row of docs: node names the set of n shingles, flat is its sketch in FLAT words, prefix its head in the common order."""
+    """(doc_id, k, node, n, print, sketch, flat, prefix) a row per row of docs: node names the set of n shingles, print is its SimHash, flat its sketch in FLAT words, prefix its head in the common order."""
     late = frequent(docs, size)
     by_hash = np.argsort(late, kind="stable")
     known = late[by_hash]
@@ -126,9 +140,9 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
             sets = [shingle_set(t.as_py(), size) for t in batch.column(2)]
             nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
             longs = [pa.array(x, pa.list_(pa.int64())) for x in (map(parity_sketch, sets), [parity_sketch(s, 64 * FLAT) for s in sets], map(head, sets))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], nodes, pa.array(map(len, sets), pa.int32()), *longs], names=["doc_id", "k", "node", "n", "sketch", "flat", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], nodes, pa.array(map(len, sets), pa.int32()), pa.array(map(set_print, sets), pa.int64()), *longs], names=["doc_id", "k", "node", "n", "print", "sketch", "flat", "prefix"])
 
-    schema = "doc_id long, k string, node long, n int, sketch array<long>, flat array<long>, prefix array<long>"
+    schema = "doc_id long, k string, node long, n int, print long, sketch array<long>, flat array<long>, prefix array<long>"
     return docs.select(F.col("doc_id").cast("long"), row_key().alias("k"), "text").mapInArrow(run, schema)
 
 
@@ -163,6 +177,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int) -
     return staged(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "copy-links", [whole])
 
 
+def print_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b), staged: sets of prints (node, print) to be compared, which connect all whose fingerprints differ in two bits at most.
+
+    Of each fingerprint the least node stands for the others, which are paired with it alone.
+    """
+    groups = staged(prints.groupBy("print").agg(F.min("node").alias("first"), F.count("*").alias("held")), "print-groups")
+    same = prints.join(groups.where("held > 1"), "print").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(groups.select(F.col("print").alias("fp"))).select(F.col("a").alias("pa"), F.col("b").alias("pb"))
+    for x in "ab":
+        near = near.join(groups.select(F.col("print").alias(f"p{x}"), F.col("first").alias(x)), f"p{x}")
+    both = same.unionByName(near.select("a", "b"))
+    return staged(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "print-pairs", [groups])
+
+
 def _sides(met: DataFrame, *more: str) -> list[DataFrame]:
     return [met.select("h", *more, F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("label").alias(f"l{x}"), F.col("flat").alias(f"f{x}"), F.col("mine").alias(f"m{x}")) for x in "ab"]
 
@@ -199,19 +227,24 @@ def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     k is row_key(). Texts of equal sets are copies; null and empty texts have the empty set. No rows give no rows.
     """
     all_rows = staged(prefixes(docs, size), "copy-prefixes")
-    one = staged(all_rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "flat", "prefix"))), "copy-nodes")
+    one = staged(all_rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "print", "sketch", "flat", "prefix"))), "copy-nodes")
     rows = staged(all_rows.select("doc_id", "k", "node"), "copy-rows", [all_rows])
     firsts = staged(rows.groupBy("node").agg(F.min("k").alias("k")), "copy-firsts")  # large groups of copies shrink before the shuffle
     bits = staged(one.select("node", "n", "sketch", "flat"), "copy-sketches")
+    close = staged(_alike(print_pairs(one.select("node", "print")), bits), "copy-likely")
+    edges = _verified(close, docs, firsts, size)
+    known = staged(components(edges), "copy-labels", [close])
     met = _met(one)
     discard(one)
     tops = met.groupBy(F.col("h").alias("of")).agg(F.min(F.struct(-F.col("weight"), "node", "n", "pos")).alias("top"))
     lead = met.join(tops, F.col("h") == F.col("of")).select(F.col("top.node").alias("a"), F.col("top.n").alias("na"), F.col("top.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     lead = lead.where((F.col("a") != F.col("b")) & _possible()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = staged(lead.distinct(), "copy-pairs")
+    for x in "ab":
+        lead = lead.join(known.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left")
+    pairs = staged(lead.where("la is null or lb is null or la != lb").select("a", "b").distinct(), "copy-pairs")
     likely = staged(_alike(pairs, bits), "copy-likely")
-    edges = _verified(likely, docs, firsts, size)
-    labels = staged(components(edges), "copy-labels", [likely])
+    edges = staged(edges.unionAll(_verified(likely, docs, firsts, size)), "copy-links", [edges])
+    labels = staged(components(edges), "copy-labels", [likely, known])
     rest = _rest(met, labels, bits)
     discard(met)
     rest = staged(_alike(rest.join(pairs, ["a", "b"], "left_anti"), bits), "copy-likely", [rest, pairs])

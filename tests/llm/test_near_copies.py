@@ -91,3 +91,17 @@ def test_sketches_bound_the_difference():
         bits = [int.from_bytes(near_copies.parity_sketch(near_copies.np.array(sorted(s), near_copies.np.int64)).tobytes(), "little") for s in (one, two)]
         if n in (5, 300, 3000):
             assert (bits[0] ^ bits[1]).bit_count() <= len(one ^ two)
+
+
+def test_close_fingerprints_link_without_the_set_join(spark, monkeypatch):
+    draw = random.Random(9)
+    texts = [" ".join(f"w{draw.randrange(900)}" for _ in range(300)) for _ in range(6)]
+    data = [(i, t) for i, t in enumerate(texts)] + [(10 + i, t + " more") for i, t in enumerate(texts)]
+    prints = {i: near_copies.set_print(near_copies.shingle_set(t)) for i, t in data}
+    wanted = {i for i in range(6) if ((prints[i] ^ prints[10 + i]) & (2**64 - 1)).bit_count() <= 2}
+    assert wanted
+    met = near_copies._met
+    monkeypatch.setattr(near_copies, "_met", lambda one: met(one).where("false"))
+    found = {r.doc_id: r.component for r in near_copies.near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {i for i in range(6) if found[i] == found[10 + i]} == wanted
+    assert len(set(found.values())) == len(data) - len(wanted)
