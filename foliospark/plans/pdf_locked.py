@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,30 +10,26 @@ from foliospark.plans.pdf_files import file_of, say, stream_of
 from foliospark.plans.relational_queries import table
 from foliospark.sources import pdf, syntax
 from foliospark.sources import security as sec
-from foliospark.storage import relation
+from foliospark.storage import relation, spread
 
 col, lit = F.col, F.lit
 FILE_ID = b"0123456789abcdef"
 
 
-def _old_entry(user: str, owner: str, revision: int) -> tuple:
-    """/O, /U and the key of a file of revision 3 or 4."""
-    if revision > 4:
-        return None, None, None
-    own = hashlib.md5((owner.encode() + sec.PAD)[:32]).digest()
-    for _ in range(50):
-        own = hashlib.md5(own).digest()
-    o = (user.encode() + sec.PAD)[:32]
-    for i in range(20):
-        o = sec.rc4(bytes(k ^ i for k in own), o)
-    key = sec.user_key(user.encode(), o, -44, FILE_ID, revision, 16, True)
-    return o, sec.user_check(key, FILE_ID, revision).ljust(32, b"\0"), key
-
-
 def _old_entries(user: Column, owner: Column, revision: Column) -> Column:
+    """/O, /U and the key of files of revision 3 or 4."""
+
     @F.pandas_udf("struct<o:binary,u:binary,key:binary>")
     def run(user: pd.Series, owner: pd.Series, revision: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_old_entry(*row) for row in zip(user, owner, revision)], columns=["o", "u", "key"])
+        out = [(None, None, None)] * len(user)
+        old = [i for i, r in enumerate(revision) if r <= 4]
+        users, owners, revisions = ([s.iloc[i] for i in old] for s in (user, owner, revision))
+        padded = [(u.encode() + sec.PAD)[:32] for u in users]
+        o = sec.rc4_all([sec.owner_key(w.encode(), r) for w, r in zip(owners, revisions)], padded, range(20))
+        keys = [sec.user_key(u.encode(), of, -44, FILE_ID, r, 16, True) for u, of, r in zip(users, o, revisions)]
+        for i, *entry in zip(old, o, (c.ljust(32, b"\0") for c in sec.user_checks(keys, [FILE_ID] * len(old), revisions)), keys):
+            out[i] = tuple(entry)
+        return pd.DataFrame(out, columns=["o", "u", "key"])
 
     return run(user, owner, revision)
 
@@ -43,7 +37,7 @@ def _old_entries(user: Column, owner: Column, revision: Column) -> Column:
 def locked_customers(spark, sf_dir) -> DataFrame:
     """(doc_id, content, password): a file a customer, of revisions 3 to 6 in turn. Every seventh has an empty user password; of five given passwords two are the user's, one is the owner's, one is wrong, one is missing."""
     k, r = col("c_custkey"), (3 + col("c_custkey") % 4).cast("int")
-    c = table(spark, sf_dir, "customer").withColumn("r", r).withColumn("user", F.when(k % 7 == 0, "").otherwise(say("pä", k))).withColumn("owner", say("own", k))
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey").withColumn("r", r).withColumn("user", F.when(k % 7 == 0, "").otherwise(say("pä", k))).withColumn("owner", say("own", k))
     c = c.withColumn("old", _old_entries(col("user"), col("owner"), col("r")))
     salt = lambda what: F.substring(F.unhex(F.md5(say(what, k))), lit(1), lit(8))
     new = F.unhex(F.sha2(say("key", k), 256))
@@ -72,9 +66,10 @@ def locked_customers(spark, sf_dir) -> DataFrame:
 def pdf_encrypted(spark, sf_dir):
     """What passwords open, and the strings and streams of files that they do."""
     files = relation(locked_customers(spark, sf_dir), "pdf-locked")
-    objs = relation(pdf.objects(files, decrypting=True), "pdf-objects")
+    objs, keys = pdf.unlocked(files)
+    objs = relation(objs, "pdf-objects")
     e = col("entries")
-    keys = pdf.encryption(files, objs).select("doc_id", "status", "streams", "strings")
+    keys = keys.select("doc_id", "status", "streams", "strings")
     revision = pdf.trailer(objs).select("doc_id", syntax.as_int(syntax.get(syntax.entries(syntax.get(e, "Encrypt")), "R")).alias("revision"))
     inner = syntax.entries(F.get(syntax.items(syntax.get(e, "Kept")), lit(1)))
     held = objs.groupBy("doc_id").agg(F.max(F.when(col("num") == 3, syntax.as_text(syntax.get(inner, "Title")))).alias("title"), F.max(F.when(col("num") == 2, F.decode("stream", "UTF-8"))).alias("text"))

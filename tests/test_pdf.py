@@ -434,3 +434,29 @@ def test_trees_of_any_depth_are_descended(spark):
     rows = [(1, i, [("Kids", f"[{i + 1 if i < 34 else 2} 0 R]")]) for i in range(1, 35)]
     objs = spark.createDataFrame(rows, "doc_id long, num long, entries array<struct<k:string,v:string>>").cache()
     assert pdf.descend(objs, objs.where("num = 1")).count() == 34
+
+
+def test_rc4_side_by_side():
+    """Many rows at once give what one by one does, also over turns and beside rows of other lengths."""
+    from random import Random
+
+    from foliospark.sources import security as sec
+
+    r = Random(3)
+    keys = [r.randbytes(r.choice([5, 16])) for _ in range(200)]
+    data = [r.randbytes(r.choice([0, 32, 32, 300, r.randint(1, 9)])) for _ in keys]
+    assert sec.rc4_all(keys, data) == [sec.rc4(k, d) for k, d in zip(keys, data)]
+    twice = [sec.rc4(bytes(x ^ 7 for x in k), sec.rc4(bytes(x ^ 3 for x in k), d)) for k, d in zip(keys, data)]
+    assert sec.rc4_all(keys, data, (3, 7)) == twice
+
+
+def test_keys_of_files_are_found_once(spark, sf_dir, monkeypatch):
+    """A hash of revision 6 costs milliseconds: a file's key is derived in one step, by three hashes at most, and that step is spread over the cores."""
+    from foliospark.plans import pdf_locked
+
+    found, derive = [], pdf.file_keys
+    monkeypatch.setattr(pdf, "file_keys", lambda dicts: found.append(derive(dicts)) or found[-1])
+    pdf_locked.pdf_encrypted(spark, sf_dir)
+    assert len(found) == 1
+    plan = found[0]._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("aggregate(sequence(") + plan.count("aggregate([0,1,") <= 3
