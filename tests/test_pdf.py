@@ -460,3 +460,18 @@ def test_keys_of_files_are_found_once(spark, sf_dir, monkeypatch):
     assert len(found) == 1
     plan = found[0]._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and plan.count("aggregate(sequence(") + plan.count("aggregate([0,1,") <= 3
+
+
+def test_text_leaves_only_the_tables_that_it_reads(spark, load):
+    """Items, objects and contents go before the text is put together: their streams, decoded and not, take most of the disk."""
+    import os
+    import re
+
+    from foliospark.storage import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    text = pdf.extract_text(load(one_page(TEXT, flate=True)))
+    left = {re.sub(r"-[0-9a-f]{32}$", "", name) for name in set(os.listdir(folder)) - before if os.listdir(f"{folder}/{name}")}
+    assert left == {"pdf-pages", "pdf-fonts", "pdf-operations"}
+    assert text.first().text.strip() == "Hello"
